@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import chat_format, mixing, packing, quality_rules, token_counts
 
 
 def queries() -> dict:
     return {
+        "op5_token_counts": token_counts.op5_token_counts,
+        "op6_packing": packing.op6_packing,
+        "op8_mixing": mixing.op8_mixing,
+        "op9_chat_format": chat_format.op9_chat_format,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op8_mixing": mixing.ORACLE_SQL,
+        "op9_chat_format": chat_format.ORACLE_SQL,
         "op10_quality_rules": quality_rules.ORACLE_SQL,
     }
