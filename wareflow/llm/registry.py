@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, packing, quality_rules, token_counts
+from . import chat_format, mixing, packing, quality_rules, simhash, token_counts
 
 
 def queries() -> dict:
     return {
+        "op2_simhash": simhash.op2_simhash,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_packing": packing.op6_packing,
         "op8_mixing": mixing.op8_mixing,
