@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, packing, quality_rules, simhash, token_counts
+from . import chat_format, mixing, packing, quality_rules, simhash, substring_dedup, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_simhash": simhash.op2_simhash,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_packing": packing.op6_packing,
+        "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op8_mixing": mixing.op8_mixing,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_quality_rules": quality_rules.op10_quality_rules,
@@ -18,6 +19,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op7_substring_dedup": substring_dedup.ORACLE_SQL,
         "op8_mixing": mixing.ORACLE_SQL,
         "op9_chat_format": chat_format.ORACLE_SQL,
         "op10_quality_rules": quality_rules.ORACLE_SQL,
