@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, packing, quality_rules, simhash, substring_dedup, token_counts
+from . import chat_format, language_id, language_model, mixing, packing, quality_rules, simhash, substring_dedup, token_counts
 
 
 def queries() -> dict:
     return {
         "op2_simhash": simhash.op2_simhash,
+        "op3_language_model": language_model.op3_language_model,
+        "op4_language_id": language_id.op4_language_id,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_packing": packing.op6_packing,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
