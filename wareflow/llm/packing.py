@@ -134,10 +134,10 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, w
         ids, blobs, held = [], [], 0
         for batch in batches:
             doc_type = batch.schema.field("doc_id").type
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                blob = tokenizing.token_ids(tokenizer_path, text.as_py() or "") + end
+            found = tokenizing.token_ids(tokenizer_path, [t or "" for t in batch.column("text").to_pylist()])
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), found, strict=True):
                 ids.append(doc_id)
-                blobs.append(blob)
+                blobs.append(blob := own + end)
                 held += len(blob) // 4
                 if held >= window_tokens:
                     yield from flush(ids, blobs)

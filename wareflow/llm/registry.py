@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, language_model, mixing, packing, quality_rules, simhash, substring_dedup, token_counts
+from . import chat_format, language_id, language_model, mixing, nearest, packing, quality_rules, simhash, substring_dedup, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_nearest_neighbours": nearest.op1_nearest_neighbours,
         "op2_simhash": simhash.op2_simhash,
         "op3_language_model": language_model.op3_language_model,
         "op4_language_id": language_id.op4_language_id,

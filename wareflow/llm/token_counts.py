@@ -27,8 +27,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column("text")
-            n = [tokenizing.count_tokens(tokenizer_path, t.as_py() or "") for t in texts]
+            n = tokenizing.count_tokens(tokenizer_path, [t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)

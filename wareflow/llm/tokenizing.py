@@ -21,7 +21,7 @@ PIECE = re.compile(rf"[{ASCII_SPACE}]*+[^\W_İ]++(?=[.,;:!?])|[{ASCII_SPACE}]*+[
 SAFE_CUT = re.compile(rf"(?<=\S)[{ASCII_SPACE}]")
 
 #: Bytes of text (counted as characters) handled at once, entries of the dictionary, longest piece kept in it.
-BATCH_CHARS, CACHE_PIECES, CACHE_LENGTH = 1 << 20, 400_000, 64
+BATCH_CHARS, CACHE_PIECES, CACHE_LENGTH = 1 << 20, 1_000_000, 32
 
 
 @functools.cache
@@ -49,52 +49,87 @@ def stretches(text: str, limit: int = BATCH_CHARS):
 
 
 class PieceEncoder:
-    """value(encoding) of each distinct piece, by the library's batch encoding."""
+    """Ids, or their number, of each distinct piece, by the library's batch encoding."""
 
-    def __init__(self, path: str, value):
-        self.tok, self.value, self.known = tokenizer(path), value, {}
+    def __init__(self, path: str, lengths: bool):
+        self.tok, self.lengths, self.known = tokenizer(path), lengths, {}
+        # Does the tokenizer drop white space between words? Then words may be joined by a space, else only words that begin with one.
+        self.drops_space = not self.tok.encode(" ", add_special_tokens=False).ids
 
-    def encode(self, pieces: list[str]) -> list:
-        """Values of the pieces in order, encoded in batches balanced by characters."""
-        out, batch, held = [], [], 0
-        for piece in itertools.chain(pieces, (None,)):
-            if batch and (piece is None or held + len(piece) > BATCH_CHARS):
-                out += map(self.value, self.tok.encode_batch_fast(batch, add_special_tokens=False))
+    def value(self, ids):
+        import numpy as np
+
+        return len(ids) if self.lengths else np.asarray(ids, dtype="<u4").tobytes()
+
+    def batches(self, pieces: list[str]):
+        """The pieces in runs balanced by characters."""
+        batch, held = [], 0
+        for piece in pieces:
+            if batch and held + len(piece) > BATCH_CHARS:
+                yield batch
                 batch, held = [], 0
-            if piece is not None:
-                batch.append(piece)
-                held += len(piece) + 16
+            batch.append(piece)
+            held += len(piece) + 16
+        if batch:
+            yield batch
+
+    def encode(self, pieces: list[str]) -> list:
+        """Values of the pieces in order, each encoded by itself."""
+        return [self.value(e.ids) for batch in self.batches(pieces) for e in self.tok.encode_batch_fast(batch, add_special_tokens=False)]
+
+    def encode_joined(self, pieces: list[str]) -> list:
+        """As encode, for pieces that stay apart in one string; the tokens' places in it tell the pieces apart."""
+        import numpy as np
+
+        gap = " " if self.drops_space else ""
+        runs = [pieces[i : i + 256] for i in range(0, len(pieces), 256)]
+        out = []
+        for run, e in zip(runs, self.tok.encode_batch([gap.join(r) for r in runs], add_special_tokens=False), strict=True):
+            starts = np.cumsum([0, *(len(p) + len(gap) for p in run)])
+            places = np.fromiter((a for a, _ in e.offsets), dtype=np.int64, count=len(e.ids))
+            cut = np.searchsorted(places, starts)
+            if self.lengths:
+                out += np.diff(cut).tolist()
+            else:
+                ids = np.array(e.ids, dtype="<u4").tobytes()
+                out += [ids[4 * a : 4 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         return out
 
-    def values(self, text: str) -> list:
-        """Values of the pieces of one stretch of text, in order."""
-        if ODD_SPACE.search(text):
-            return self.encode([text])
-        pieces = PIECE.findall(text)
-        try:
-            return list(map(self.known.__getitem__, pieces))
-        except KeyError:
-            pass
+    def stays_apart(self, piece: str) -> bool:
+        return "<" not in piece and "\u0130" not in piece and (self.drops_space or (piece[0] == " " and len(piece) > 1 and piece[1] > " "))
+
+    def fresh(self, pieces: list[str]) -> dict:
+        """Values of pieces seen for the first time."""
+        joined = [p for p in pieces if self.stays_apart(p)]
+        found = dict(zip(joined, self.encode_joined(joined), strict=True))
+        rest = [p for p in pieces if p not in found]
+        found.update(zip(rest, self.encode(rest), strict=True))
+        return found
+
+    def values(self, texts: list[str]) -> list[list]:
+        """Values of the pieces of each stretch of text, in order; what is new in any of them is encoded together."""
         known = self.known
-        missing = [p for p in dict.fromkeys(pieces) if p not in known]
-        fresh = dict(zip(missing, self.encode(missing), strict=True))
-        out = [known[p] if p in known else fresh[p] for p in pieces]
         if len(known) > CACHE_PIECES:
-            known.clear()
-        known.update((p, v) for p, v in fresh.items() if len(p) <= CACHE_LENGTH)
-        return out
+            for p in list(itertools.islice(known, CACHE_PIECES // 2)):
+                del known[p]
+        cut = [None if ODD_SPACE.search(t) else PIECE.findall(t) for t in texts]
+        fresh = self.fresh([p for p in dict.fromkeys(itertools.chain.from_iterable(c for c in cut if c)) if p not in known])
+        short = {p: v for p, v in fresh.items() if len(p) <= CACHE_LENGTH}
+        long = fresh if len(short) < len(fresh) else None
+        known.update(short)
+        if long:
+            return [self.encode([t]) if c is None else [known[p] if p in known else long[p] for p in c] for t, c in zip(texts, cut, strict=True)]
+        return [self.encode([t]) if c is None else list(map(known.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
 
 
 @functools.cache
 def length_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path, len)
+    return PieceEncoder(path, True)
 
 
 @functools.cache
 def id_encoder(path: str) -> PieceEncoder:
-    import numpy as np
-
-    return PieceEncoder(path, lambda e: np.array(e.ids, dtype="<u4").tobytes())
+    return PieceEncoder(path, False)
 
 
 @functools.cache
@@ -104,19 +139,39 @@ def pieces_model(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def count_tokens(path: str, text: str) -> int:
-    """Tokens of a whole text, as the library for the file gives them."""
+def grouped(texts: list[str]):
+    """Stretches of all texts in groups balanced by characters: lists of (place of the text, stretch)."""
+    group, held = [], 0
+    for k, text in enumerate(texts):
+        for part in stretches(text):
+            group.append((k, part))
+            held += len(part)
+            if held >= BATCH_CHARS:
+                yield group
+                group, held = [], 0
+    if group:
+        yield group
+
+
+def count_tokens(path: str, texts: list[str]) -> list[int]:
+    """Tokens of whole texts, as the library for the file gives them."""
     if path.endswith(".model"):  # its white space rules are not local, so whole texts only
-        return len(pieces_model(path).encode(text, num_threads=1))
-    encoder = length_encoder(path)
-    return sum(sum(encoder.values(s)) for s in stretches(text))
+        return [len(pieces_model(path).encode(t, num_threads=1)) for t in texts]
+    encoder, out = length_encoder(path), [0] * len(texts)
+    for group in grouped(texts):
+        for (k, _), values in zip(group, encoder.values([s for _, s in group]), strict=True):
+            out[k] += sum(values)
+    return out
 
 
-def token_ids(path: str, text: str) -> bytes:
-    """Ids of a whole text as little-endian unsigned 32-bit numbers."""
+def token_ids(path: str, texts: list[str]) -> list[bytes]:
+    """Ids of whole texts as little-endian unsigned 32-bit numbers."""
     if path.endswith(".model"):
         import numpy as np
 
-        return np.array(pieces_model(path).encode(text, num_threads=1), dtype="<u4").tobytes()
-    encoder = id_encoder(path)
-    return b"".join(b"".join(encoder.values(s)) for s in stretches(text))
+        return [np.array(pieces_model(path).encode(t, num_threads=1), dtype="<u4").tobytes() for t in texts]
+    encoder, out = id_encoder(path), [[] for _ in texts]
+    for group in grouped(texts):
+        for (k, _), values in zip(group, encoder.values([s for _, s in group]), strict=True):
+            out[k].append(b"".join(values))
+    return [b"".join(x) for x in out]
