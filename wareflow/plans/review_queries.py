@@ -176,7 +176,7 @@ def topic_counts(spark, sf_dir):
     return topics.topic_counts(_tagged(spark, sf_dir)).select("asin", "topic", "reviews", "share", "avg_rating")
 
 
-@query("primary_topics", TAGGED + ", c AS (SELECT asin, idx, topic, count(*) AS n, min(place * 100 + k) AS at FROM x GROUP BY asin, idx, topic) SELECT asin, idx AS review_idx, topic AS \"primary\" FROM c QUALIFY row_number() OVER (PARTITION BY asin, idx ORDER BY n DESC, at) = 1")
+@query("primary_topics", TAGGED + ", c AS (SELECT asin, idx, topic, count(*) AS n, min(place * 100 + k) AS seen FROM x GROUP BY asin, idx, topic) SELECT asin, idx AS review_idx, topic AS \"primary\" FROM c QUALIFY row_number() OVER (PARTITION BY asin, idx ORDER BY n DESC, seen) = 1")
 def primary_topics(spark, sf_dir):
     """The leading topic of each review."""
     return topics.primary_topics(_tagged(spark, sf_dir))
@@ -258,8 +258,8 @@ def sentence_literals(spark, sf_dir):
 
 def recall_feed(spark):
     rows = [
-        (1, [("Copper Tube Large", None), ("Steel Widget Kit", None)], "Retailer recalls copper tube", "The copper tube may break", ["retailer.example"]),
-        (2, [("Anodized Nickel Frame", None)], "Nickel frame recall", "Frames in nickel can fall", ["Shop"]),
+        (1, [("Red Anvil Large", None), ("Old Bolt Kit", None)], "Retailer recalls red anvil", "The red anvil may break", ["retailer.example"]),
+        (2, [("Blue Ring Small", None)], "Blue ring recall", "Rings in blue can fall", ["Shop"]),
     ]
     cells = [(i, None, None, t, d, None, None, None, [(n, None, None, None) for n, _ in ps], [], [], [], [(s,) for s in sold], [], []) for i, ps, t, d, sold in rows]
     return spark.createDataFrame(cells, RECALL_SCHEMA)

@@ -51,7 +51,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def markdown_lists(items: DataFrame) -> DataFrame:
     """list_name, markdown: each list's items as a bullet list in order of addition."""
-    line = F.concat(F.lit("- "), F.col("title"), F.coalesce(F.concat(F.lit(" ($"), F.format_number("price", "0.00"), F.lit(")")), F.lit("")))
+    line = F.concat(F.lit("- "), F.col("title"), F.when(F.col("price").isNotNull(), F.format_string(" ($%.2f)", F.col("price"))).otherwise(""))
     lines = F.array_sort(F.collect_list(F.struct("added_at", line.alias("line"))))
     return items.groupBy("list_name").agg(F.concat(F.lit("# "), F.col("list_name"), F.lit("\n"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("markdown"))
 

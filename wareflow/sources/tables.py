@@ -9,7 +9,11 @@ from ..functions.numbers import half_up
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A Parquet table; times without a zone are taken as UTC, which becomes the session's zone."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    naive = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
 
 def star(quantity):
