@@ -56,9 +56,10 @@ def source_targets(sizes: DataFrame, schedules: tuple = SCHEDULES, budget: float
     tight = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").asc_nulls_last())
     before, after = tight.rowsBetween(Window.unboundedPreceding, -1), tight.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     level = (F.lit(budget) * F.sum("source_size").over(Window.partitionBy()) - repeats * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("w").over(after)
-    # The water level: sources fill up in the order of size by weight; the first that stays under its cap sets the level.
+    # The water level: sources fill up in the order of size by weight; the first that stays under its cap sets the level. Later
+    # candidates take sources for full that are not, so theirs are lower.
     leveled = ranked.withColumn("level", level).withColumn("open", F.col("level") * F.col("w") <= repeats * F.col("source_size"))
-    final = F.min(F.when(F.col("open"), F.col("level"))).over(Window.partitionBy())
+    final = F.max(F.when(F.col("open"), F.col("level"))).over(Window.partitionBy())
     cap = F.col("source_size").cast("double") * repeats
     return leveled.select("source", "source_size", "kind", F.coalesce(F.least(cap, final * F.col("w")), cap).alias("target"))
 
@@ -145,7 +146,7 @@ l AS (
     / sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (
   SELECT source, source_size, kind, coalesce(least(2.0::DOUBLE * source_size,
-      w * min(CASE WHEN level * w <= 2 * source_size THEN level END) OVER ()), 2.0::DOUBLE * source_size) AS target FROM l),
+      w * max(CASE WHEN level * w <= 2 * source_size THEN level END) OVER ()), 2.0::DOUBLE * source_size) AS target FROM l),
 p AS (
   SELECT doc_id, size, source_size, kind, target, floor(target + 0.5)::BIGINT AS owed,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
