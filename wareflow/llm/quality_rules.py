@@ -91,8 +91,8 @@ def repeated_words(w: Column) -> Column:
     return F.when(n < 4, 0).otherwise(some).cast("long")
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and the measurements that rules are made of."""
+def measure(docs: DataFrame, keep: str = "doc_id") -> DataFrame:
+    """One column of the input and the measurements that rules are made of."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, ASCII_SPACES, "")) > 0)
     by_words = let(
@@ -105,20 +105,20 @@ def measure(docs: DataFrame) -> DataFrame:
     )
     by_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     return docs.select(
-        "doc_id",
+        keep,
         by_words.alias("by_words"),
         by_lines.alias("by_lines"),
         F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]*+\p{L}")).cast("long").alias("n_letter_words"),
-    ).select("doc_id", "by_words.*", "by_lines.*", "n_symbols", "n_letter_words")
+    ).select(keep, "by_words.*", "by_lines.*", "n_symbols", "n_letter_words")
 
 
-def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, the measurements and fail_bits: bit k is set if rules[k] fails."""
+def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: str = "doc_id") -> DataFrame:
+    """The kept column, the measurements and fail_bits: bit k is set if rules[k] fails."""
     bits = F.lit(0).cast("long")
     for k, rule in enumerate(rules):
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return measure(docs).withColumn("fail_bits", bits)
+    return measure(docs, keep).withColumn("fail_bits", bits)
 
 
 def policy_mask(policy: str, rules: tuple[Rule, ...] = RULES) -> int:
@@ -146,18 +146,8 @@ def ablations(rows: DataFrame, policy: str = "v1", rules: tuple[Rule, ...] = RUL
 
 def reject(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The documents that the policy keeps, with all their columns; repeated rows and null ids are judged row by row."""
-    wide = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id"), F.col("text"))
-    marks = ledger_columns(wide, policy)
-    return marks.where("ok").select("row.*")
-
-
-def ledger_columns(wide: DataFrame, policy: str) -> DataFrame:
-    """row and ok: the verdict next to the row itself, so that no join has to find it again."""
-    measured = measure(wide.select(F.struct("row", "doc_id").alias("doc_id"), "text"))
-    bits = F.lit(0).cast("long")
-    for k, rule in enumerate(RULES):
-        bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return measured.select(F.col("doc_id.row").alias("row"), (bits.bitwiseAND(F.lit(policy_mask(policy)).cast("long")) == 0).alias("ok"))
+    rows = ledger(docs.select(F.struct(*docs.columns).alias("row"), "text"), keep="row")
+    return rows.where(kept(policy)).select("row.*")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

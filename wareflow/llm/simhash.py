@@ -57,19 +57,49 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, fp, th (a hash of the text, to tell rows of one id apart)."""
+def word_fingerprint(text: bytes | None) -> int:
+    """SimHash of the distinct words of a text, as a signed 64-bit number."""
+    import numpy as np
+    from xxhash import xxh64_digest
+
+    words = list(dict.fromkeys((text or b"").lower().split()))
+    if not words:
+        return 0
+    counts = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(words), 1 << 15):
+        digests = b"".join(xxh64_digest(w, SEED) for w in words[i : i + (1 << 15)])
+        counts += np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(words)).tobytes(), "big", signed=True)
+
+
+def _node(fp, check):
+    """What names a class: its fingerprint, or, with a second fingerprint to check, a hash of both."""
+    import numpy as np
+
+    return (fp.view(np.uint64) + check.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, by_words: bool = False) -> DataFrame:
+    """doc_id, node, fp, check, th (a hash of the text, to tell rows of one id apart).
+
+    fp is that of the shingles and check is 0; by_words: fp is that of the distinct words and check that of the shingles.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            fps = [fingerprint(t, shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), batch.column("th")], ["doc_id", "fp", "th"])
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            fp = np.array([fingerprint(t, shingle) for t in texts], dtype=np.int64)
+            check = fp if by_words else np.zeros_like(fp)
+            if by_words:
+                fp = np.array([word_fingerprint(t) for t in texts], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_node(fp, check)), pa.array(fp), pa.array(check), batch.column("th")], ["doc_id", "node", "fp", "check", "th"])
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, fp long, th long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, node long, fp long, check long, th long")
 
 
 def layout(threshold: int, blocks: int) -> list[tuple[int, int, int]]:
@@ -145,14 +175,15 @@ def deal(fps: DataFrame, blocks: list[tuple[int, int, int]], homes_only: bool =
 
         for batch in batches:
             have = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            check = batch.column("check").to_numpy(zero_copy_only=False)
             for k, (first, width, t) in enumerate(blocks):
                 if len(have):
                     keys, index, home = anchors(have, k, first, width, t)
                     if homes_only:
                         keys, index, home = keys[home], index[home], home[home]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(have[index].view(np.int64)), pa.array(home)], ["key", "fp", "home"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(have[index].view(np.int64)), pa.array(check[index]), pa.array(home)], ["key", "fp", "check", "home"])
 
-    return fps.mapInArrow(run, "key long, fp long, home boolean")
+    return fps.select("fp", "check").mapInArrow(run, "key long, fp long, check long, home boolean")
 
 
 class _Roots:
@@ -178,112 +209,121 @@ class _Roots:
                 root[:] = root[root]
 
 
-def group_links(members, is_home, threshold: int):
-    """Star edges among one anchor's members, homes against all, in blocks of bounded size."""
+def group_links(fp, check, is_home, threshold: int, most: int):
+    """Places (a, b) of star edges among one anchor's members, homes against all, in blocks of bounded size."""
     import numpy as np
 
-    places, found = np.flatnonzero(is_home), _Roots(len(members))
-    step = max(1, (1 << 21) // len(members))
+    places, found = np.flatnonzero(is_home), _Roots(len(fp))
+    step = max(1, (1 << 21) // len(fp))
     for i in range(0, len(places), step):
         rows = places[i : i + step]
-        a, b = np.nonzero(np.bitwise_count(members[rows][:, None] ^ members[None, :]) <= threshold)
+        near = np.bitwise_count(fp[rows][:, None] ^ fp[None, :]) <= threshold
+        a, b = np.nonzero(near)
+        if most < 64:
+            ok = np.bitwise_count(check[rows[a]] ^ check[b]) <= most
+            a, b = a[ok], b[ok]
         found.join(rows[a], b)
-    moved = np.flatnonzero(found.root != np.arange(len(members)))
-    return members[moved], members[found.root[moved]]
+    moved = np.flatnonzero(found.root != np.arange(len(fp)))
+    return moved, found.root[moved]
 
 
-def compare(dealt: DataFrame, threshold: int) -> DataFrame:
-    """Edges (a, b) between different fingerprints. Input is sorted by (key, part) within partitions."""
+def compare(dealt: DataFrame, threshold: int, most: int = 64) -> DataFrame:
+    """Edges (a, b) between different nodes: fp within threshold and check within `most`. Input is sorted by key in partitions."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def small(fp, home, lo, hi):
+        def small(fp, check, home, lo, hi):
             """All groups [lo, hi) of a few members at once."""
-            group = np.repeat(np.arange(len(lo)), hi - lo)
             n = hi - lo
+            group = np.repeat(np.arange(len(lo)), n)
             rows = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
             pick = home[rows]
             rows, group = rows[pick], group[pick]
-            n = n[group]
             for i in range(0, len(rows), 1 << 16):
-                r, g, m = rows[i : i + (1 << 16)], group[i : i + (1 << 16)], n[i : i + (1 << 16)]
+                r, g = rows[i : i + (1 << 16)], group[i : i + (1 << 16)]
+                m = n[g]
                 left = np.repeat(r, m)
                 right = np.repeat(lo[g] - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum())
-                x, y = fp[left], fp[right]
-                hit = (np.bitwise_count(x ^ y) <= threshold) & (x != y)
-                yield x[hit], y[hit]
-
-        def closed(key, part, fp, home):
-            """Links of whole groups; arrays are sorted by key and part."""
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
+                hit = (np.bitwise_count(fp[left] ^ fp[right]) <= threshold) & (np.bitwise_count(check[left] ^ check[right]) <= most)
+                yield left[hit], right[hit]
+
+        def closed(held):
+            """Edges of whole groups, from columns sorted by key."""
+            key, fp, check, home = (np.concatenate([h[k] for h in held]) for k in range(4))
+            node, fp, check = _node(fp, check), fp.view(np.uint64), check.view(np.uint64)
+            cut = np.flatnonzero(key[1:] != key[:-1]) + 1
             lo, hi = np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))
             some = hi - lo > 1
             lo, hi = lo[some], hi[some]
             few = hi - lo <= SMALL_GROUP
-            if few.any():
-                yield from small(fp, home, lo[few], hi[few])
-            for a, b in zip(lo[~few], hi[~few]):
-                yield group_links(fp[a:b], home[a:b], threshold)
-
-        def out(pairs):
-            for a, b in pairs:
-                if len(a):
-                    edges = np.unique(np.stack([a.view(np.int64), b.view(np.int64)], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+            found = list(small(fp, check, home, lo[few], hi[few])) if few.any() else []
+            for a, b in zip(lo[~few], hi[~few], strict=True):
+                x, y = group_links(fp[a:b], check[a:b], home[a:b], threshold, most)
+                found.append((a + x, a + y))
+            for a, b in found:
+                ends = np.stack([node[a], node[b]], axis=1)
+                ends = np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0)
+                if len(ends):
+                    yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
         held: list = []
         for batch in batches:
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "part", "fp", "home")]
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "fp", "check", "home")]
             if not len(new[0]):
                 continue
-            last = np.flatnonzero((new[0] != new[0][-1]) | (new[1] != new[1][-1]))
-            end = last[-1] + 1 if len(last) else 0
-            if end:  # the last group may go on in the next batch
-                done = [np.concatenate([*(h[k] for h in held), new[k][:end]]) for k in range(4)]
+            if held and held[-1][0][-1] != new[0][0]:
+                yield from closed(held)
                 held = []
-                yield from out(closed(done[0], done[1], done[2].view(np.uint64), done[3]))
-            elif held and (held[0][0][0] != new[0][0] or held[0][1][0] != new[1][0]):
-                done = [np.concatenate([h[k] for h in held]) for k in range(4)]
+            end = np.searchsorted(new[0], new[0][-1])  # the last group may go on in the next batch
+            if end:
+                yield from closed([*held, [x[:end] for x in new]])
                 held = []
-                yield from out(closed(done[0], done[1], done[2].view(np.uint64), done[3]))
             held.append([x[end:] for x in new])
         if held:
-            done = [np.concatenate([h[k] for h in held]) for k in range(4)]
-            yield from out(closed(done[0], done[1], done[2].view(np.uint64), done[3]))
+            yield from closed(held)
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def links(fps: DataFrame, threshold: int = 4, blocks: int = 3, homes_per_task: int = HOMES_PER_TASK) -> DataFrame:
-    """Edges that connect all distinct fingerprints (column fp) within the threshold, contracted at each anchor."""
+def links(fps: DataFrame, threshold: int = 4, blocks: int = 3, most: int = 64, homes_per_task: int = HOMES_PER_TASK) -> DataFrame:
+    """Edges that connect all classes (fp, check) within the threshold, contracted at each anchor."""
     plan = layout(threshold, blocks)
     crowded = deal(fps, plan, homes_only=True).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > homes_per_task)
     crowded = crowded.select(F.col("key").alias("k"), F.ceil(F.col("n") / homes_per_task).cast("int").alias("parts"))
     dealt = deal(fps, plan).join(crowded, F.col("key") == F.col("k"), "left")
     parts = F.coalesce("parts", F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    split = dealt.select("key", "fp", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("home").alias("h"), own.alias("own"))
-    placed = split.select("key", "part", "fp", (F.col("h") & (F.col("part") == F.col("own"))).alias("home"))
-    return compare(placed.repartition("key", "part").sortWithinPartitions("key", "part"), threshold)
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, blocks: int = 3) -> DataFrame:
-    """doc_id, fp, th, component_id (least doc_id of the component), root (least fingerprint of the component)."""
-    marks = materialize(fingerprints(docs, shingle), "fingerprints")
-    classes = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(classes.select("fp"), threshold, blocks))
-    rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    own = F.pmod(F.xxhash64("fp", "check"), parts).cast("int")
+    split = dealt.select("key", "fp", "check", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("home").alias("h"), own.alias("own"))
+    key = F.when(F.col("part") == 0, F.col("key")).otherwise(F.xxhash64("key", "part"))
+    placed = split.select(key.alias("key"), "fp", "check", (F.col("h") & (F.col("part") == F.col("own"))).alias("home"))
+    return compare(placed.repartition("key").sortWithinPartitions("key"), threshold, most)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, blocks: int = 3, most: int | None = None) -> DataFrame:
+    """doc_id, fp, th, component_id (least doc_id of the component), root (least class of the component).
+
+    Without `most`, shingle fingerprints within the threshold are linked. With it, fingerprints of the distinct words within the
+    threshold are linked if those of the shingles are within `most`: edits that a shingle amplifies move few of the former.
+    """
+    marks = materialize(fingerprints(docs, shingle, most is not None), "fingerprints")
+    classes = marks.groupBy("node", "fp", "check").agg(F.min("doc_id").alias("least"))
+    found = components(links(classes, threshold, blocks, 64 if most is None else most))
+    found = found.select(F.col("node").alias("member"), "root")
+    rooted = classes.join(found, classes.node == found.member, "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "classes")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select(F.col("fp").alias("f"), "root", "component_id")
-    return marks.join(named, marks.fp == named.f).select("doc_id", "fp", "th", "component_id", "root")
+    named = rooted.join(names, "root").select(F.col("node").alias("n"), "root", "component_id")
+    return marks.join(named, marks.node == named.n).select("doc_id", "fp", "th", "component_id", "root")
+
 
+def deduplicate(docs: DataFrame, shingle: int = 5, threshold: int = 7, blocks: int = 3, most: int = 13) -> DataFrame:
+    """One document of each component, the one with the least doc_id, whole; rows without an id stay.
 
-def deduplicate(docs: DataFrame, shingle: int = 5, threshold: int = 4, blocks: int = 3) -> DataFrame:
-    """One document of each component, the one with the least doc_id, whole; rows without an id stay."""
-    marked = near_duplicates(docs.where("doc_id IS NOT NULL"), shingle, threshold, blocks)
+    The defaults link documents of a shingle similarity (Jaccard) of about 0.8 and more.
+    """
+    marked = near_duplicates(docs.where("doc_id IS NOT NULL"), shingle, threshold, blocks, most)
     best = marked.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("best")).select("best.*")
     th = "__text_hash"
     rows = docs.withColumn(th, F.xxhash64("text"))
