@@ -183,8 +183,8 @@ def sentiment_scorer(scorer) -> Column:
     """A pluggable model as an Arrow function: scorer takes a list of texts and gives probabilities of being negative."""
     import pandas as pd
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
+    def score(text):
         return pd.Series(scorer(text.fillna("").tolist()))
 
-    return score(F.col("text"))
+    score.__annotations__ = {"text": pd.Series, "return": pd.Series}
+    return F.pandas_udf(score, "double")(F.col("text"))

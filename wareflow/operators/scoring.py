@@ -55,7 +55,7 @@ def savings_stack() -> Column:
     p, lp, c, sns = F.col("price"), F.col("list_price"), F.col("coupon"), F.col("sns_percent")
     marked = F.coalesce(lp > p, F.lit(False))
     base = F.when(marked, lp).otherwise(p)
-    off_coupon = F.coalesce(F.when(c["type"] == "percent", p * c["value"] / 100).otherwise(F.least(c["value"], p)), F.lit(0.0))
+    off_coupon = F.coalesce(F.when(c["type"] == "percent", p * c["value"] / 100).when(c["type"] == "amount", F.least(c["value"], p)), F.lit(0.0))
     after = p - off_coupon
     off_sns = F.coalesce(F.when(sns > 0, after * (sns / 100)), F.lit(0.0))
     paid = F.greatest(F.lit(0.0), after - off_sns)

@@ -43,13 +43,13 @@ SIZE = ("size",)
 @query(
     "flagship_value_ranking",
     LISTINGS + f""", kept AS (SELECT *, {NORMAL} AS key FROM listings WHERE NOT is_sponsored AND review_count >= 5 AND NOT (rating > 0 AND rating < 2.5)
-      AND NOT coalesce(price < 900 OR price > 1900, false)),
+      AND NOT coalesce(price < 800 OR price > 1900, false)),
   best AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY key ORDER BY review_count DESC, rating DESC, pos) = 1)
 SELECT pos, title, price, rating, review_count, floor({VALUE} * 1e6 + 0.5) / 1e6 AS value_score FROM best ORDER BY {VALUE} DESC, pos LIMIT 20""",
 )
 def flagship(spark, sf_dir):
     """Filter, drop variant duplicates, rank by value, take 20 (the limit is the report)."""
-    spec = filters.FilterSpec(hide_sponsored=True, min_reviews=5, min_rating=2.5, price_min=900, price_max=1900)
+    spec = filters.FilterSpec(hide_sponsored=True, min_reviews=5, min_rating=2.5, price_min=800, price_max=1900)
     shown = listings(spark, sf_dir).where(filters.filter_result(spec) == "show")
     best = dedup.variant_duplicates(shown, SIZE).where(~F.col("is_duplicate"))
     return ranking.sort_listings(best, "value").limit(20).select("pos", "title", "price", "rating", "review_count", half_up(ranking.value_score(), 6).alias("value_score"))
@@ -193,7 +193,7 @@ def top_pick(spark, sf_dir):
     return ranking.top_pick(listings(spark, sf_dir).withColumn("trust_score", F.col("review_quality")))
 
 
-SAVINGS = """, s0 AS (SELECT *, coalesce(list_price > price, false) AS marked, coalesce(CASE WHEN coupon_type = 'percent' THEN price * coupon_value / 100 ELSE least(coupon_value, price) END, 0) AS oc FROM listings),
+SAVINGS = """, s0 AS (SELECT *, coalesce(list_price > price, false) AS marked, coalesce(CASE WHEN coupon_type = 'percent' THEN price * coupon_value / 100 WHEN coupon_type = 'amount' THEN least(coupon_value, price) END, 0) AS oc FROM listings),
 s1 AS (SELECT *, price - oc AS after, CASE WHEN marked THEN list_price ELSE price END AS base FROM s0),
 s2 AS (SELECT *, coalesce(CASE WHEN sns > 0 THEN after * (sns / 100) END, 0) AS os FROM s1),
 s3 AS (SELECT *, greatest(0.0::DOUBLE, after - os) AS paid FROM s2)"""
