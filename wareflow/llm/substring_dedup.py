@@ -14,8 +14,7 @@ A word is removed if a window that covers it starts with the same words in a doc
 judged on the input. Hashes have 128 bits (anchor and window, of independent bases).
 
 Nulls: a null text has no words; a row with a null doc_id is neither smaller nor larger than any, it stays whole. Rows of one id
-are told apart by a hash of the text and do not count as repeats of each other. An empty table gives no rows. Reserved names:
-th, spans.
+are told apart by a hash of the text and do not count as repeats of each other. An empty table gives no rows. Names of two leading underscores are reserved.
 """
 
 from __future__ import annotations
@@ -222,9 +221,11 @@ def strip(text: bytes, removed) -> bytes:
 
 
 def _with_spans(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    marked = docs.withColumn("th", F.xxhash64("text"))
-    spans = repeats(marked.where("doc_id IS NOT NULL").select("doc_id", "th", "text"), window, seed)
-    return marked.join(spans, ["doc_id", "th"], "left")
+    """docs and their column __spans."""
+    marked = docs.withColumn("__th", F.xxhash64("text"))
+    spans = repeats(marked.where("doc_id IS NOT NULL").select("doc_id", F.col("__th").alias("th"), "text"), window, seed)
+    named = spans.select(F.col("doc_id").alias("__id"), F.col("th").alias("__t"), F.col("spans").alias("__spans"))
+    return marked.join(named, (F.col("doc_id") == F.col("__id")) & (F.col("__th") == F.col("__t")), "left").select(*docs.columns, "__spans")
 
 
 def substring_digest(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
@@ -238,7 +239,7 @@ def substring_digest(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WOR
         shape = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
         for batch in batches:
             n_words, n_removed, digests, spans_out = [], [], [], []
-            for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
                 words = (text or b"").split()
                 removed = covered(len(words), spans, window)
                 kept = [w for w, r in zip(words, removed.tolist(), strict=True) if not r] if spans else words
@@ -251,7 +252,7 @@ def substring_digest(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WOR
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "repeats"],
             )
 
-    return _with_spans(docs.select("doc_id", "text"), window, seed).select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return _with_spans(docs.select("doc_id", "text"), window, seed).mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> DataFrame:
@@ -262,7 +263,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORD
 
         for batch in batches:
             texts, stay = [], []
-            for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
                 if not spans:
                     texts.append(text)
                     stay.append(True)
@@ -275,16 +276,15 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORD
                 if name == "text":
                     arrays.append(pa.array(texts, pa.binary()).cast(pa.string()))
                 elif name == "n_chars":
-                    cut = batch.column("spans").is_valid()
+                    cut = batch.column("__spans").is_valid()
                     lengths = [len(t.decode()) if c else n for t, c, n in zip(texts, cut.to_pylist(), batch.column(name).to_pylist(), strict=True)]
                     arrays.append(pa.array(lengths, batch.schema.field(name).type))
-                elif name != "spans":
+                elif name != "__spans":
                     arrays.append(batch.column(name))
-            out = pa.RecordBatch.from_arrays(arrays, [n for n in batch.schema.names if n != "spans"])
+            out = pa.RecordBatch.from_arrays(arrays, [n for n in batch.schema.names if n != "__spans"])
             yield out.filter(pa.array(stay, pa.bool_()))
 
-    found = _with_spans(docs, window, seed).select(*docs.columns, "spans")
-    return found.mapInArrow(run, docs.schema)
+    return _with_spans(docs, window, seed).mapInArrow(run, docs.schema)
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
