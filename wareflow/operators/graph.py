@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import materialize
+from ..sources.storage import anew, materialize
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -17,12 +17,12 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("a", "b")
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    tied = both.join(least, "a")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).select(anew("a").alias("k"), "m")
+    tied = both.join(least, F.col("a") == F.col("k"))
     if large:
         moved = tied.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        moved = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        moved = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
     return moved.where("a > b").distinct()
 
 

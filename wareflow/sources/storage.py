@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,3 +18,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/wareflow/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def anew(key: str) -> Column:
+    """An equal column (of a whole number) whose partitioning Spark does not carry over: a join of an aggregate on it shuffles both sides
+    for the join alone, and then adaptive execution can split hot keys, which it cannot do below an aggregate."""
+    return F.col(key).bitwiseXOR(F.lit(0).cast("long"))
