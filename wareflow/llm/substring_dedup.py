@@ -26,7 +26,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import anew, materialize, read
 
 WINDOW, SEED_WORDS = 50, 20
 #: Odd multipliers of the two rolling hashes and of the final mix.
@@ -171,18 +171,20 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> Da
     docs has doc_id (none null), th and text. What is written to the shared folder are segments, about 2 bytes a word.
     """
     every = materialize(segments(docs, window, seed), "segments")
-    reach = every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("anchor").alias("x"))
+    reach = every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(anew("anchor").alias("x"))
     shared = materialize(every.join(reach, F.col("anchor") == F.col("x"), "left_semi"), "shared-segments")
-    least = shared.groupBy("anchor", "segment").agg(F.min("doc_id").alias("least"))
-    known = shared.join(least, ["anchor", "segment"])
+    segment = shared.groupBy("anchor", "segment").agg(F.min("doc_id").alias("least"))
+    least = segment.select(anew("anchor").alias("x"), anew("segment").alias("y"), "least")
+    known = shared.join(least, (F.col("anchor") == F.col("x")) & (F.col("segment") == F.col("y"))).drop("x", "y")
     again = known.where("doc_id > least").select("doc_id", "th", "first", "n")
-    several = least.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select(F.col("anchor").alias("x"))
-    open_ends = known.where("doc_id = least").join(several, F.col("anchor") == F.col("x"), "left_semi")
+    several = segment.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select(anew("anchor").alias("z"))
+    open_ends = known.where("doc_id = least").join(several, F.col("anchor") == F.col("z"), "left_semi")
     lists = open_ends.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "n", "anchor")).alias("seeds"))
     windows = window_hashes(lists.join(docs.select("doc_id", "th", "text"), ["doc_id", "th"]), window)
     windows = materialize(windows, "windows")
     first_of = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    late = windows.join(first_of.select("anchor", "hash", "lo"), ["anchor", "hash"]).where("doc_id > lo")
+    first_of = first_of.select(anew("anchor").alias("x"), anew("hash").alias("y"), "lo")
+    late = windows.join(first_of, (F.col("anchor") == F.col("x")) & (F.col("hash") == F.col("y"))).where("doc_id > lo")
     found = again.unionByName(late.select("doc_id", "th", "first", F.lit(1).alias("n")))
     return found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
 
