@@ -40,3 +40,16 @@ def top_pick(df: DataFrame, least_scored: int = 3, least_trust: int = 70) -> Dat
     scored = df.where("trust_score IS NOT NULL")
     found = scored.agg(F.count("*").alias("n"), F.max_by(F.col("pos"), F.when((F.col("trust_score") >= least_trust) & (F.col("price") > 0), F.struct(F.col("trust_score") / F.col("price"), -F.col("pos")))).alias("pos"))
     return found.where((F.col("n") >= least_scored) & F.col("pos").isNotNull()).select("pos")
+
+
+def alternatives(df: DataFrame, trust: DataFrame, quality: DataFrame, low: int = 60) -> DataFrame:
+    """pos, score, role: scores by trust, else by review quality (both: asin, score); the top pick, and rows of low score that point to it.
+
+    The pick is one row, joined by a constant key.
+    """
+    t, q = trust.select(F.col("asin").alias("ta"), F.col("score").alias("ts")), quality.select(F.col("asin").alias("qa"), F.col("score").alias("qs"))
+    scored = df.join(t, F.col("asin") == F.col("ta"), "left").join(q, F.col("asin") == F.col("qa"), "left").withColumn("trust_score", F.coalesce("ts", "qs")).where("trust_score IS NOT NULL AND price > 0")
+    pick = top_pick(scored).select(F.col("pos").alias("pick"), F.lit(1).alias("one"))
+    marked = scored.withColumn("one", F.lit(1)).join(pick, "one", "left")
+    role = F.when(F.col("pos") == F.col("pick"), "top-pick").when(F.col("pick").isNotNull() & (F.col("trust_score") < low), "see-alternative").otherwise("plain")
+    return marked.select("pos", F.col("trust_score").alias("score"), role.alias("role"))

@@ -296,3 +296,67 @@ def streamed_events(spark, sf_dir):
     job = fresh.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query(
+    "brand_words",
+    """SELECT * FROM (VALUES (1, 'Acme', 'Visit'), (2, 'Zeta', 'Zeta'), (3, 'Nova', 'Nova'), (4, 'Unknown', 'wireless'), (5, 'Wireless', 'Wireless'), (6, 'Unknown', NULL)) t(id, brand, candidate)""".replace("'Visit'", "'mug'"),
+)
+def brand_words(spark, sf_dir):
+    """Brand cascade and candidates on literals."""
+    from ..functions import brands
+
+    rows = spark.createDataFrame(
+        [(1, "Visit the Acme Store", "mug-blue", "Blue mug", ""), (2, None, "Zeta-lamp", "Lamp", ""), (3, None, "", "Nova, red", ""), (4, None, "wireless-mouse", "best mouse", ""), (5, None, "", "Wireless mouse", "wireless"), (6, None, "", "best mouse", "")],
+        "id int, byline string, slug string, title string, learned string",
+    )
+    plain, taught = brands.brand_of(F.col("byline"), F.col("slug"), F.col("title")), brands.brand_of(F.col("byline"), F.col("slug"), F.col("title"), learned=("wireless",))
+    return rows.select("id", F.when(F.col("learned") != "", taught).otherwise(plain).alias("brand"), brands.brand_candidate(F.col("slug"), F.col("title")).alias("candidate"))
+
+
+@query("first_reviews", "SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) <= 10")
+def first_reviews(spark, sf_dir):
+    """The first ten reviews of each item in page order."""
+    from ..operators.ranking import top_k
+
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber")
+    return top_k(rows, ["l_partkey"], [F.col("l_orderkey"), F.col("l_linenumber")], 10).drop("rank")
+
+
+@query(
+    "alternatives",
+    """WITH p AS (SELECT p_partkey AS pos, p_retailprice AS price, coalesce(CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 101 END, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 89 END)::INT AS score FROM part), s AS (SELECT * FROM p WHERE score IS NOT NULL AND price > 0),
+k AS (SELECT pos AS pick FROM s WHERE score >= 70 ORDER BY score / price DESC, pos LIMIT 1)
+SELECT pos, score, CASE WHEN pos = pick THEN 'top-pick' WHEN score < 60 THEN 'see-alternative' ELSE 'plain' END AS role FROM s, k""",
+)
+def alternatives(spark, sf_dir):
+    """Scores with a fall-back, the pick, and who should look at it."""
+    from ..operators.ranking import alternatives as run
+
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_partkey").cast("string").alias("asin"), F.col("p_retailprice").alias("price"))
+    trust = part.where("pos % 2 = 0").select("asin", (F.col("pos") % 101).cast("int").alias("score"))
+    quality = part.where("pos % 3 = 0").select("asin", (F.col("pos") % 89).cast("int").alias("score"))
+    return run(part, trust, quality)
+
+
+@query("score_dimensions", "WITH p AS (SELECT p_partkey AS pos, (p_partkey % 2 = 0)::INT + (p_partkey % 3 = 0)::INT + (p_partkey % 5 = 0)::INT + 1 AS n FROM part) SELECT pos, CASE WHEN n >= 2 THEN n ELSE 0 END::INT AS n FROM p")
+def score_dimensions(spark, sf_dir):
+    """Dimensions of a listing that are known, shown from two on."""
+    p = F.col("p_partkey")
+    rows = scoring.score_rows(a=F.when(p % 2 == 0, p % 100), b=F.when(p % 3 == 0, p % 100), c=F.when(p % 5 == 0, p % 100), d=p % 100)
+    return table(spark, sf_dir, "part").select(p.alias("pos"), F.size(rows).alias("n"))
+
+
+@query("moved_brands", "SELECT * FROM (VALUES ('trusted', 'a'), ('trusted', 'b'), ('trusted', 'c'), ('blocked', 'd')) t(list, brand)")
+def moved_brands(spark, sf_dir):
+    """A brand enters one list and leaves the other."""
+    make = lambda *names: spark.createDataFrame([(n,) for n in names], "brand string")
+    trusted, blocked = stores.move_brand(make("a", "b"), make("c", "d"), make("b", "c"))
+    return trusted.select(F.lit("trusted").alias("list"), "brand").unionByName(blocked.select(F.lit("blocked").alias("list"), "brand"))
+
+
+@query("time_windows", "SELECT event_type, count(*)::BIGINT AS windows, sum(n)::BIGINT AS events FROM (SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS d, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY event_type")
+def time_windows(spark, sf_dir):
+    """Tumbling windows over events, as the streaming counters give them."""
+    days = _events(spark, sf_dir).groupBy("event_type", F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+    return days.groupBy("event_type").agg(F.count("*").alias("windows"), F.sum("n").alias("events"))
