@@ -27,7 +27,7 @@ def parse_count(text: Column) -> Column:
     short = r"^([0-9.]+)\s*([kKmMbB])$"
     unit = F.lower(F.regexp_extract(clean, short, 2))
     scale = F.when(unit == "k", 1e3).when(unit == "m", 1e6).otherwise(1e9)
-    big = half_up(F.expr("try_cast(0 as double)") + F.regexp_extract(clean, short, 1).try_cast("double") * scale)
+    big = half_up(F.regexp_extract(clean, short, 1).try_cast("double") * scale)
     plain = F.regexp_extract(clean, r"^([+-]?[0-9]+)", 1).try_cast("long")
     return F.coalesce(F.when(clean.rlike(short), big.cast("long")).otherwise(plain), F.lit(0)).cast("long")
 
