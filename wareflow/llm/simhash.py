@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read
 from .components import components
+from .similar import similar
 
 #: Seed of XXH64; part of the definition of a fingerprint.
 SEED = 42
@@ -318,12 +319,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, block
     return marks.join(named, marks.node == named.n).select("doc_id", "fp", "th", "component_id", "root")
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5, threshold: int = 7, blocks: int = 3, most: int = 13) -> DataFrame:
+def deduplicate(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """One document of each component, the one with the least doc_id, whole; rows without an id stay.
 
-    The defaults link documents of a shingle similarity (Jaccard) of about 0.8 and more.
+    Documents are linked if the Jaccard similarity of their shingles is at least `least`: fingerprints only estimate it.
     """
-    marked = near_duplicates(docs.where("doc_id IS NOT NULL"), shingle, threshold, blocks, most)
+    marked = similar(docs.where("doc_id IS NOT NULL"), shingle, least)
     best = marked.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("best")).select("best.*")
     th = "__text_hash"
     rows = docs.withColumn(th, F.xxhash64("text"))
