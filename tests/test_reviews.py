@@ -57,6 +57,13 @@ def test_recall_needs_more_than_one_word(spark):
     assert {r.pos for r in got} == {1} and "brand" in got[0].matched_on
 
 
+def test_recall_by_brand_alone_over_two_products(spark):
+    items = spark.createDataFrame([(1, "Stainless kettle", "Acme"), (2, "Stainless kettle", "Other"), (3, None, "Acme"), (4, "Stainless kettle", None)], "pos int, title string, brand string")
+    one = spark.createDataFrame([(7, [("Acme Toaster",), ("Acme Grill",)], "Appliances can burn", "Fire hazard", [("Shop",)])], "RecallID long, Products array<struct<Name: string>>, Title string, Description string, Retailers array<struct<Name: string>>")
+    got = {(r.pos, r.recall_id): (r.confidence, r.matched_on) for r in recalls.match_recalls(items, one).collect()}
+    assert got == {(1, 7): (0.5, ["brand"]), (3, 7): (0.5, ["brand"])}
+
+
 def test_alerts_and_capacity(spark):
     p = spark.createDataFrame([("a", i, v) for i, v in enumerate((10.0, 8.0, 9.0, 7.0))], "asin string, ts int, price double")
     t = spark.createDataFrame([("a", 8.0)], "asin string, target double")

@@ -35,7 +35,8 @@ def overlap(have: Column, target: Column) -> Column:
 def match_recalls(listings: DataFrame, recalls: DataFrame, least: float = 0.45, sold_on: str = "retailer") -> DataFrame:
     """pos, recall_id, confidence, matched_on of likely matches.
 
-    A score needs a shared word, so listings meet recalls by an equi-join on words (of titles, product names, descriptions), not all pairs.
+    A score needs a shared word of the listing's title or brand, so listings meet recalls by an equi-join on words (of titles and brands;
+    of product names, titles and descriptions), not all pairs.
     The fold over a recall's products is ordered: a brand hit adds to the best score so far.
     """
     t = lambda c: match_tokens(c, STOP_WORDS)
@@ -45,7 +46,7 @@ def match_recalls(listings: DataFrame, recalls: DataFrame, least: float = 0.45,
         F.exists("Retailers", lambda r: F.contains(F.lower(r["Name"]), F.lit(sold_on))).alias("sold"),
     )
     every = F.array_distinct(F.concat(F.flatten("names"), F.col("title"), F.col("text")))
-    meet = own.select("pos", F.explode("words").alias("w")).join(theirs.select("recall_id", F.explode(every).alias("w")), "w").select("pos", "recall_id").distinct()
+    meet = own.select("pos", F.explode(F.array_union("words", "brand")).alias("w")).join(theirs.select("recall_id", F.explode(every).alias("w")), "w").select("pos", "recall_id").distinct()
     both = meet.join(own, "pos").join(theirs, "recall_id")
     fold = F.aggregate(
         "names",
