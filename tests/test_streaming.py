@@ -30,3 +30,17 @@ def test_filter_in_micro_batches(spark, tmp_path):
     job = incremental.filtered(stream, lambda: F.when(F.col("price") > 5, "hide").otherwise("show"), lambda df, n: seen.extend(map(tuple, df.select("asin", "filter_result").collect())), str(tmp_path / "c"))
     job.awaitTermination()
     assert sorted(seen) == [("a", "show"), ("b", "hide")]
+
+
+def test_unseen_keeps_rows_without_a_key(spark, tmp_path):
+    import datetime
+
+    t = [datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=i) for i in range(6)]
+    rows = [("a", t[0], 1.0, None), ("a", t[1], 2.0, None), (None, t[2], 3.0, None), (None, t[2], 3.0, None), ("b", t[3], 4.0, None), (None, None, 5.0, None)]
+    write(spark, tmp_path / "in", rows)
+    stream = spark.readStream.schema("asin string, ts timestamp, price double, target double").parquet(str(tmp_path / "in"))
+    job = incremental.unseen(stream, "asin", "ts").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    job.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.asin for r in got if r.asin) == ["a", "b"]
+    assert sorted(r.price for r in got if r.asin is None) == [3.0, 3.0, 5.0]

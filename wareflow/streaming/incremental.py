@@ -14,7 +14,7 @@ HISTORY = 30
 def unseen(stream: DataFrame, key: str, time: str, delay: str = "1 hour") -> DataFrame:
     """Rows whose key was not seen within the watermark; state is bounded by it. Rows without a key pass through a branch of their own."""
     timed = stream.withWatermark(time, delay)
-    return timed.where(F.col(key).isNotNull()).dropDuplicatesWithinWatermark([key])
+    return timed.where(F.col(key).isNotNull()).dropDuplicatesWithinWatermark([key]).unionByName(timed.where(F.col(key).isNull()))
 
 
 def filtered(stream: DataFrame, verdict: Callable[[], Column], sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
