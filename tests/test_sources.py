@@ -42,3 +42,14 @@ def test_page_fields(spark):
     assert got[1].price == 1299.5 and got[1].item_id == "B08N5WRWNW" and got[1]["rank"]["rank"] == 12 and got[1].country == "China" and got[1].title_strategy == 0
     assert not got[2].ok and got[2].title is None and got[3].ok and got[3].title is None
     assert rows.select(html.large_image(F.lit("https://i/x._AC_SX_.jpg"))).first()[0] == "https://i/x.jpg"
+
+
+def test_every_customer_has_a_shortlist(spark):
+    from wareflow.plans import registry
+    from wareflow.sources.tables import table
+
+    lists = {}
+    for r in table(spark, "/root/testdata/sf0.001", "orders").orderBy("o_orderkey").collect():
+        lists.setdefault(str(r.o_custkey), []).append(f"- Order {r.o_orderkey}")
+    got = {r.list_name: r.markdown for r in registry.queries()["all_shortlists_markdown"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {k: "\n".join([f"# {k}", *v]) for k, v in lists.items()} and any(int(k) > 50 for k in got)

@@ -260,11 +260,21 @@ def search_urls(spark, sf_dir):
     return back.select("p.query", F.array_join("p.excluded", ",").alias("excluded"), "p.department", "p.price_max")
 
 
+def _order_items(orders):
+    """Orders as items of their customer's list."""
+    return orders.select(F.col("o_custkey").cast("string").alias("list_name"), F.col("o_orderkey").alias("added_at"), F.concat(F.lit("Order "), F.col("o_orderkey")).alias("title"), F.lit(None).cast("double").alias("price"))
+
+
 @query("shortlist_markdown", "WITH t AS (SELECT o_custkey::VARCHAR AS list_name, o_orderkey, 'Order ' || o_orderkey AS title FROM orders WHERE o_custkey <= 50) SELECT list_name, '# ' || list_name || chr(10) || string_agg('- ' || title, chr(10) ORDER BY o_orderkey) AS markdown FROM t GROUP BY list_name")
 def shortlist_markdown(spark, sf_dir):
     """Lists as Markdown (X5, X6; lists of the first customers)."""
-    items = table(spark, sf_dir, "orders").where("o_custkey <= 50").select(F.col("o_custkey").cast("string").alias("list_name"), F.col("o_orderkey").alias("added_at"), F.concat(F.lit("Order "), F.col("o_orderkey")).alias("title"), F.lit(None).cast("double").alias("price"))
-    return sinks.markdown_lists(items)
+    return sinks.markdown_lists(_order_items(table(spark, sf_dir, "orders").where("o_custkey <= 50")))
+
+
+@query("all_shortlists_markdown", "WITH t AS (SELECT o_custkey::VARCHAR AS list_name, o_orderkey, 'Order ' || o_orderkey AS title FROM orders) SELECT list_name, '# ' || list_name || chr(10) || string_agg('- ' || title, chr(10) ORDER BY o_orderkey) AS markdown FROM t GROUP BY list_name")
+def all_shortlists_markdown(spark, sf_dir):
+    """Lists as Markdown (X5, X6; lists of all customers)."""
+    return sinks.markdown_lists(_order_items(table(spark, sf_dir, "orders")))
 
 
 @query("media_counts", "SELECT * FROM (VALUES ('a', 1::BIGINT, 1::BIGINT, 1::BIGINT, 2::BIGINT)) t(asin, images, videos, verified, with_media)")
