@@ -53,3 +53,14 @@ def test_every_customer_has_a_shortlist(spark):
         lists.setdefault(str(r.o_custkey), []).append(f"- Order {r.o_orderkey}")
     got = {r.list_name: r.markdown for r in registry.queries()["all_shortlists_markdown"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {k: "\n".join([f"# {k}", *v]) for k, v in lists.items()} and any(int(k) > 50 for k in got)
+
+
+def test_two_overlapping_inputs_cover_the_table(spark):
+    from wareflow.plans import registry
+    from wareflow.sources.tables import listings, table
+
+    sf, queries = "/root/testdata/sf0.001", registry.queries()
+    keys = sorted(r[0] for r in queries["insert_absent_all"](spark, sf).collect())
+    assert keys == sorted(r[0] for r in table(spark, sf, "customer").select("c_custkey").collect())
+    got = {r.asin for r in queries["page_union_all"](spark, sf).collect()} - {None}
+    assert got == {r.asin for r in listings(spark, sf).select("asin").collect()} - {None}

@@ -112,6 +112,13 @@ def insert_absent(spark, sf_dir):
     return stores.insert_absent(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0"), "c_custkey")
 
 
+@query("insert_absent_all", "SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 UNION SELECT c_custkey FROM customer WHERE c_custkey % 2 <> 0 OR c_custkey % 3 = 0")
+def insert_absent_all(spark, sf_dir):
+    """As insert_absent, of two overlapping sets that hold all customers."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    return stores.insert_absent(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 2 <> 0 OR c_custkey % 3 = 0"), "c_custkey")
+
+
 @query("remove_keys", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def remove_keys(spark, sf_dir):
     """Difference by key."""
