@@ -228,18 +228,3 @@ def test_nearest(spark):
     want = brute_nearest(rows, queries, 10)
     assert {q: [(i, s) for _, i, s in sorted(v)] for q, v in got.items()} == {q: v for q, v in want.items() if v}
     assert nearest.nearest(df.limit(0), F.lit(True)).count() == 0
-
-
-def test_nearest_recall(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", F.col("embedding").alias("v"))
-    got = {}
-    for x in nearest.nearest(rows, F.col("vec_id") % 100 == 0, shard_rows=700).collect():
-        got.setdefault(x.query_id, set()).add(x.vec_id)
-    table = rows.toPandas()
-    x, ids = np.stack(table.v).astype(float), table.vec_id.to_numpy()
-    hits = 0
-    for q in got:
-        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
-        d[ids == q] = np.inf
-        hits += len(got[q] & set(ids[np.lexsort((ids, d))[:10]].tolist()))
-    assert hits >= 0.9 * 10 * len(got)

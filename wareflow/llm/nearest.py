@@ -1,185 +1,400 @@
 """Approximate nearest neighbours by a hash-prefix forest, Euclidean distance.
 
-Equal vectors are one class with its least ids, so any number of copies is searched once. Classes are dealt by hash into
-shards of bounded size. A shard has `TREES` sorted arrays of 64-bit hash strings (signs of projections, centred on
-the shard's mean). A query descends in every tree to its longest-prefix match and then ascends all trees together, one bit at a time,
-until enough candidates share its prefix; their distances are computed in double precision on the original vectors.
-How many are enough is measured, not assumed: each shard searches a bounded sample of its own vectors (`SAMPLE`), compares with
-brute force over the shard, and takes the least number, doubling, that finds `RECALL` of the true neighbours. Vectors with
-structure need few candidates, vectors without any need a large part of the shard.
-
-Queries are a stated set and meet the shards in blocks, up to `QUERY_ROWS` at a time; a shard returns only its best few.
-
-Nulls: vectors that are null, empty, zero or hold null or non-finite components take no part, nor rows with a null id. Vectors of
-another length are no candidates. Repeated rows count once. Ties go to the smaller id. An empty table gives no rows. Other columns
-are not read.
+A tree gives every vector a string of `BITS` bits, the signs of its projections on random directions about the mean; its sorted array is
+all strings in order. A query descends in each tree to its place, the longest-prefix match, and then all trees ascend together, one bit
+at a time, so the prefix that a candidate must share gets shorter until `enough` entries of all trees share it; at the last level trees
+join one after the other. The candidates' distances are computed in double precision on the original vectors.
+
+The forest is global. All arrays are sorted at once by range partitions; an entry's place in the whole order deals it into a block of
+fixed size, and entries near a border go to the next block too, so that every query has its neighbourhood, up to `enough` entries each
+way (`MAX_REACH` at most), in one block. No block depends on how vectors cluster. Blocks are read twice: for the number of entries that
+share each length of prefix, from which every query's last level follows, and for the candidates. Candidates meet vectors in blocks dealt
+by id, to which they go as lists of ids with one copy of the query's vector; a block returns only its best few of each query.
+
+`enough` is measured, not assumed: a bounded sample of `SAMPLE` vectors is compared with all vectors in one pass, by distance and by
+length of shared prefix, and the least number is taken at which the forest finds `RECALL` of their true neighbours. Vectors with
+structure need few candidates, uniformly random ones a share that falls slowly with their number. Only sums and the sample's
+neighbours reach the driver.
+
+Equal vectors are one class with its least ids, so any number of copies is one entry. Nulls: vectors that are null, empty, zero or hold
+null or non-finite components take no part, nor rows with a null id. Vectors of another length are no candidates (each length has
+a forest of its own). Repeated rows count once. Ties go to the smaller id. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import anew, materialize, read
 
-TREES, SEED = 16, 11
-#: Bounded sample of a shard's vectors that calibrates the search, and the recall it must reach there.
-SAMPLE, RECALL = 64, 0.985
-SHARD_ROWS, MAX_SHARDS, QUERY_ROWS = 8192, 4096, 1 << 15
+#: Trees, bits of a hash string (at most 52, so that a string is an exact double), seed of the directions.
+TREES, BITS, SEED = 64, 48, 11
+#: Vectors of the bounded sample that gives the mean; those of them that calibrate the search, and the recall to reach there.
+MEAN_ROWS, SAMPLE, RECALL = 1024, 64, 0.93
+#: Entries of a block of the sorted arrays at least; entries each way from a query at most; entries of a range partition.
+BLOCK_ENTRIES, MAX_REACH, SORT_ENTRIES = 1 << 16, 1 << 20, 1 << 19
+#: Bytes of vectors, and of query vectors with lists of ids, in a block where they meet.
+VECTOR_BYTES, LIST_BYTES = 8 << 20, 64 << 20
 
 
-class Forest:
-    """Sorted arrays of hash strings over the vectors of one shard."""
+@functools.lru_cache(maxsize=2)
+def _directions(dim: int, trees: int):
+    import numpy as np
 
-    def __init__(self, vectors, trees: int = TREES):
-        import numpy as np
+    return np.random.default_rng([SEED, dim]).standard_normal((dim, trees * BITS))
 
-        self.x, self.trees = vectors, trees
-        self.mean = vectors.mean(axis=0)
-        self.planes = np.random.default_rng(SEED).standard_normal((vectors.shape[1], trees * 64))
-        codes = self.codes(vectors)
-        self.order = [np.argsort(codes[:, t], kind="stable") for t in range(trees)]
-        self.sorted = [codes[self.order[t], t] for t in range(trees)]
-        self.enough = self.calibrate()
 
-    def codes(self, vectors):
-        import numpy as np
+def hash_strings(vectors, mean, trees: int):
+    """The hash strings of vectors of one length in every tree, as numbers below 2^BITS (vectors x trees)."""
+    import numpy as np
 
-        out = np.empty((len(vectors), self.trees), dtype=np.uint64)
-        for i in range(0, len(vectors), 4096):
-            bits = ((vectors[i : i + 4096] - self.mean) @ self.planes > 0).reshape(-1, self.trees, 8, 8)
-            packed = np.packbits(bits, axis=3).reshape(-1, self.trees, 8)
-            out[i : i + 4096] = np.ascontiguousarray(packed).view(">u8").reshape(-1, self.trees)
-        return out
+    out = np.empty((len(vectors), trees), dtype=np.int64)
+    for i in range(0, len(vectors), 1024):
+        bits = ((vectors[i : i + 1024] - mean) @ _directions(vectors.shape[1], trees) > 0).reshape(-1, trees, BITS)
+        packed = np.zeros((len(bits), trees, 8), dtype=np.uint8)
+        packed[:, :, 8 - BITS // 8 :] = np.packbits(bits, axis=2)
+        out[i : i + 1024] = packed.view(">i8").reshape(-1, trees)
+    return out
 
-    def ranges(self, codes, level: int):
-        """Where each query's prefix of `level` bits lies in each tree: arrays lo, hi (queries x trees)."""
-        import numpy as np
 
-        low = np.uint64((1 << (64 - level)) - 1)
-        lo, hi = np.empty(codes.shape, dtype=np.int64), np.empty(codes.shape, dtype=np.int64)
-        for t in range(self.trees):
-            lo[:, t] = np.searchsorted(self.sorted[t], codes[:, t] & ~low, "left")
-            hi[:, t] = np.searchsorted(self.sorted[t], codes[:, t] | low, "right")
-        return lo, hi
+def shared_prefix(a, b):
+    """Length of the common prefix of hash strings."""
+    import numpy as np
+
+    return BITS - np.frexp((a ^ b).astype(np.float64))[1]
+
+
+def usable(v: Column) -> Column:
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
+
+
+def _by_length(column):
+    """(rows, their vectors in double precision) for each length of vector in an Arrow list column."""
+    import numpy as np
+
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    sizes = np.diff(column.offsets.to_numpy())
+    starts = np.cumsum(sizes) - sizes
+    for dim in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == dim)
+        yield rows, flat[starts[rows][:, None] + np.arange(dim)]
+
+
+def _lists(values, sizes, kind):
+    """An Arrow list column from joined values and the sizes of its rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values, kind))
+
 
-    def candidates(self, queries, enough: int):
-        """For each query the places of its candidates: all trees ascend together until `enough` share the prefix."""
+class Sample:
+    """The bounded sample: a mean for each length of vector, and the vectors that calibrate the search."""
+
+    def __init__(self, classes: DataFrame, trees: int):
         import numpy as np
 
-        codes = self.codes(queries)
-        found: list = [None] * len(queries)
-        active = np.arange(len(queries))
-        for level in range(min(64, 2 + 2 * max(1, len(self.x)).bit_length()), -1, -1):
-            lo, hi = self.ranges(codes[active], level)
-            done = (hi - lo).sum(axis=1) >= enough if level else np.ones(len(active), dtype=bool)
-            for row in np.flatnonzero(done):
-                seen = np.zeros(len(self.x), dtype=bool)
-                for t in range(self.trees):
-                    seen[self.order[t][lo[row, t] : hi[row, t]]] = True
-                found[active[row]] = np.flatnonzero(seen)
-            active = active[~done]
-            if not len(active):
-                break
-        return found
-
-    def distances(self, query, places):
+        rows = classes.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(MEAN_ROWS).toArrow()
+        groups = list(_by_length(rows.column("v").combine_chunks())) if rows.num_rows else []
+        self.trees, self.means = trees, {x.shape[1]: x.mean(axis=0) for _, x in groups}
+        reps = rows.column("rep").to_numpy()
+        few = [(x.shape[1], r[r < SAMPLE], x[r < SAMPLE]) for r, x in groups]
+        self.asked = {dim: (r, reps[r], x, hash_strings(x, self.means[dim], trees)) for dim, r, x in few if len(r)}
+
+    def strings(self, vectors):
+        return hash_strings(vectors, self.means.get(vectors.shape[1], 0.0), self.trees)
+
+
+def with_strings(classes: DataFrame, sample: Sample) -> DataFrame:
+    """rep, v, asked, dim, strings (one for each tree)."""
+
+    def run(batches):
         import numpy as np
+        import pyarrow as pa
 
-        return np.sqrt(((self.x[places] - query) ** 2).sum(axis=1))
+        for batch in batches:
+            v = batch.column("v")
+            strings, dims = np.empty((batch.num_rows, sample.trees), dtype=np.int64), np.empty(batch.num_rows, dtype=np.int32)
+            for rows, x in _by_length(v):
+                strings[rows], dims[rows] = sample.strings(x), x.shape[1]
+            lists = _lists(strings.ravel(), np.full(batch.num_rows, sample.trees), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), v, batch.column("asked"), pa.array(dims), lists], ["rep", "v", "asked", "dim", "strings"])
 
-    def calibrate(self) -> int:
-        """The least number of candidates, doubling, with which a sample of the shard finds RECALL of its true neighbours."""
+    kind = classes.schema["v"].dataType.simpleString()
+    return classes.select("rep", "v", "asked").mapInArrow(run, f"rep long, v {kind}, asked boolean, dim int, strings array<long>")
+
+
+def calibrate(coded: DataFrame, sample: Sample, k: int) -> int:
+    """The least number of entries with which the sample finds RECALL of its k nearest, by one pass over all vectors."""
+    import numpy as np
+
+    def run(batches):
         import numpy as np
+        import pyarrow as pa
 
-        n, k = len(self.x), 10
-        if n <= 8 * SAMPLE:
-            return n * self.trees
-        rows = np.linspace(0, n - 1, SAMPLE).astype(np.int64)
-        truth = []
-        for r in rows:
-            d = self.distances(self.x[r], slice(None))
-            d[r] = np.inf
-            truth.append(set(np.argpartition(d, k)[:k].tolist()))
-        enough = 64
-        while enough < n * self.trees:
-            got = self.candidates(self.x[rows], enough)
-            if sum(len(t.intersection(g.tolist())) for t, g in zip(truth, got, strict=True)) >= RECALL * k * len(rows):
-                break
-            enough *= 2
+        counts = np.zeros((SAMPLE, BITS + 1), dtype=np.int64)
+        best = {}
+        for batch in batches:
+            reps = batch.column("rep").to_numpy()
+            strings = batch.column("strings").flatten().to_numpy().reshape(-1, sample.trees)
+            for rows, x in _by_length(batch.column("v")):
+                if x.shape[1] not in sample.asked:
+                    continue
+                for s, own, q, code in zip(*sample.asked[x.shape[1]], strict=True):
+                    prefix = shared_prefix(strings[rows], code)
+                    counts[s] += np.bincount(prefix.ravel(), minlength=BITS + 1)
+                    other = reps[rows] != own
+                    d, at, p = np.sqrt(((x[other] - q) ** 2).sum(axis=1)), reps[rows][other], prefix[other].max(axis=1)
+                    d, at, p = (np.concatenate(c) for c in zip(best.get(s, (d[:0], at[:0], p[:0])), (d, at, p), strict=True))
+                    top = np.lexsort((at, d))[:k]
+                    best[s] = d[top], at[top], p[top]
+        s, level = np.nonzero(counts)
+        none = lambda n, kind: pa.nulls(n, kind)
+        found = [(np.full(len(d), s_), d, at, p) for s_, (d, at, p) in best.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(level, pa.int32()), pa.array(counts[s, level]), none(len(s), pa.float64()), none(len(s), pa.int64())], ["s", "level", "n", "d", "rep"])
+        for s_, d, at, p in found:
+            yield pa.RecordBatch.from_arrays([pa.array(s_, pa.int32()), pa.array(p, pa.int32()), none(len(d), pa.int64()), pa.array(d), pa.array(at)], ["s", "level", "n", "d", "rep"])
+
+    seen = materialize(coded.select("rep", "v", "strings").mapInArrow(run, "s int, level int, n long, d double, rep long"), "vector-sample")
+    shared = np.zeros((SAMPLE, BITS + 2), dtype=np.int64)
+    for r in seen.where("n IS NOT NULL").groupBy("s", "level").agg(F.sum("n").alias("n")).collect():
+        shared[r.s, r.level] = r.n
+    shared = shared[:, ::-1].cumsum(axis=1)[:, ::-1]  # entries that share at least so many bits
+    nearest_of = Window.partitionBy("s").orderBy("d", "rep")
+    true = seen.where("n IS NULL").withColumn("rn", F.row_number().over(nearest_of)).where(F.col("rn") <= k).select("s", "level").collect()
+    most = max(1, int(shared[:, 0].max(initial=0)))
+    enough = sample.trees * (k + 1)  # an entry counts once in each tree, so these are k others at least
+    if not true:
         return enough
-
-    def search(self, queries, ids, k: int):
-        """(query, id, distance) arrays of the k nearest classes found for each query, ties to the smaller id."""
+    s, level = np.array([(r.s, r.level) for r in true]).T
+    while enough < most:
+        last = (shared[s, 1:-1] >= enough).sum(axis=1)  # the level at which there are enough
+        part = np.clip((enough - shared[s, last + 1]) / np.maximum(1, shared[s, last] - shared[s, last + 1]), 0, 1)
+        if (np.where(level > last, 1.0, np.where(level == last, part, 0.0))).mean() >= RECALL:
+            break
+        enough = math.ceil(enough * 1.15)
+    return min(enough, max(most, sample.trees * (k + 1)))
+
+
+def sorted_blocks(coded: DataFrame, entries: int, reach: int) -> DataFrame:
+    """block, runs (start, tree, dim of each array in it), strings, reps, homes: packed blocks of the sorted arrays, with borders.
+
+    `homes` are the places of the queries at home in the block.
+    """
+    order = ["dim", "tree", "string", "rep"]
+    each = coded.select("dim", "rep", "asked", F.posexplode("strings").alias("tree", "string"))
+    dealt = each.repartitionByRange(max(1, math.ceil(entries / SORT_ENTRIES)), *order).sortWithinPartitions(*order)
+    placed = dealt.select(*order, "asked", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("idx"))
+    placed = materialize(placed, "vector-arrays")
+    sizes = placed.groupBy("pid").agg(F.count("*").alias("n"))  # one row for each range partition
+    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("pid").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+    size = max(BLOCK_ENTRIES, reach)
+    ranked = placed.join(offsets, F.col("pid") == F.col("p")).withColumn("rank", F.col("skip") + F.col("idx"))
+    home, within = F.floor(F.col("rank") / size), F.col("rank") % size
+    blocks = F.filter(F.array(home, F.when(within < reach, home - 1), F.when(within >= size - reach, home + 1)), lambda b: b.isNotNull() & (b >= 0))
+    near = ranked.select(*order, "rank", (F.col("asked")).alias("asked"), home.alias("home"), F.explode(blocks).alias("block"))
+
+    def run(table):
         import numpy as np
+        import pyarrow as pa
 
-        out_q, out_i, out_d = [], [], []
-        for q, places in enumerate(self.candidates(queries, self.enough)):
-            d = self.distances(queries[q], places)
-            if len(d) > k:
-                near = d <= np.partition(d, k - 1)[k - 1]
-                places, d = places[near], d[near]
-            best = np.lexsort((ids[places], d))[:k]
-            out_q.append(np.full(len(best), q))
-            out_i.append(ids[places[best]])
-            out_d.append(d[best])
-        return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_d)
+        block = table.column("block")[0].as_py()
+        at = np.argsort(table.column("rank").to_numpy())
+        dim, tree, strings, reps = (table.column(c).to_numpy()[at] for c in order)
+        asked = table.column("asked").to_numpy()[at] & (table.column("home").to_numpy()[at] == block)
+        start = np.flatnonzero(np.concatenate(([True], (tree[1:] != tree[:-1]) | (dim[1:] != dim[:-1])))).astype(np.int32)
+        packed = [np.stack([start, tree[start], dim[start]]).astype("<i4"), strings.astype("<i8"), reps.astype("<i8"), np.flatnonzero(asked).astype("<i4")]
+        return pa.table({"block": pa.array([block], pa.int64()), **{name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("runs", "strings", "reps", "homes"), packed, strict=True)}})
 
+    return near.groupBy("block").applyInArrow(run, "block long, runs binary, strings binary, reps binary, homes binary")
 
-def usable(v: Column) -> Column:
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
+def _runs(row):
+    """(tree, strings, reps, places of its queries) of each array in a packed block."""
+    import numpy as np
 
-def _matrix(table, name: str):
-    """The vectors of a column, all of one length, in double precision."""
+    start, tree, _ = np.frombuffer(row["runs"], dtype="<i4").reshape(3, -1)
+    strings, reps, homes = np.frombuffer(row["strings"], dtype="<i8"), np.frombuffer(row["reps"], dtype="<i8"), np.frombuffer(row["homes"], dtype="<i4")
+    for a, b, t in zip(start, [*start[1:], len(reps)], tree, strict=True):
+        yield int(t), strings[a:b], reps[a:b], homes[(homes >= a) & (homes < b)] - a
+
+
+def _shares(strings, places, level, reach: int):
+    """First and last place of the entries that share `level` bits (one for each query) with the queries, within reach."""
     import numpy as np
 
-    flat = table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(table.num_rows, -1)
+    low = (np.int64(1) << (BITS - level)) - 1
+    own = strings[places]
+    lo = np.searchsorted(strings, own & ~low, "left")
+    hi = np.searchsorted(strings, own | low, "right")
+    return np.maximum(lo, places - reach), np.minimum(hi, places + reach + 1)
 
 
-def search_classes(classes: DataFrame, queries: DataFrame, k: int, shards: int, query_blocks: int) -> DataFrame:
-    """query, rep, score: the k nearest classes of each query class in every shard. Both inputs have rep and v."""
+def count_shared(blocks: DataFrame, reach: int) -> DataFrame:
+    """query, block, tree, counts: for each length of prefix the entries of the tree that share it."""
 
-    def run(left, right):
+    def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids = left.column("rep").to_numpy()
-        at = np.argsort(ids)  # so that the sample does not depend on the order of rows
-        forest = Forest(_matrix(left, "v")[at])
-        q, i, d = forest.search(_matrix(right, "w"), ids[at], k)
-        return pa.table({"query": pa.array(right.column("query").to_numpy()[q]), "rep": pa.array(i), "score": pa.array(d)})
+        for batch in batches:
+            for row in batch.to_pylist():
+                for tree, strings, reps, places in _runs(row):
+                    if len(places):
+                        spans = [_shares(strings, places, np.full(len(places), level), reach) for level in range(BITS + 1)]
+                        counts = np.stack([hi - lo for lo, hi in spans], axis=1)
+                        n = len(places)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(reps[places]), pa.array(np.full(n, row["block"])), pa.array(np.full(n, tree), pa.int32()), _lists(counts.ravel(), np.full(n, BITS + 1), pa.int32())],
+                            ["query", "block", "tree", "counts"],
+                        )
+
+    return blocks.mapInArrow(run, "query long, block long, tree int, counts array<int>")
 
-    by = [F.size("v").alias("dim"), F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard")]
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("block")
-    left = classes.select("rep", "v", *by, blocks)
-    right = queries.select(F.col("rep").alias("query"), F.col("v").alias("w"), F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.hash("rep"), F.lit(query_blocks)).alias("block"))
-    key = ["dim", "shard", "block"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, "query long, rep long, score double")
 
+def last_levels(counted: DataFrame, enough: int) -> DataFrame:
+    """query, level, until: trees up to `until` ascend to `level`, the others to one bit more; together they have enough entries."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                level, until = [], []
+                for found in part.column("of").to_pylist():
+                    found.sort(key=lambda f: f["tree"])
+                    counts = np.array([f["counts"] for f in found], dtype=np.int64)
+                    total = counts.sum(axis=0)
+                    at = int(np.flatnonzero(total >= enough).max(initial=0))
+                    longer = counts[:, at + 1] if at < BITS else np.zeros(len(counts), dtype=np.int64)
+                    grown = longer.sum() + np.cumsum(counts[:, at] - longer)
+                    level.append(at)
+                    until.append(found[min(int(np.searchsorted(grown, enough)), len(found) - 1)]["tree"])
+                yield pa.RecordBatch.from_arrays([part.column("query"), pa.array(level, pa.int32()), pa.array(until, pa.int32())], ["query", "level", "until"])
+
+    grouped = counted.groupBy("query").agg(F.collect_list(F.struct("tree", "counts")).alias("of"))
+    return grouped.mapInArrow(run, "query long, level int, until int")
+
+
+def _meeting_block(rep: Column, blocks: int) -> Column:
+    return F.pmod(rep.bitwiseXOR(F.shiftrightunsigned(rep, 15)).bitwiseXOR(F.shiftrightunsigned(rep, 31)), F.lit(blocks)).cast("int")
+
+
+def candidates(blocks: DataFrame, counted: DataFrame, enough: int, reach: int, meetings: int) -> DataFrame:
+    """query, at, reps: the candidates of each query, in lists by the block where they meet their vectors."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                query, level, until = (np.array(row[c]) for c in ("query", "level", "until"))
+                order = np.argsort(query)
+                for tree, strings, reps, places in _runs(row):
+                    if not len(places):
+                        continue
+                    of = order[np.searchsorted(query, reps[places], sorter=order)]
+                    last = level[of] + (tree > until[of])
+                    lo, hi = _shares(strings, places, np.minimum(last, BITS), reach)
+                    for j in range(0, len(places), 64):  # bounds what is held at once
+                        n = np.where(last[j : j + 64] > BITS, 0, hi[j : j + 64] - lo[j : j + 64])
+                        at = np.repeat(lo[j : j + 64] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                        found, owner = reps[at], np.repeat(np.arange(len(n)), n)
+                        u = found.view(np.uint64)
+                        meet = ((u ^ (u >> np.uint64(15)) ^ (u >> np.uint64(31))).view(np.int64) % meetings).astype(np.int64)
+                        by = np.lexsort((meet, owner))
+                        found, owner, meet = found[by], owner[by], meet[by]
+                        cut = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (meet[1:] != meet[:-1])))) if len(found) else np.zeros(0, dtype=np.int64)
+                        sizes = np.diff(np.append(cut, len(found)))
+                        yield pa.RecordBatch.from_arrays([pa.array(reps[places[j : j + 64]][owner[cut]]), pa.array(meet[cut], pa.int32()), _lists(found, sizes, pa.int64())], ["query", "at", "reps"])
+
+    levels = last_levels(counted, enough).select(F.col("query").alias("q"), "level", "until")
+    told = counted.select("query", "block").distinct().join(levels, F.col("query") == F.col("q"))
+    told = told.groupBy("block").agg(*(F.collect_list(c).alias(c) for c in ("query", "level", "until")))
+    told = told.select(anew("block").alias("b"), "query", "level", "until")
+    both = blocks.join(told, F.col("block") == F.col("b")).drop("b", "block")
+    found = both.mapInArrow(run, "query long, at int, reps array<long>")
+    return found.groupBy("query", "at").agg(F.array_distinct(F.flatten(F.collect_list("reps"))).alias("reps"))
+
+
+def measured(coded: DataFrame, found: DataFrame, k: int, meetings: int) -> DataFrame:
+    """query, rep, score: the k nearest candidates of each query in every block, its own class included."""
+
+    def run(left, right):
+        import numpy as np
+        import pyarrow as pa
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, shard_rows: int = SHARD_ROWS) -> DataFrame:
+        out: list[list] = [[], [], []]
+        if left.num_rows and right.num_rows:
+            vectors = {}
+            for rows, x in _by_length(left.column("v").combine_chunks()):
+                reps = left.column("rep").to_numpy()[rows]
+                order = np.argsort(reps)
+                vectors[x.shape[1]] = reps[order], x[order]
+            for at in range(right.num_rows):
+                row = right.slice(at, 1)
+                query = row.column("w").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                reps = row.column("reps").combine_chunks().flatten().to_numpy()
+                have, x = vectors[len(query)]
+                d = np.sqrt(((x[np.searchsorted(have, reps)] - query) ** 2).sum(axis=1))
+                if len(d) > k:
+                    near = d <= np.partition(d, k - 1)[k - 1]
+                    reps, d = reps[near], d[near]
+                best = np.lexsort((reps, d))[:k]
+                for column, values in zip(out, (np.full(len(best), row.column("query")[0].as_py()), reps[best], d[best]), strict=True):
+                    column.append(values)
+        query, rep, score = (np.concatenate(x) if x else np.zeros(0) for x in out)
+        return pa.table({"query": pa.array(query, pa.int64()), "rep": pa.array(rep, pa.int64()), "score": pa.array(score, pa.float64())})
+
+    vectors = coded.select("rep", "v", _meeting_block(F.col("rep"), meetings).alias("at"))
+    own = coded.where("asked").select(F.col("rep").alias("q"), F.col("v").alias("w"))
+    lists = found.join(own, F.col("query") == F.col("q")).select("query", "at", "reps", "w")
+    return vectors.groupBy("at").cogroup(lists.groupBy("at")).applyInArrow(run, "query long, rep long, score double")
+
+
+def searched(classes: DataFrame, k: int, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
+    """(query, rep, score) of the nearest classes found for each asked class, and the candidate lists they come from.
+
+    classes: rep, v, asked.
+    """
+    sample = Sample(classes, trees)
+    coded = materialize(with_strings(classes, sample), "vector-strings")
+    n, asked, size = coded.agg(F.count("*"), F.sum(F.col("asked").cast("long")), F.sum("dim")).first()
+    enough = calibrate(coded, sample, k)
+    reach = max(1, min(n, enough, MAX_REACH))
+    blocks = materialize(sorted_blocks(coded, n * trees, reach), "vector-blocks")
+    counted = materialize(count_shared(blocks, reach), "vector-counts")
+    bytes_each = 4 * (size or 0) / max(1, n)
+    meetings = max(1, math.ceil(4 * (size or 0) / VECTOR_BYTES), math.ceil((asked or 0) * enough * (bytes_each + 8) / LIST_BYTES))
+    found = materialize(candidates(blocks, counted, enough, reach, meetings), "vector-candidates")
+    return measured(coded, found, k, meetings), found
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, trees: int = TREES) -> DataFrame:
     """query_id, rank, vec_id, score for all rows (vec_id, v) that is_query selects, against all rows but their own."""
-    rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("v"))).select(F.col("vec_id").cast("long").alias("vec_id"), "v")
-    some = rows.withColumn("rn", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("rn") <= k + 1)
-    classes = materialize(some.groupBy("v").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_set("vec_id")).alias("ids")), "vector-classes")
-    asked = rows.where(is_query).distinct().join(classes.select("v", "rep"), "v").select("vec_id", "rep")
-    asked = materialize(asked, "vector-queries")
-    n, m = classes.count(), asked.count()
-    shards = min(MAX_SHARDS, max(1, math.ceil(n / shard_rows)))
-    wanted = classes.join(asked.select(F.col("rep").alias("r")).distinct(), F.col("rep") == F.col("r"), "left_semi")
-    found = search_classes(classes.select("rep", "v"), wanted.select("rep", "v"), k + 1, shards, max(1, math.ceil(m / QUERY_ROWS)))
+    rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("v"))).select(F.col("vec_id").cast("long").alias("vec_id"), "v", is_query.alias("asked"))
+    rows = rows.groupBy("v", "vec_id").agg(F.max("asked").alias("asked"))
+    least = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    ids = rows.withColumn("rn", least).where(F.col("rn") <= k + 1).groupBy("v").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_set("vec_id")).alias("ids"))
+    queries = rows.where("asked").select("vec_id", "v")
+    wanted = queries.select(F.col("v").alias("w")).distinct().withColumn("asked", F.lit(True))
+    classes = materialize(ids.join(wanted, F.col("v") == F.col("w"), "left").select("rep", "v", "ids", F.coalesce("asked", F.lit(False)).alias("asked")), "vector-classes")
+    own = queries.join(classes.where("asked").select(F.col("v").alias("w"), "rep"), F.col("v") == F.col("w")).select("vec_id", "rep")
+    found, _ = searched(classes.select("rep", "v", "asked"), k + 1, trees)
     ranked = found.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy("score", "rep"))).where(F.col("rn") <= k + 1)
-    members = ranked.join(classes.select("rep", "ids"), "rep").select("query", F.transform("ids", lambda i: F.struct(F.col("score").alias("score"), i.alias("vec_id"))).alias("found"))
+    members = ranked.join(classes.select(F.col("rep").alias("r"), "ids"), F.col("rep") == F.col("r")).select("query", F.transform("ids", lambda i: F.struct(F.col("score").alias("score"), i.alias("vec_id"))).alias("found"))
     lists = members.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
-    own = asked.join(lists, F.col("rep") == F.col("query"))
-    best = own.select(F.col("vec_id").alias("query_id"), F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("found"))
+    each = own.join(lists.select(anew("query").alias("q"), "found"), F.col("rep") == F.col("q"))
+    best = each.select(F.col("vec_id").alias("query_id"), F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("found"))
     return best.select("query_id", F.posexplode("found").alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
