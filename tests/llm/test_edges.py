@@ -83,21 +83,84 @@ def test_tokens_and_packing(docs, none):
     assert {(r.doc_id, r.n_tokens) for r in token_counts.token_counts(docs, model).collect()} == {(d, len(sp.encode(t or ""))) for d, t, *_ in ROWS}
 
 
-def test_language_model(docs, none):
-    held = {d: binascii.crc32(str(d).encode() if d is not None else b"") % 7 == 2 for d, *_ in ROWS}
-    tokens = [(d, [*(w.lower() for w in split(t)), None]) for d, t, *_ in ROWS]
-    c = Counter(w for d, ws in tokens if not held[d] for w in ws)
-    n, v = sum(c.values()), len(c)
-    want = sorted(((d, held[d], len(ws), sum(w in c for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for d, ws in tokens), key=str)
-    rows = language_model.lm_scores(docs, block_bytes=20000).collect()
-    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows), key=str) == want
-    assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
-    again = language_model.lm_scores(docs.repartition(5), block_bytes=50000).collect()
-    close = lambda rs: sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in rs)
-    assert close(rows) == close(again)
+def brute_model(rows, k=60):
+    """Scores by counting in dictionaries, with expectation-maximisation written out token by token."""
+    from wareflow.llm.language_model import BUCKETS, DELETED, STEPS
+
+    crc = {d: binascii.crc32(str(d).encode() if d is not None else b"") for d, *_ in rows}
+    tokens = [(d, [*(w.lower() for w in split(t)), "</s>"]) for d, t, *_ in rows]
+
+    def counts(parts):
+        one, two = Counter(), Counter()
+        for ws in parts:
+            one.update(ws)
+            two.update(zip(["<s>", *ws], ws))
+        return one | Counter({"<s>": one["</s>"]}), two, sum(one.values()), len(one)
+
+    def bucket(n):
+        return min(BUCKETS - 1, n.bit_length()) if n else 0
+
+    train = [(d, ws) for d, ws in tokens if crc[d] % 7 != 2]
+    one, two, n, v = counts(ws for d, ws in train if crc[d] // 7 % DELETED)
+    seen = {}
+    for d, ws in train:
+        if crc[d] // 7 % DELETED == 0:
+            for a, w in zip(["<s>", *ws], ws):
+                octave = lambda p: 2 ** (round(STEPS * math.log2(p * (v + 1))) / STEPS) if p else 0.0
+                seen.setdefault(bucket(one[a]), []).append((octave(two[a, w] / max(one[a], 1)), octave(one[w] / max(n, 1)), 1.0))
+    weights = {}
+    for b in range(BUCKETS):
+        lam = [0.0, 5 / 6, 1 / 6] if b == 0 else [0.4, 0.5, 0.1]
+        for _ in range(k if b in seen else 0):
+            total = [0.0] * 3
+            for r in seen[b]:
+                z = sum(x * y for x, y in zip(r, lam))
+                total = [t + x * y / z for t, x, y in zip(total, r, lam)]
+            lam = [max(t / len(seen[b]), 0.0 if b == 0 and i == 0 else 1e-6) for i, t in enumerate(total)]
+            lam = [x / sum(lam) for x in lam]
+        weights[b] = lam
+    one, two, n, v = counts(ws for _, ws in train)
+    out = []
+    for d, ws in tokens:
+        own = 0.0
+        for a, w in zip(["<s>", *ws], ws):
+            x, y, z = weights[bucket(one[a])]
+            own += math.log10(x * two[a, w] / max(one[a], 1) + y * one[w] / n + z / (v + 1))
+        base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in ws)
+        out.append((d, crc[d] % 7 == 2, len(ws), sum(one[w] > 0 for w in ws), n, round(base, 6), round(own, 5)))
+    return sorted(out, key=str)
+
+
+LM_ROWS = [*ROWS, *((100 + i, " ".join(rng_words(random.Random(i).randrange(5, 400), i, 60 + i))) for i in range(80))]
+
+
+def test_language_model(spark, docs, none):
+    want = brute_model(LM_ROWS)
+    df = spark.createDataFrame([r[:2] for r in LM_ROWS], "doc_id long, text string").repartition(3)
+    score = lambda **k: sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 5)) for r in language_model.lm_scores(df, **k).collect()), key=str)
+    assert score() == want
+    assert score(block_bytes=9000, part_bytes=4000) == want
+    assert score(block_bytes=5000, part_bytes=2000, fan=4) == want  # blocks are merged before they ask
+    assert language_model.lm_scores(docs).count() == len(ROWS)
     assert language_model.lm_scores(none).count() == 0
 
 
+def test_counts_beyond_32_bits(spark):
+    keys, big = np.array([3, 9 << 40], dtype=np.uint64), np.array([2**32 + 5, 7], dtype=np.int64)
+    assert language_model._unpack(language_model._pack(big), np.int64).tolist() == big.tolist()
+    rows = language_model._asked(1, 1, 0, keys, big, big * 0).to_pylist()
+    asked = spark.createDataFrame([{**r, "who": who} for r in rows for who in (1, 2)], language_model.ASK)
+    got = {r.who: r for r in language_model.answer(asked).collect()}
+    assert language_model._unpack(bytes(got[2].rest), np.int64).tolist() == [2 * (2**32 + 5), 14] and got[-1].n_rest == 2 * (2**32 + 5)
+
+
+def test_rows_of_the_exchange_grow_with_the_input(spark):
+    text = " ".join(rng_words(3000, 4, 3000))
+    blocks = language_model.packed(spark.range(64).selectExpr("id AS doc_id", "0 AS kind", f"'{text}' AS text").coalesce(1), 10000)
+    n = blocks.count()
+    assert n == 8 and language_model.ask(blocks, 3).count() == 8 * n
+
+
 def test_mixture_weights_follow_the_counts():
     bins = [(1, 40, 20, 900), (1, -(1 << 20), 20, 100)]
     pair, word, floor = language_model.learn(bins)[1]

@@ -41,6 +41,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def text_bytes(docs: DataFrame) -> int:
-    """Bytes of all texts; one scan of one column, used to size partitions."""
-    return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of bounded bytes, whatever the length of texts. It changes no result, so it may stay set."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

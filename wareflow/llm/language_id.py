@@ -21,7 +21,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import bounded_batches, read
 
 DIMENSION, SEED, LATIN, SYMBOLS = 1024, 20240229, 0x250, 1024
 FOLDS, HELD_FOLD = 4, 2
@@ -140,12 +140,11 @@ def identify(docs: DataFrame, learned: dict[str, list[int]], dimension: int = DI
                     scores.append(min(1.0, max(0.0, float(cosines[best]))))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold(FOLDS) == HELD_FOLD).alias("held_out"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    bounded_batches(spark)
     learned = prototypes(docs.where("NOT held_out AND lang IS NOT NULL"))
     return identify(docs.drop("lang"), learned)

@@ -4,15 +4,17 @@ The model of a token w after v is l2(b) c(vw)/c(v) + l1(b) c(w)/N + l0(b)/(V+1),
 frequency c(v). Counts are of all training documents. The weights l are learned by expectation-maximisation on a deleted
 part of them (one document in ten, by id): its tokens are predicted from the counts of the rest.
 
-Counting and look-up are one exchange of sorted blocks. Documents are dealt into blocks of a few MB; each block sends its distinct keys
-(64-bit hashes of words and word pairs, difference-coded) with their counts to parts by key range; a part adds up the counts and
-answers each block in the order it asked. A frequent pair comes once from each block, so no key is hot, and no table of n-grams is
-ever broadcast or held by one task. Answers are written to the shared folder; they hold counts only, so weights can be
-learned from the deleted blocks alone, before all blocks are scored.
+Texts are packed into blocks of a few MB where they are read, with no shuffle, and written once. Counting and look-up are an exchange
+of sorted blocks: each sends its distinct keys (64-bit hashes of words and word pairs, difference-coded) with their counts to parts by
+key range; a part adds up the counts (64 bits) and answers each block in the order it asked. A frequent pair comes once from each
+block, so no key is hot, and no table of n-grams is ever broadcast or held by one task. Parts are sized by bytes. Up to `FAN` of them
+blocks ask the parts; beyond, blocks ask FAN coarse ranges, where those of a group of about FAN blocks are merged before they ask the parts
+inside, so a block costs FAN + parts / FAN rows at most. Answers are written to the shared folder; they hold counts only, so weights can
+be learned from the deleted blocks alone, before all blocks are scored. Only the scoring shuffles texts, once, to meet their answers.
 
 Nulls: a null text is empty (only its end token is scored); a null doc_id counts as the empty id, which is a training id.
-Repeated rows count each, in training as in scoring. An empty table gives no rows. Other columns are not read. Sums over a
-document run in word order, so reruns agree.
+Repeated rows count each, in training as in scoring. A very long text is a block of its own. An empty table gives no rows. Other
+columns are not read. Sums over a document run in word order, so reruns agree.
 """
 
 from __future__ import annotations
@@ -22,10 +24,13 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read, text_bytes
+from .common import bounded_batches, materialize, read
 
 FOLDS, HELD_FOLD, DELETED = 7, 2, 10
-BLOCK_BYTES = 4 << 20
+#: Bytes of text of a block, and those whose keys are one part.
+BLOCK_BYTES, PART_BYTES = 4 << 20, 8 << 20
+#: Parts that a block asks without a merge in between, and about so many blocks are merged.
+FAN = 1 << 11
 #: Context-frequency buckets: 0 for an unseen context, then one for each doubling.
 BUCKETS = 18
 #: Steps of an octave by which ratios are binned for expectation-maximisation, and its rounds.
@@ -99,83 +104,181 @@ def _unpack(blob: bytes, kind):
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
 
 
-def _texts(table) -> list:
+def packed(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """block, deleted, n_bytes, doc_ids, kinds, texts: documents (doc_id, kind, text) in blocks, deleted ones (kind 1) apart from the rest."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, made, held = TaskContext.get().partitionId(), 0, {False: ([], 0), True: ([], 0)}
+
+        def block(deleted: bool):
+            nonlocal made
+            rows = pa.concat_tables([pa.table(c, ["doc_id", "kind", "text"]) for c in held[deleted][0]]).combine_chunks()
+            lists = [pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column(c).combine_chunks()) for c in ("doc_id", "kind", "text")]
+            out = pa.RecordBatch.from_arrays([pa.array([task << 32 | made]), pa.array([deleted]), pa.array([held[deleted][1]], pa.int64()), *lists], ["block", "deleted", "n_bytes", "doc_ids", "kinds", "texts"])
+            held[deleted], made = ([], 0), made + 1
+            return out
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 8):
+                part = batch.slice(i, 8)
+                for deleted in (False, True):
+                    own = part.filter(pa.array([(k == 1) == deleted for k in part.column("kind").to_pylist()]))
+                    if own.num_rows:
+                        sizes = own.column("text").cast(pa.binary())
+                        held[deleted][0].append([own.column(c) for c in ("doc_id", "kind", "text")])
+                        held[deleted] = (held[deleted][0], held[deleted][1] + sum(len(t or b"") for t in sizes.to_pylist()))
+                        if held[deleted][1] >= block_bytes:
+                            yield block(deleted)
+        for deleted in (False, True):
+            if held[deleted][0]:
+                yield block(deleted)
+
+    return docs.select("doc_id", "kind", "text").mapInArrow(run, f"block long, deleted boolean, n_bytes long, doc_ids array<{id_type}>, kinds array<int>, texts array<string>")
+
+
+def _texts(lists) -> list:
     import pyarrow as pa
 
-    return table.column("text").cast(pa.binary()).to_pylist()
+    return lists.flatten().cast(pa.binary()).to_pylist()
 
 
-def ask(docs: DataFrame, parts: int) -> DataFrame:
-    """For each block and part: keys, and their counts in training (rest and deleted)."""
+def _split(keys, first: int, bits: int):
+    """Where sorted keys pass from one part to the next, of 2^bits parts by the bits of a key from the `first` highest on."""
+    import numpy as np
 
-    def run(table):
-        import numpy as np
-        import pyarrow as pa
+    parts = (keys << np.uint64(first)) >> np.uint64(64 - bits) if bits else np.zeros(len(keys), dtype=np.uint64)
+    cut = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
+    return parts[cut].astype(np.int64), cut, np.append(cut[1:], len(keys))
+
+
+ASK = "who long, part long, keys binary, rest binary, deleted binary"
+ANSWER = "who long, part long, rest binary, deleted binary, n_rest long, n_deleted long, v_rest long, v_all long"
+
+
+def _asked(who: int, base: int, bits: int, every, rest, deleted):
+    """A row for each part that has keys of `every`; parts are numbered from base << bits."""
+    import pyarrow as pa
+
+    parts, lo, hi = _split(every, base.bit_length() - 1, bits)
+    blobs = [[_pack(make(x[a:b])) for a, b in zip(lo, hi, strict=True)] for make, x in ((_differences, every), (lambda c: c, rest), (lambda c: c, deleted))]
+    n = len(parts)
+    return pa.RecordBatch.from_arrays([pa.array([who] * n, pa.int64()), pa.array((base << bits) + parts), *(pa.array(b, pa.binary()) for b in blobs)], ["who", "part", "keys", "rest", "deleted"])
+
+
+def _differences(keys):
+    import numpy as np
+
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def _summed(table):
+    """Of all who asked: sizes of their lists, their keys' places among all distinct keys, these keys, and their summed counts."""
+    import numpy as np
+
+    blobs = [[_unpack(x, kind) for x in table.column(name).to_pylist()] for name, kind in (("keys", np.uint64), ("rest", np.int64), ("deleted", np.int64))]
+    keys = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in blobs[0]])
+    every, place = np.unique(keys, return_inverse=True)
+    counts = []
+    for b in blobs[1:]:
+        total = np.zeros(len(every), dtype=np.int64)
+        np.add.at(total, place, np.concatenate(b))
+        counts.append(total)
+    return [len(x) for x in blobs[0]], place, every, *counts
 
-        tokens, before, starts = _tokens(_texts(table))
-        kinds = np.repeat(table.column("kind").to_numpy(), np.diff(np.append(starts, len(tokens))))
-        one, two = _keys(tokens, before)
-        keys, kinds = np.concatenate((one, two)), np.concatenate((kinds, kinds))
-        every, place = np.unique(keys, return_inverse=True)
-        rest = np.bincount(place[kinds == 0], minlength=len(every)).astype(np.uint32)
-        deleted = np.bincount(place[kinds == 1], minlength=len(every)).astype(np.uint32)
-        shift = np.uint64(64 - (parts - 1).bit_length()) if parts > 1 else None
-        cut = np.searchsorted(every >> shift, np.arange(parts + 1, dtype=np.uint64)) if parts > 1 else np.array([0, len(every)])
-        rows = []
-        for p in range(parts):
-            a, b = cut[p], cut[p + 1]
-            if b > a:
-                rows.append((p, _pack(np.diff(every[a:b], prepend=np.uint64(0))), _pack(rest[a:b]), _pack(deleted[a:b])))
-        block = table.column("block")[0].as_py()
-        part, k, r, d = zip(*rows, strict=True)
-        return pa.table({"block": pa.array([block] * len(part), pa.int32()), "part": pa.array(part, pa.int32()), "keys": pa.array(k, pa.binary()), "rest": pa.array(r, pa.binary()), "deleted": pa.array(d, pa.binary())})
 
-    return docs.groupBy("block").applyInArrow(run, "block int, part int, keys binary, rest binary, deleted binary")
+def _answers(table, place, sizes, rest, deleted, totals=None):
+    """A row for each who asked, with the counts in the order of the keys; with totals also one for nobody (-1)."""
+    import numpy as np
+    import pyarrow as pa
+
+    ends = np.cumsum(sizes)[:-1]
+    own = [[_pack(x) for x in np.split(c[place], ends)] for c in (rest, deleted)]
+    n, more = len(sizes), [] if totals is None else [0]
+    return pa.table({
+        "who": pa.array([*table.column("who").to_pylist(), *(-1 for _ in more)], pa.int64()), "part": pa.array([*table.column("part").to_pylist(), *more], pa.int64()),
+        "rest": pa.array([*own[0], *(b"" for _ in more)], pa.binary()), "deleted": pa.array([*own[1], *(b"" for _ in more)], pa.binary()),
+        **{name: pa.array([0] * n + ([totals[i]] if more else []), pa.int64()) for i, name in enumerate(("n_rest", "n_deleted", "v_rest", "v_all"))},
+    })
+
+
+def ask(blocks: DataFrame, bits: int) -> DataFrame:
+    """For each block and each of 2^bits parts: keys, and their counts in training (rest and deleted)."""
 
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                tokens, before, starts = _tokens(_texts(row.column("texts")))
+                kinds = np.repeat(row.column("kinds").flatten().to_numpy(), np.diff(np.append(starts, len(tokens))))
+                one, two = _keys(tokens, before)
+                keys, kinds = np.concatenate((one, two)), np.concatenate((kinds, kinds))
+                every, place = np.unique(keys, return_inverse=True)
+                rest, deleted = (np.bincount(place[kinds == k], minlength=len(every)).astype(np.int64) for k in (0, 1))
+                yield _asked(row.column("block")[0].as_py(), 1, bits, every, rest, deleted)
 
-ANSWER = "block int, part int, rest binary, deleted binary, n_rest long, n_deleted long, v_rest long, v_all long"
+    return blocks.select("block", "kinds", "texts").mapInArrow(run, ASK)
 
 
 def answer(asked: DataFrame) -> DataFrame:
-    """The counts over all blocks, for each block in the order of its keys; block -1 has a part's totals of unigrams."""
+    """The counts over all who asked, for each in the order of its keys; who -1 has a part's totals of unigrams."""
 
     def run(table):
         import numpy as np
-        import pyarrow as pa
 
-        blobs = [[_unpack(x, kind) for x in table.column(name).to_pylist()] for name, kind in (("keys", np.uint64), ("rest", np.uint32), ("deleted", np.uint32))]
-        sizes = [len(x) for x in blobs[0]]
-        keys = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in blobs[0]])
-        every, place = np.unique(keys, return_inverse=True)
-        rest = np.bincount(place, weights=np.concatenate(blobs[1]), minlength=len(every)).astype(np.uint32)
-        deleted = np.bincount(place, weights=np.concatenate(blobs[2]), minlength=len(every)).astype(np.uint32)
+        sizes, place, every, rest, deleted = _summed(table)
         single = (every & np.uint64(1)) == 1
-        totals = [int(rest[single].sum(dtype=np.int64)), int(deleted[single].sum(dtype=np.int64)), int((rest[single] > 0).sum()), int((rest[single].astype(np.int64) + deleted[single] > 0).sum())]
-        ends = np.cumsum(sizes)
-        out_rest = [_pack(x) for x in np.split(rest[place], ends[:-1])]
-        out_deleted = [_pack(x) for x in np.split(deleted[place], ends[:-1])]
-        n, part = len(sizes), table.column("part")[0].as_py()
-        return pa.table({
-            "block": pa.array([*table.column("block").to_pylist(), -1], pa.int32()), "part": pa.array([part] * (n + 1), pa.int32()),
-            "rest": pa.array([*out_rest, b""], pa.binary()), "deleted": pa.array([*out_deleted, b""], pa.binary()),
-            **{name: pa.array([0] * n + [t], pa.int64()) for name, t in zip(("n_rest", "n_deleted", "v_rest", "v_all"), totals, strict=True)},
-        })
+        totals = [int(rest[single].sum()), int(deleted[single].sum()), int((rest[single] > 0).sum()), int((rest[single] + deleted[single] > 0).sum())]
+        return _answers(table, place, sizes, rest, deleted, totals)
 
     return asked.groupBy("part").applyInArrow(run, ANSWER)
 
 
-def _looked_up(docs, answers):
+def answer_merged(asked: DataFrame, groups: int, bits: int) -> DataFrame:
+    """As answer, for blocks that asked coarse parts: groups of blocks are merged in each, and ask 2^bits parts inside it."""
+
+    def merge(table):
+        import pyarrow as pa
+
+        _, _, every, rest, deleted = _summed(table)
+        return pa.Table.from_batches([_asked(table.column("of")[0].as_py(), table.column("part")[0].as_py(), bits, every, rest, deleted)])
+
+    def spread(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        sizes, place, *_ = _summed(left)
+        order = np.argsort(right.column("part").to_numpy())
+        found = []
+        for name in ("rest", "deleted"):
+            blobs = right.column(name).to_pylist()
+            found.append(np.concatenate([_unpack(blobs[i], np.int64) for i in order]))
+        return _answers(left, place, sizes, *found)
+
+    asked = materialize(asked.withColumn("of", F.pmod(F.xxhash64("who"), F.lit(groups))), "lm-asked")
+    fine = materialize(answer(asked.groupBy("of", "part").applyInArrow(merge, ASK)), "lm-merged")
+    inside = fine.where("who >= 0").select(F.col("who").alias("of"), "part", "rest", "deleted", F.shiftright("part", bits).alias("coarse"))
+    back = asked.groupBy("of", "part").cogroup(inside.groupBy("of", "coarse")).applyInArrow(spread, ANSWER)
+    return back.unionByName(fine.where("who < 0"))
+
+
+def _looked_up(row, answers):
     """Of a block: starts of documents, and for each token (rest, deleted) counts of the pair, its context and itself."""
     import numpy as np
 
-    tokens, before, starts = _tokens(_texts(docs))
+    tokens, before, starts = _tokens(_texts(row.column("texts").combine_chunks()))
     one, two = _keys(tokens, before)
     every, place = np.unique(np.concatenate((one, two)), return_inverse=True)
     order = np.argsort(answers.column("part").to_numpy())
     out = []
     for name in ("rest", "deleted"):
         blobs = answers.column(name).to_pylist()
-        counts = np.concatenate([_unpack(blobs[i], np.uint32) for i in order]).astype(np.int64)
+        counts = np.concatenate([_unpack(blobs[i], np.int64) for i in order])
         word, pair = counts[place[: len(tokens)]], counts[place[len(tokens) :]]
         context = np.empty_like(word)
         context[1:] = word[:-1]
@@ -191,15 +294,13 @@ def _bucket(context):
     return np.where(context > 0, np.minimum(BUCKETS - 1, np.floor(np.log2(np.maximum(context, 1))).astype(np.int64) + 1), 0)
 
 
-def deleted_bins(docs: DataFrame, answers: DataFrame, n: int, v: int) -> DataFrame:
+def deleted_bins(blocks: DataFrame, answers: DataFrame, n: int, v: int) -> DataFrame:
     """Tokens of the deleted documents by bucket and by the binned ratios of the pair's and the word's estimates to the floor."""
 
     def run(left, right):
         import numpy as np
         import pyarrow as pa
 
-        if not left.num_rows:
-            return pa.table({"bucket": pa.array([], pa.int32()), "r2": pa.array([], pa.int32()), "r1": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
         _, (pair, context, word), _ = _looked_up(left, right)
         none = -(1 << 20)
 
@@ -210,7 +311,8 @@ def deleted_bins(docs: DataFrame, answers: DataFrame, n: int, v: int) -> DataFra
         rows, counts = np.unique(rows, axis=0, return_counts=True)
         return pa.table({"bucket": pa.array(rows[:, 0], pa.int32()), "r2": pa.array(rows[:, 1], pa.int32()), "r1": pa.array(rows[:, 2], pa.int32()), "n": pa.array(counts, pa.int64())})
 
-    bins = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "bucket int, r2 int, r1 int, n long")
+    own = answers.join(blocks.where("deleted").select(F.col("block").alias("b")), F.col("who") == F.col("b"), "left_semi")
+    bins = blocks.where("deleted").select("block", "texts").groupBy("block").cogroup(own.groupBy("who")).applyInArrow(run, "bucket int, r2 int, r1 int, n long")
     return bins.groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n"))
 
 
@@ -236,19 +338,13 @@ def learn(bins: list[tuple[int, int, int, int]]) -> list[tuple[float, float, flo
     return out
 
 
-def score(docs: DataFrame, answers: DataFrame, weights: list, n: int, v: int) -> DataFrame:
+def score(blocks: DataFrame, answers: DataFrame, weights: list, n: int, v: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    doc_kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(left, right):
         import numpy as np
         import pyarrow as pa
 
-        if not left.num_rows:
-            left = left.slice(0, 0)
-            kinds = (left.column("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            return pa.table({k: pa.array([], t) for k, t in zip(names, kinds, strict=True)})
         starts, rest, deleted = _looked_up(left, right)
         pair, context, word = (a + b for a, b in zip(rest, deleted, strict=True))
         mix = np.array(weights)[_bucket(context)]
@@ -256,33 +352,33 @@ def score(docs: DataFrame, answers: DataFrame, weights: list, n: int, v: int) ->
         lengths = np.diff(np.append(starts, len(word)))
         base = np.add.reduceat(np.log10((word + 1) / (n + 1 * (v + 1))), starts)
         return pa.table({
-            "doc_id": left.column("doc_id"), "held_out": pa.array(left.column("kind").to_numpy() == 2), "n_tokens": pa.array(lengths.astype(np.int64)),
-            "n_known": pa.array(np.add.reduceat((word > 0).astype(np.int64), starts)), "train_tokens": pa.array(np.full(len(starts), n, dtype=np.int64)),
-            "base_score": pa.array(base), "score": pa.array(np.add.reduceat(np.log10(p), starts)),
+            "doc_id": left.column("doc_ids").combine_chunks().flatten(), "held_out": pa.array(left.column("kinds").combine_chunks().flatten().to_numpy() == 2),
+            "n_tokens": pa.array(lengths.astype(np.int64)), "n_known": pa.array(np.add.reduceat((word > 0).astype(np.int64), starts)),
+            "train_tokens": pa.array(np.full(len(starts), n, dtype=np.int64)), "base_score": pa.array(base), "score": pa.array(np.add.reduceat(np.log10(p), starts)),
         })
 
-    schema = f"doc_id {doc_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    id_type = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return blocks.select("block", "doc_ids", "kinds", "texts").groupBy("block").cogroup(answers.groupBy("who")).applyInArrow(run, schema)
 
 
-def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, fan: int = FAN) -> DataFrame:
     """Scores of all docs; those whose fold is HELD_FOLD are not learned from."""
-    thin = docs.select("doc_id", "text")
-    blocks = max(1, math.ceil(text_bytes(thin) / block_bytes))
-    parts = 1 << (blocks - 1).bit_length()
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     kind = F.when(crc % FOLDS == HELD_FOLD, 2).when(F.floor(crc / FOLDS) % DELETED == 0, 1).otherwise(0)
-    few = max(1, blocks // DELETED)
-    by = F.xxhash64(F.col("doc_id"), F.length("text"))
-    block = F.when(F.col("kind") == 1, blocks + F.pmod(by, F.lit(few))).otherwise(F.pmod(by, F.lit(blocks))).cast("int")
-    dealt = thin.withColumn("kind", kind.cast("long")).withColumn("block", block)
-    answers = materialize(answer(ask(dealt, parts)), "lm-counts")
-    totals = answers.where("block = -1").agg(F.sum("n_rest"), F.sum("n_deleted"), F.sum("v_rest"), F.sum("v_all")).first()
+    bounded_batches(docs.sparkSession)
+    blocks = materialize(packed(docs.select("doc_id", "text", kind.alias("kind")), block_bytes), "lm-blocks")
+    n_blocks, size = blocks.agg(F.count("*"), F.sum("n_bytes")).first()
+    bits = max(0, math.ceil((size or 0) / part_bytes) - 1).bit_length()
+    coarse = min(bits, fan.bit_length() - 1)
+    asked = ask(blocks, coarse)
+    answers = answer(asked) if coarse == bits else answer_merged(asked, math.ceil(n_blocks / fan), bits - coarse)
+    answers = materialize(answers, "lm-counts")
+    totals = answers.where("who = -1").agg(F.sum("n_rest"), F.sum("n_deleted"), F.sum("v_rest"), F.sum("v_all")).first()
     n_rest, n_deleted, v_rest, v_all = (int(x or 0) for x in totals)
-    counts = answers.where("block >= 0").select("block", "part", "rest", "deleted")
-    bins = deleted_bins(dealt.where("kind = 1"), counts.where(F.col("block") >= blocks), n_rest, v_rest)
-    weights = learn([tuple(r) for r in bins.collect()])
-    return score(dealt, counts, weights, n_rest + n_deleted, v_all)
+    counts = answers.where("who >= 0").select("who", "part", "rest", "deleted")
+    weights = learn([tuple(r) for r in deleted_bins(blocks, counts, n_rest, v_rest).collect()])
+    return score(blocks, counts, weights, n_rest + n_deleted, v_all)
 
 
 def op3_language_model(spark, sf_dir: str) -> DataFrame:

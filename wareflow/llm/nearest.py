@@ -37,7 +37,7 @@ TREES, BITS, SEED = 64, 48, 11
 MEAN_ROWS, SAMPLE, RECALL = 1024, 64, 0.93
 #: Entries of a block of the sorted arrays at least; entries each way from a query at most; entries of a range partition.
 BLOCK_ENTRIES, MAX_REACH, SORT_ENTRIES = 1 << 16, 1 << 20, 1 << 19
-#: Bytes of vectors, and of query vectors with lists of ids, in a block where they meet.
+#: Bytes of vectors, and of query vectors or lists of ids, in a block where they meet.
 VECTOR_BYTES, LIST_BYTES = 8 << 20, 64 << 20
 
 
@@ -361,6 +361,14 @@ def measured(coded: DataFrame, found: DataFrame, k: int, meetings: int) -> DataF
     return vectors.groupBy("at").cogroup(lists.groupBy("at")).applyInArrow(run, "query long, rep long, score double")
 
 
+def meeting_blocks(n: int, asked: int, size: int, enough: int) -> int:
+    """How many blocks vectors of `size` bytes are dealt into. A query's vector goes once to each block that it has candidates in."""
+    of_vectors, of_ids = size / VECTOR_BYTES, 8 * asked * enough / LIST_BYTES
+    queries = asked * size / max(1, n)
+    of_queries = queries * enough / LIST_BYTES if queries > LIST_BYTES else 0
+    return max(1, math.ceil(max(of_vectors, of_ids, of_queries)))
+
+
 def searched(classes: DataFrame, k: int, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
     """(query, rep, score) of the nearest classes found for each asked class, and the candidate lists they come from.
 
@@ -373,8 +381,7 @@ def searched(classes: DataFrame, k: int, trees: int = TREES) -> tuple[DataFrame,
     reach = max(1, min(n, enough, MAX_REACH))
     blocks = materialize(sorted_blocks(coded, n * trees, reach), "vector-blocks")
     counted = materialize(count_shared(blocks, reach), "vector-counts")
-    bytes_each = 4 * (size or 0) / max(1, n)
-    meetings = max(1, math.ceil(4 * (size or 0) / VECTOR_BYTES), math.ceil((asked or 0) * enough * (bytes_each + 8) / LIST_BYTES))
+    meetings = meeting_blocks(n, asked or 0, 4 * (size or 0), enough)
     found = materialize(candidates(blocks, counted, enough, reach, meetings), "vector-candidates")
     return measured(coded, found, k, meetings), found
 

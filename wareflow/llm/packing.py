@@ -18,7 +18,7 @@ import zlib
 from pyspark.sql import DataFrame
 
 from . import tokenizing
-from .common import read
+from .common import bounded_batches, read
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, w
         if ids:
             yield from flush(ids, blobs)
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 

@@ -26,7 +26,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import bounded_batches, materialize, read
 from .components import components
 from .similar import similar
 
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, by_words: bool = False) -> D
                 fp = np.array([word_fingerprint(t) for t in texts], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_node(fp, check)), pa.array(fp), pa.array(check), batch.column("th")], ["doc_id", "node", "fp", "check", "th"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, node long, fp long, check long, th long")
 
 

@@ -26,7 +26,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import anew, materialize, read
+from .common import anew, bounded_batches, materialize, read
 
 WINDOW, SEED_WORDS = 50, 20
 #: Odd multipliers of the two rolling hashes and of the final mix.
@@ -132,7 +132,7 @@ def segments(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> D
             arrays += [pa.array(np.concatenate(out[k]).astype(np.int32)) for k in (4, 5)]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "th", "text").mapInArrow(run, f"anchor long, segment long, doc_id {kind}, th long, first int, n int")
 
 

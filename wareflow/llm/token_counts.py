@@ -13,11 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizing
-from .common import read
+from .common import bounded_batches, read
 
 LIMIT = 1024
-#: Rows of an Arrow batch, so that a batch of long texts stays small.
-ARROW_ROWS = "500"
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> DataFrame:
@@ -30,7 +28,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
             n = tokenizing.count_tokens(tokenizer_path, [t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    bounded_batches(docs.sparkSession)
     thin = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     counted = thin.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long")
