@@ -83,6 +83,23 @@ def test_tokens_and_packing(docs, none):
     assert {(r.doc_id, r.n_tokens) for r in token_counts.token_counts(docs, model).collect()} == {(d, len(sp.encode(t or ""))) for d, t, *_ in ROWS}
 
 
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    from wareflow.llm import tokenizing
+
+    source = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokenizing.may_cut(source) and tokenizing.may_cut(public_tokenizers.path("word_bpe_49k.json"))
+    odd = Tokenizer.from_file(source)
+    odd.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # tokens may hold spaces
+    path = str(tmp_path / "odd.json")
+    odd.save(path)
+    texts = [t or "" for _, t, *_ in ROWS]
+    assert not tokenizing.may_cut(path)
+    assert tokenizing.count_tokens(path, texts) == [len(odd.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [len(b) // 4 for b in tokenizing.token_ids(path, texts)] == tokenizing.count_tokens(path, texts)
+
+
 def brute_model(rows, k=60):
     """Scores by counting in dictionaries, with expectation-maximisation written out token by token."""
     from wareflow.llm.language_model import BUCKETS, DELETED, STEPS
@@ -179,6 +196,35 @@ def test_language_id(spark, docs, none):
     assert language_id.identify(none.select("doc_id", "text", F.lit(True).alias("held_out")), learned).count() == 0
 
 
+def test_language_id_against_brute_force(spark):
+    """Hypervectors written out letter by letter, with the library's random letters only."""
+    dimension, r = 256, random.Random(4)
+    plain, _, _ = language_id.letter_vectors(dimension)
+    alphabets = {"en": "abcdefgh", "fr": "aéèçdefo", "ja": "日本語文字漢"}
+    rows = [(i, " ".join("".join(r.choices(a, k=r.randrange(1, 7))) for _ in range(20)), lang) for i, (lang, a) in enumerate(list(alphabets.items()) * 8)]
+    rows += [(90, "12 34!", "en"), (91, None, "fr"), (92, "ab", None), (93, "Éa-b  c", None)]
+
+    def vector(text):
+        total, runs = np.zeros(dimension, dtype=np.int64), re.sub(r"[\W\d_]+", " ", f" {(text or '').lower()} ")
+        for t in (runs[i : i + 3] for i in range(len(runs) - 2)):
+            symbols = [0 if c == " " else int(language_id.symbol_table()[ord(c)]) for c in t]
+            total += np.roll(plain[symbols[0]], 2).astype(np.int64) * np.roll(plain[symbols[1]], 1) * plain[symbols[2]]
+        return total
+
+    sums = {lang: sum((vector(t) for _, t, x in rows[:24] if x == lang), np.zeros(dimension, dtype=np.int64)) for lang in alphabets}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", F.lit(False))
+    learned = language_id.prototypes(df.where("doc_id < 24"), dimension)
+    assert {k: list(v) for k, v in learned.items()} == {k: v.tolist() for k, v in sums.items()}
+    got = {x.doc_id: (x.lang_pred, x.score) for x in language_id.identify(df, learned, dimension).collect()}
+    for d, t, _ in rows:
+        v = vector(t)
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert got[d] == ("und", 0.0)
+            continue
+        cosine = {k: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for k, p in sums.items()}
+        assert got[d][0] == max(sorted(cosine), key=cosine.get) and abs(got[d][1] - min(1.0, max(0.0, max(cosine.values())))) < 1e-6
+
+
 def test_language_id_held_out_accuracy(spark):
     rows = language_id.op4_language_id(spark, "/root/testdata/sf0.01").where("held_out").collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
@@ -259,15 +305,29 @@ CHAT = [
 def test_chat_round_trip(spark):
     df = spark.createDataFrame([(*r, 1, "f") for r in CHAT], "conv_id long, turn long, role string, text string, segments int, formatted string")
     out = chat_format.format_conversations(df)
-    back = {r.conv_id: ([tuple(x) for x in r.t], r.loss, r.formatted) for r in out.select("conv_id", chat_format.parse(F.col("formatted")).alias("t"), chat_format.loss_text(F.col("segments")).alias("loss"), "formatted").collect()}
+    turns = chat_format.parse(F.col("formatted"))
+    back = {r.conv_id: ([tuple(x) for x in r.t], r.loss, r.formatted, r.segments) for r in out.select("conv_id", turns.alias("t"), chat_format.loss_text(turns).alias("loss"), "formatted", "segments").collect()}
     for conv in {r[0] for r in CHAT}:
         turns = sorted(((t if t is not None else -1, role or "", text or "") for c, t, role, text in CHAT if c == conv))
         assert back[conv][0] == [(role, text) for _, role, text in turns]
         assert back[conv][1] == "".join(text for _, role, text in turns if role == "assistant")
+        masked = "".join(s.text for s in back[conv][3] if s.loss)
+        assert masked.replace("&lt;", "<").replace("&amp;", "&") == back[conv][1] and "".join(s.text for s in back[conv][3]) == back[conv][2]
     assert back[1][2].count("<|assistant|>") == 1  # adjacent turns of one role are one block
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_round_trip_of_random_strings(spark):
+    """Roles and texts made of the template's own characters read back exactly."""
+    r, bits = random.Random(8), ["<", ">", "|", "/", "s", "&", "lt;", "gt;", "amp;", "<s>", "</s>", "<|", "|>", "<|next|>", "x", "\n", ""]
+    rows = [(c, t, "".join(r.choices(bits, k=r.randrange(4))) if r.random() < 0.6 else "assistant", "".join(r.choices(bits, k=r.randrange(9)))) for c in range(150) for t in range(r.randrange(1, 7))]
+    out = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    turns = chat_format.parse(F.col("formatted"))
+    for x in out.select("conv_id", turns.alias("t"), chat_format.loss_text(turns).alias("loss")).collect():
+        own = [(role, text) for c, _, role, text in rows if c == x.conv_id]
+        assert [tuple(t) for t in x.t] == own and x.loss == "".join(text for role, text in own if role == "assistant")
+
+
 def brute_nearest(rows, queries, k):
     ok = {(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     out = {}

@@ -74,7 +74,7 @@ def test_deduplicate_keeps_one_of_each(spark):
 def test_crowded_anchor_is_split_without_losing_links(spark):
     fps = [0] + [1 << i for i in range(40)] + [(1 << 50) | 1 << i for i in range(20)] + [-1, -2]
     df = spark.createDataFrame([(f, 0) for f in fps], "fp long, check long")
-    from wareflow.llm.components import components
+    from wareflow.operators.graph import components
 
     def grouped(n):
         return sorted(map(tuple, components(simhash.links(df, homes_per_task=n)).collect()))

@@ -2,12 +2,13 @@
 
 A conversation becomes one string: `<s>`, then for each block of adjacent turns of one role `<|role|>`, the texts of its
 turns with `<|next|>` between them, and `</s>`. Control strings inside texts are escaped (`&` as `&amp;`, then the `<` of
-`<|`, `<s>` and `</s>` as `&lt;`), so a text can neither close its turn nor open another, and the output reads back exactly.
-The loss mask is the segment list: `segments` cuts the formatted string into pieces and marks those that are assistant text.
+`<|`, `<s>` and `</s>` as `&lt;`, and in roles every `>` as `&gt;`), so a text can neither close its turn nor open another, and the output
+reads back exactly. The loss mask is the segment list: `segments` cuts the formatted string into pieces and marks those that are
+assistant text; `loss_text` reads the same text back from the formatted string alone.
 
 Nulls: a null text or role counts as empty; a null turn sorts first; rows with a null conv_id form one conversation. Rows that
 tie in turn are ordered by role, then text; repeated rows are repeated turns. An empty table gives no rows. Other columns are
-ignored. A conversation is one row of output, so one task holds one conversation at a time, never more.
+ignored. A conversation is one row of output, so one task holds one conversation at a time, never more; very long texts are whole.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return F.replace(escape(role), F.lit("|>"), F.lit("|&gt;"))
+    return F.replace(escape(role), F.lit(">"), F.lit("&gt;"))
 
 
 def unescape_role(role: Column) -> Column:
-    return unescape(F.replace(role, F.lit("|&gt;"), F.lit("|>")))
+    return unescape(F.replace(role, F.lit("&gt;"), F.lit(">")))
 
 
 def _blocks(turns: Column) -> Column:
@@ -86,7 +87,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
 def parse(formatted: Column) -> Column:
     """The turns of a formatted string: array of (role, text)."""
-    body = F.expr("substring(formatted, 4)") if formatted is None else F.substr(formatted, F.lit(len(BEGIN) + 1))
+    body = F.substr(formatted, F.lit(len(BEGIN) + 1))
     blocks = F.filter(F.split(body, END), lambda b: b != "")
 
     def turns(b: Column) -> Column:
@@ -101,17 +102,18 @@ def parse(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
-def loss_text(segments: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+def loss_text(turns: Column) -> Column:
+    """All text under the loss mask, unescaped, in order, from the turns that parse() reads back."""
+    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
 
 
 def op9_chat_format(spark, sf_dir: str) -> DataFrame:
-    probe = "</s>[INST] ok [/INST]"
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{probe}'), (-7L, 1L, 'assistant', '{probe}') AS t(conv_id, turn, role, text)")
     out = format_conversations(rows.unionByName(extra))
-    back = out.select("conv_id", parse(F.col("formatted")).alias("t"), loss_text(F.col("segments")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"), "n_blocks")
+    back = out.select("conv_id", parse(F.col("formatted")).alias("t"), F.length("formatted").cast("long").alias("formatted_chars"), "n_blocks")
+    back = back.withColumn("loss", loss_text(F.col("t")))
     return back.select(
         "conv_id",
         F.size("t").cast("long").alias("n_turns"),

@@ -6,7 +6,7 @@ texts of that language. A text gets the language whose prototype has the largest
 Sums are of whole numbers, so prototypes do not depend on the order of rows.
 
 Letters are lower-cased; whatever is no letter ends a word, and runs of it count as one. Code points from U+0250 on share
-vectors in classes, which keeps the alphabet bounded.
+vectors in 3,504 classes, which keeps the alphabet bounded. Very long texts are read whole.
 
 Nulls: a text that is null or has no letter is `und` with score 0, and so is every text when no row has a language to learn; rows
 with a null lang are not learned from; a null doc_id counts as the empty id (never held out). Repeated rows count each. An empty
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, read
 
-DIMENSION, SEED, LATIN, SYMBOLS = 1024, 20240229, 0x250, 1024
+#: The alphabet has 2^SYMBOL_BITS symbols.
+SYMBOL_BITS = 12
+DIMENSION, SEED, LATIN, SYMBOLS = 1024, 20240229, 0x250, 1 << SYMBOL_BITS
 FOLDS, HELD_FOLD = 4, 2
 
 
@@ -53,7 +55,7 @@ def letter_vectors(dimension: int):
 
 
 def trigrams(text: str | None):
-    """Trigram ids of a text (30 bits each), repeats included; empty if it has no letter."""
+    """Trigram ids of a text (36 bits each), repeats included; empty if it has no letter."""
     import numpy as np
 
     symbols = symbol_table()[np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), dtype=np.uint32)]
@@ -63,7 +65,7 @@ def trigrams(text: str | None):
     s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))].astype(np.int64)
     if s[-1] != 0:
         s = np.append(s, 0)
-    return s[:-2] << 20 | s[1:-1] << 10 | s[2:]
+    return s[:-2] << 2 * SYMBOL_BITS | s[1:-1] << SYMBOL_BITS | s[2:]
 
 
 def bind(ids, dimension: int):
@@ -71,7 +73,7 @@ def bind(ids, dimension: int):
     import numpy as np
 
     plain, once, twice = letter_vectors(dimension)
-    return (twice[ids >> 20] * once[(ids >> 10) & 1023] * plain[ids & 1023]).astype(np.float32)
+    return (twice[ids >> 2 * SYMBOL_BITS] * once[(ids >> SYMBOL_BITS) & (SYMBOLS - 1)] * plain[ids & (SYMBOLS - 1)]).astype(np.float32)
 
 
 def bundle(ids, dimension: int):

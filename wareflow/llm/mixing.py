@@ -10,13 +10,15 @@ schedule, reaches the copy's first word: the inverse of a quadratic on each piec
 Running totals never put a source into one task: documents fall into buckets by the leading digits of the order key, totals
 of buckets are summed first, and windows run inside (source, bucket).
 
-Nulls: a null text has size 0 and is never taken; a null source is a source of its own, ranked last; a null doc_id orders
-first. Repeated rows count each on its own (ties in the order are equal in all that the result shows). An empty table gives no
+Nulls: a null text has size 0 and is never taken; a null source is a source of its own, ranked last; a null doc_id is ordered by
+its text. Very long texts are taken whole but for the last. Repeated rows count each on its own (ties in the order are equal in all that the result shows). An empty table gives no
 rows. The names of added columns are reserved: row, size, source_size, target, taken, position, order_key, bucket.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,9 @@ from .common import count_words, materialize, read
 
 #: Schedules by rank of source, repeating: knots (progress, weight) whose integrals are 3, 1 and 2.
 SCHEDULES = (((0.0, 4.5), (1.0, 1.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.0), (1.0, 3.0)))
-BUDGET, REPEATS, BUCKET_DIGITS = 1.5, 2, 3
+BUDGET, REPEATS = 1.5, 2
+#: Documents of a bucket at most, on average, and digits of the order key that give it at least.
+BUCKET_ROWS, LEAST_DIGITS = 1 << 15, 3
 
 
 def area(knots: tuple) -> float:
@@ -65,8 +69,9 @@ def source_targets(sizes: DataFrame, schedules: tuple = SCHEDULES, budget: float
 
 
 def _keyed(docs: DataFrame, keep: Column) -> DataFrame:
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return docs.select(keep, "doc_id", "source", count_words(F.col("text")).alias("size"), key.alias("order_key"), F.substr(key, F.lit(1), F.lit(BUCKET_DIGITS)).alias("bucket"))
+    digits = max(LEAST_DIGITS, math.ceil(math.log(max(1, docs.count() / BUCKET_ROWS), 16)))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")))
+    return docs.select(keep, "doc_id", "source", count_words(F.col("text")).alias("size"), key.alias("order_key"), F.substr(key, F.lit(1), F.lit(digits)).alias("bucket"))
 
 
 def mix(docs: DataFrame, schedules: tuple = SCHEDULES, budget: float = BUDGET, repeats: int = REPEATS, carry: bool = False) -> DataFrame:
@@ -135,7 +140,7 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+         md5(coalesce(doc_id::VARCHAR, md5(text), '')) AS k FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 AS kind
   FROM d GROUP BY source),

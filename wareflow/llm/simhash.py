@@ -26,8 +26,8 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, read
-from .components import components
+from ..operators.graph import components
+from .common import anew, bounded_batches, materialize, read
 from .similar import similar
 
 #: Seed of XXH64; part of the definition of a fingerprint.
@@ -314,8 +314,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, block
     found = found.select(F.col("node").alias("member"), "root")
     rooted = classes.join(found, classes.node == found.member, "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "classes")
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select(F.col("node").alias("n"), "root", "component_id")
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id")).select(anew("root").alias("r"), "component_id")
+    named = rooted.join(names, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "root", "component_id")
     return marks.join(named, marks.node == named.n).select("doc_id", "fp", "th", "component_id", "root")
 
 

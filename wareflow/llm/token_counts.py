@@ -1,6 +1,6 @@
 """Token counts by batch encoding in an Arrow function that returns lengths only.
 
-The function streams Arrow batches; texts are encoded in batches balanced by size, long texts in stretches cut at safe boundaries
+The function streams Arrow batches of bounded bytes; texts are encoded in batches balanced by bytes, long texts in stretches cut at safe boundaries
 (see tokenizing). No shuffle: one narrow pass, so a lost executor repeats only its own partitions.
 
 Nulls: a null text counts as empty (0 bytes, 0 tokens); a null doc_id is passed on. Repeated rows are counted each. An empty

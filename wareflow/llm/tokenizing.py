@@ -4,14 +4,16 @@ Texts are cut where no token can span: between a character that is no white spac
 or digit and one of `.,;:!?`. Byte-level and word pre-tokenizers both end a token there, whatever stands on either side, so
 the pieces' tokens joined are the whole text's (U+0130 lower-cases to a letter and a mark, so a word with it is not cut from
 its punctuation). Pieces repeat heavily; each distinct piece is encoded once per worker, in
-batches of the library, and kept in a dictionary of bounded size. Texts that hold other white space (where a run of spaces could
-be split wrongly) are encoded whole, or in long stretches cut only between a non-space and an ASCII space.
+batches of the library balanced by bytes, and kept in a dictionary of bounded size. Texts that hold other white space (where a run of
+spaces could be split wrongly) are encoded whole, or in long stretches cut only between a non-space and an ASCII space. All this holds for the
+two ways of splitting in `SPLITS`; a tokenizer that splits in any other way gets whole texts.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import re
 
@@ -20,8 +22,11 @@ ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 PIECE = re.compile(rf"[{ASCII_SPACE}]*+[^\W_İ]++(?=[.,;:!?])|[{ASCII_SPACE}]*+[^{ASCII_SPACE}]++|[{ASCII_SPACE}]++")
 SAFE_CUT = re.compile(rf"(?<=\S)[{ASCII_SPACE}]")
 
-#: Bytes of text (counted as characters) handled at once, entries of the dictionary, longest piece kept in it.
-BATCH_CHARS, CACHE_PIECES, CACHE_LENGTH = 1 << 20, 1_000_000, 32
+#: The pre-tokenizer patterns (None: that of the byte level) whose tokens end at the cuts of PIECE and SAFE_CUT.
+SPLITS = (None, "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+
+#: Bytes of text handled at once, bytes of pieces joined for the library, entries of the dictionary, longest piece kept in it.
+BATCH_BYTES, JOINED_BYTES, CACHE_PIECES, CACHE_LENGTH = 1 << 20, 1 << 12, 1_000_000, 32
 
 
 @functools.cache
@@ -36,7 +41,41 @@ def tokenizer(path: str):
     return found
 
 
-def stretches(text: str, limit: int = BATCH_CHARS):
+@functools.cache
+def may_cut(path: str) -> bool:
+    """Whether the file's tokenizer splits texts in one of the ways for which the cuts are safe."""
+    tok = json.loads(tokenizer(path).to_str())
+    steps = tok["pre_tokenizer"] or {}
+    steps = steps.get("pretokenizers", [steps])
+    patterns = [s["pattern"].get("Regex") for s in steps if s.get("type") == "Split"] or [None]
+    by_bytes = [s for s in steps if s.get("type") == "ByteLevel" and not s["add_prefix_space"]]
+    kinds = {s.get("type") for s in steps} <= {"Split", "ByteLevel"}
+    normalizers = (tok["normalizer"] or {"normalizers": []}).get("normalizers", [tok["normalizer"]])
+    known = all(n["type"] in ("NFC", "Lowercase") or (n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " ") for n in normalizers)
+    splits_itself = patterns != [None] or any(s.get("use_regex") for s in by_bytes)
+    return kinds and known and len(by_bytes) == 1 and len(patterns) == 1 and patterns[0] in SPLITS and splits_itself
+
+
+def size_of(text: str) -> int:
+    """Bytes of a text in UTF-8."""
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
+def in_batches(pieces: list[str], limit: int):
+    """The pieces in runs balanced by bytes."""
+    batch, held = [], 0
+    for piece in pieces:
+        size = size_of(piece) + 16
+        if batch and held + size > limit:
+            yield batch
+            batch, held = [], 0
+        batch.append(piece)
+        held += size
+    if batch:
+        yield batch
+
+
+def stretches(text: str, limit: int = BATCH_BYTES):
     """The text in stretches of about the limit, cut at safe boundaries only; a stretch is longer where there is none."""
     start = 0
     while len(text) - start > limit:
@@ -61,28 +100,16 @@ class PieceEncoder:
 
         return len(ids) if self.lengths else np.asarray(ids, dtype="<u4").tobytes()
 
-    def batches(self, pieces: list[str]):
-        """The pieces in runs balanced by characters."""
-        batch, held = [], 0
-        for piece in pieces:
-            if batch and held + len(piece) > BATCH_CHARS:
-                yield batch
-                batch, held = [], 0
-            batch.append(piece)
-            held += len(piece) + 16
-        if batch:
-            yield batch
-
     def encode(self, pieces: list[str]) -> list:
         """Values of the pieces in order, each encoded by itself."""
-        return [self.value(e.ids) for batch in self.batches(pieces) for e in self.tok.encode_batch_fast(batch, add_special_tokens=False)]
+        return [self.value(e.ids) for batch in in_batches(pieces, BATCH_BYTES) for e in self.tok.encode_batch_fast(batch, add_special_tokens=False)]
 
     def encode_joined(self, pieces: list[str]) -> list:
         """As encode, for pieces that stay apart in one string; the tokens' places in it tell the pieces apart."""
         import numpy as np
 
         gap = " " if self.drops_space else ""
-        runs = [pieces[i : i + 256] for i in range(0, len(pieces), 256)]
+        runs = list(in_batches(pieces, JOINED_BYTES))
         out = []
         for run, e in zip(runs, self.tok.encode_batch([gap.join(r) for r in runs], add_special_tokens=False), strict=True):
             starts = np.cumsum([0, *(len(p) + len(gap) for p in run)])
@@ -140,23 +167,31 @@ def pieces_model(path: str):
 
 
 def grouped(texts: list[str]):
-    """Stretches of all texts in groups balanced by characters: lists of (place of the text, stretch)."""
+    """Stretches of all texts in groups balanced by bytes: lists of (place of the text, stretch)."""
     group, held = [], 0
     for k, text in enumerate(texts):
         for part in stretches(text):
             group.append((k, part))
-            held += len(part)
-            if held >= BATCH_CHARS:
+            held += size_of(part)
+            if held >= BATCH_BYTES:
                 yield group
                 group, held = [], 0
     if group:
         yield group
 
 
+def whole(path: str, texts: list[str]):
+    """Ids of whole texts, in batches of the library balanced by bytes."""
+    for batch in in_batches(texts, BATCH_BYTES):
+        yield from (e.ids for e in tokenizer(path).encode_batch_fast(batch, add_special_tokens=False))
+
+
 def count_tokens(path: str, texts: list[str]) -> list[int]:
     """Tokens of whole texts, as the library for the file gives them."""
     if path.endswith(".model"):  # its white space rules are not local, so whole texts only
         return [len(pieces_model(path).encode(t, num_threads=1)) for t in texts]
+    if not may_cut(path):
+        return [len(ids) for ids in whole(path, texts)]
     encoder, out = length_encoder(path), [0] * len(texts)
     for group in grouped(texts):
         for (k, _), values in zip(group, encoder.values([s for _, s in group]), strict=True):
@@ -170,6 +205,10 @@ def token_ids(path: str, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.array(pieces_model(path).encode(t, num_threads=1), dtype="<u4").tobytes() for t in texts]
+    if not may_cut(path):
+        import numpy as np
+
+        return [np.array(ids, dtype="<u4").tobytes() for ids in whole(path, texts)]
     encoder, out = id_encoder(path), [[] for _ in texts]
     for group in grouped(texts):
         for (k, _), values in zip(group, encoder.values([s for _, s in group]), strict=True):
