@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import anew, materialize
+from ..sources.storage import anew, discard, materialize
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
     known = None
     for _ in range(rounds):
-        now = materialize(_stars(_stars(now, True), False), "edges")
+        before, now = now, materialize(_stars(_stars(now, True), False), "edges")
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if known == tuple(seen):
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

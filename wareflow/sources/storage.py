@@ -9,15 +9,43 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where it is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/wareflow-checkpoints"
+    """spark.checkpoint.dir. Only a local session may leave it unset, as in tests: a cluster's executors do not share local folders."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or "/tmp/wareflow-checkpoints").rstrip("/")
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's path and its file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted at the end of the application."""
+    root = f"{shared_dir(spark)}/wareflow/{spark.sparkContext.applicationId}"
+    where, files = _file_system(spark, root)
+    if not files.exists(where):
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/wareflow/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._scratch_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more; everything made from them must have been written."""
+    for table in tables:
+        where, files = _file_system(table.sparkSession, table._scratch_path)
+        files.delete(where, True)
 
 
 def anew(key: str) -> Column:
