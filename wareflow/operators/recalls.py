@@ -11,7 +11,7 @@ from ..functions.text import match_tokens
 #: Words that say nothing about a product, and words that say half as much.
 STOP_WORDS = (
     "the", "a", "an", "and", "or", "for", "with", "in", "on", "of", "to", "is", "are", "was", "by", "at", "from", "as", "into", "this", "that", "it", "its", "new", "best", "top",
-    "set", "pack", "pcs", "pcs.", "com", "www",
+    "set", "pack", "pcs", "pcs.", "amazon", "com", "www",
 )
 GENERIC = (
     "baby", "children", "kids", "adult", "portable", "electric", "wireless", "mini", "small", "large", "big", "inch", "pack", "black", "white", "blue", "red", "pink", "green", "gray", "grey",

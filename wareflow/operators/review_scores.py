@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, half_up, half_up_int, label
 from ..functions.text import jaccard, long_words, plain_words
+from ..sources.storage import materialize
 
 #: Phrase lists and word lists of the text rules.
 SUPERLATIVES = ("best", "amazing", "perfect", "awesome", "love", "excellent", "incredible", "wonderful", "fantastic", "great", "outstanding")
@@ -112,19 +113,22 @@ def densest_week(reviews: DataFrame) -> DataFrame:
 def copied_pairs(reviews: DataFrame, threshold: float = 0.7, least_tokens: int = 5) -> DataFrame:
     """asin, pairs: reviews of one item whose word sets (three characters or more) have at least this Jaccard similarity.
 
-    As for titles, pairs meet by an equi-join on their rarest words (prefix filtering), not by all pairs of an item.
+    Reviews with equal word sets are one class and count n(n-1)/2 pairs at once. As for titles, classes meet by an equi-join on their
+    rarest words (prefix filtering), not by all pairs of an item.
     """
-    sets = reviews.select("asin", "review_idx", F.array_distinct(long_words(F.col("text"))).alias("w")).where(F.size("w") >= least_tokens)
-    each = sets.select("asin", "review_idx", F.size("w").alias("n"), F.explode("w").alias("word"))
-    rare = each.groupBy("asin", "word").agg(F.count("*").alias("df"))
-    ranked = each.join(rare, ["asin", "word"]).withColumn("place", F.row_number().over(Window.partitionBy("asin", "review_idx").orderBy("df", "word")))
-    heads = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1) & (F.col("df") > 1)).select("asin", "review_idx", "word", "n")
-    left, right = heads.withColumnsRenamed({"review_idx": "a", "n": "na"}), heads.withColumnsRenamed({"review_idx": "b", "n": "nb"})
+    sets = reviews.select("asin", F.array_sort(F.array_distinct(long_words(F.col("text")))).alias("w")).where(F.size("w") >= least_tokens)
+    classes = materialize(sets.groupBy("asin", "w").agg(F.count("*").alias("m")).withColumn("c", F.xxhash64("w")), "review-classes")
+    each = classes.select("asin", "c", F.size("w").alias("n"), F.explode("w").alias("word"))
+    rare = each.groupBy("asin", "word").agg(F.count("*").alias("df")).select(F.col("asin").alias("k"), F.col("word").alias("v"), "df")
+    ranked = each.join(rare, (F.col("asin") == F.col("k")) & (F.col("word") == F.col("v"))).withColumn("place", F.row_number().over(Window.partitionBy("asin", "c").orderBy("df", "word")))
+    heads = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1) & (F.col("df") > 1)).select("asin", "c", "word", "n")
+    left, right = heads.withColumnsRenamed({"c": "a", "n": "na"}), heads.withColumnsRenamed({"c": "b", "n": "nb"})
     fits = (F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
     pairs = left.join(right, ["asin", "word"]).where(fits).select("asin", "a", "b").distinct()
-    one, two = sets.select("asin", F.col("review_idx").alias("a"), F.col("w").alias("x")), sets.select("asin", F.col("review_idx").alias("b"), F.col("w").alias("y"))
+    one, two = classes.select("asin", F.col("c").alias("a"), F.col("w").alias("x"), F.col("m").alias("ma")), classes.select("asin", F.col("c").alias("b"), F.col("w").alias("y"), F.col("m").alias("mb"))
     close = pairs.join(one, ["asin", "a"]).join(two, ["asin", "b"]).where(jaccard(F.col("x"), F.col("y")) >= threshold)
-    return close.groupBy("asin").agg(F.count("*").alias("pairs"))
+    counts = close.select("asin", (F.col("ma") * F.col("mb")).alias("p")).unionByName(classes.where("m > 1").select("asin", (F.col("m") * (F.col("m") - 1) / 2).cast("long").alias("p")))
+    return counts.groupBy("asin").agg(F.sum("p").alias("pairs"))
 
 
 def _signal(name: str, deduction: Column, confidence: Column | float, most: int) -> Column:

@@ -140,9 +140,14 @@ cand AS (SELECT a.pos AS a, b.pos AS b, len(list_intersect(a.t, b.t)) AS i, len(
 pairs AS MATERIALIZED (SELECT a, b, i::DOUBLE / (na + nb - i) AS similarity FROM cand WHERE i::DOUBLE / (na + nb - i) >= 0.55)"""
 
 
-@query("similar_listings", LISTINGS + PAIRS + "SELECT a, b, similarity FROM pairs")
+@query(
+    "similar_listings",
+    LISTINGS + PAIRS + """, c AS (SELECT pos, min(pos) OVER (PARTITION BY block, list_sort(t)) AS k FROM ok),
+k AS (SELECT least(x.k, y.k) AS a, greatest(x.k, y.k) AS b, similarity FROM pairs JOIN c x ON a = x.pos JOIN c y ON b = y.pos)
+SELECT a, b, max(similarity) AS similarity, count(*)::BIGINT AS pairs FROM k GROUP BY a, b""",
+)
 def similar_listings(spark, sf_dir):
-    """Fuzzy pairs inside a brand."""
+    """Fuzzy pairs inside a brand, between classes of equal titles, with the pairs of listings they stand for."""
     return dedup.similar_pairs(listings(spark, sf_dir))
 
 
