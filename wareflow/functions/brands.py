@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import TITLE_STOP_WORDS, VARIANT_PATTERNS
-
-#: Words that begin titles but name no brand; callers pass their own list for more.
-GENERIC = (*TITLE_STOP_WORDS, "wireless", "portable", "mini", "smart", "digital", "electric", "universal", "pack", "set", "pair", "small", "medium", "large", "black", "white", "red", "blue", "green")
+from .text import VARIANT_PATTERNS
+
+#: Words that begin titles and addresses but name no brand; callers pass their own list for more.
+GENERIC = (
+    "the", "a", "an", "for", "with", "and", "in", "on", "to", "of", "by",
+    "wireless", "bluetooth", "true", "sports", "premium", "professional", "portable", "mini", "ultra", "super", "new", "upgraded", "original",
+    "genuine", "official", "authentic", "classic", "advanced", "smart", "digital", "electric", "automatic", "universal", "adjustable",
+    "waterproof", "rechargeable", "foldable", "lightweight", "compact", "heavy", "duty", "high", "quality", "best", "top", "pro", "max",
+    "industrial", "commercial", "organic", "natural", "ergonomic", "magnetic", "solar", "thermal", "acoustic", "optical",
+    "durable", "flexible", "silicone", "stainless", "steel", "cotton", "noise", "cancelling", "canceling", "active",
+    "pack", "set", "pair", "piece", "pcs", "count", "size", "large", "small", "medium", "extra", "xl", "xxl", "xxxl",
+    "baby", "kids", "men", "women", "adult", "toddler", "infant", "boys", "girls", "unisex", "teen",
+    "washcloths", "headphones", "earbuds", "headset", "speaker", "charger", "stroller", "monitor", "camera", "phone", "tablet", "laptop", "mouse",
+    "keyboard", "cable", "adapter", "case", "cover", "stand", "holder", "bottle", "blanket", "pillow", "mattress", "towel", "socks", "shoes",
+    "boots", "sneakers", "sandals", "slippers", "jacket", "shirt", "pants", "dress", "skirt", "sweater", "hoodie", "hat", "cap", "gloves", "scarf",
+    "backpack", "bag", "purse", "wallet", "belt", "watch", "ring", "necklace", "bracelet", "earrings", "sunglasses", "glasses",
+    "squeaky", "chew", "plush", "interactive", "treat", "drawer", "shelf", "rack", "bin", "basket", "organizer", "container",
+    "lamp", "light", "bulb", "fan", "heater", "filter", "pump", "valve", "tool", "wrench", "drill", "saw", "hammer", "screwdriver",
+    "black", "white", "red", "blue", "green", "pink", "purple", "grey", "gray", "brown", "gold", "silver", "clear", "multicolor",
+    "2024", "2025", "2026", "2027",
+)
 
 
 def first_word(text: Column) -> Column:

@@ -34,3 +34,8 @@ def first_of(*cases: tuple[Column, object], rest: object = None) -> Column:
     for condition, value in cases:
         out = out.when(condition, value if isinstance(value, Column) else F.lit(value))
     return out.otherwise(rest if isinstance(rest, Column) else F.lit(rest))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: a lambda binds it, so no rule of the optimizer repeats it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -192,3 +192,21 @@ def sentiment_scorer(scorer) -> Column:
 
     score.__annotations__ = {"text": pd.Series, "return": pd.Series}
     return F.pandas_udf(score, "double")(F.col("text"))
+
+
+def positive_signals(reviews: DataFrame) -> DataFrame:
+    """asin, positives: the good signs of an item's reviews (with n_topics, the topics of each): most are verified, their words vary, four
+    stars have a natural share, many speak of several topics, many were found helpful, they spread over a quarter."""
+    words = F.explode(F.array_distinct(F.filter(plain_words(F.col("text")), lambda w: F.length(w) > 3)))
+    varied = reviews.select("asin", words.alias("w")).distinct().groupBy("asin").agg(F.count("*").alias("words")).withColumnRenamed("asin", "k")
+    seconds = F.when(F.unix_timestamp("ts") > 0, F.unix_timestamp("ts"))
+    base = reviews.groupBy("asin").agg(
+        F.count("*").alias("n"), F.avg(F.col("verified").cast("int")).alias("verified"), (F.avg((F.col("rating") == 4).cast("int")) * 100).alias("four"), F.avg((F.col("n_topics") >= 2).cast("int")).alias("several"),
+        F.avg((F.col("helpful_votes") > 0).cast("int")).alias("helped"), F.count(seconds).alias("dated"), (F.max(seconds) - F.min(seconds)).alias("span"),
+    )
+    some, full = F.col("n") >= 3, base.join(varied, F.col("asin").eqNullSafe(F.col("k")), "left")
+    signs = {
+        "verified": some & (F.col("verified") >= 0.8), "vocabulary": some & (F.col("words") / F.col("n") > 30), "distribution": F.col("four").between(12, 30), "balanced": some & (F.col("several") >= 0.3),
+        "helpful": some & (F.col("helped") >= 0.3), "spread": (F.col("dated") >= 3) & (F.col("span") >= 90 * 86400),
+    }
+    return full.select("asin", F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in signs.items()))).alias("positives"))
