@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import anew, materialize, shared_dir  # noqa: F401
+from ..sources.storage import anew, discard, materialize  # noqa: F401
 
 #: Characters that separate words: space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"

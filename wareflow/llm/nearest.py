@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import anew, materialize, read
+from .common import anew, discard, materialize, read
 
 #: Trees, bits of a hash string (at most 52, so that a string is an exact double), seed of the directions.
 TREES, BITS, SEED = 64, 48, 11
@@ -167,6 +167,7 @@ def calibrate(coded: DataFrame, sample: Sample, k: int) -> int:
     shared = shared[:, ::-1].cumsum(axis=1)[:, ::-1]  # entries that share at least so many bits
     nearest_of = Window.partitionBy("s").orderBy("d", "rep")
     true = seen.where("n IS NULL").withColumn("rn", F.row_number().over(nearest_of)).where(F.col("rn") <= k).select("s", "level").collect()
+    discard(seen)
     most = max(1, int(shared[:, 0].max(initial=0)))
     enough = sample.trees * (k + 1)  # an entry counts once in each tree, so these are k others at least
     if not true:
@@ -212,7 +213,9 @@ def sorted_blocks(coded: DataFrame, entries: int, reach: int) -> DataFrame:
         packed = [np.stack([start, tree[start], dim[start]]).astype("<i4"), strings.astype("<i8"), reps.astype("<i8"), np.flatnonzero(asked).astype("<i4")]
         return pa.table({"block": pa.array([block], pa.int64()), **{name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("runs", "strings", "reps", "homes"), packed, strict=True)}})
 
-    return near.groupBy("block").applyInArrow(run, "block long, runs binary, strings binary, reps binary, homes binary")
+    packed = materialize(near.groupBy("block").applyInArrow(run, "block long, runs binary, strings binary, reps binary, homes binary"), "vector-blocks")
+    discard(placed)
+    return packed
 
 
 def _runs(row):
@@ -379,10 +382,11 @@ def searched(classes: DataFrame, k: int, trees: int = TREES) -> tuple[DataFrame,
     n, asked, size = coded.agg(F.count("*"), F.sum(F.col("asked").cast("long")), F.sum("dim")).first()
     enough = calibrate(coded, sample, k)
     reach = max(1, min(n, enough, MAX_REACH))
-    blocks = materialize(sorted_blocks(coded, n * trees, reach), "vector-blocks")
+    blocks = sorted_blocks(coded, n * trees, reach)
     counted = materialize(count_shared(blocks, reach), "vector-counts")
     meetings = meeting_blocks(n, asked or 0, 4 * (size or 0), enough)
     found = materialize(candidates(blocks, counted, enough, reach, meetings), "vector-candidates")
+    discard(blocks, counted)
     return measured(coded, found, k, meetings), found
 
 

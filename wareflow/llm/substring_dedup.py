@@ -26,7 +26,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import anew, bounded_batches, materialize, read
+from .common import anew, bounded_batches, discard, materialize, read
 
 WINDOW, SEED_WORDS = 50, 20
 #: Odd multipliers of the two rolling hashes and of the final mix.
@@ -173,6 +173,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED_WORDS) -> Da
     every = materialize(segments(docs, window, seed), "segments")
     reach = every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(anew("anchor").alias("x"))
     shared = materialize(every.join(reach, F.col("anchor") == F.col("x"), "left_semi"), "shared-segments")
+    discard(every)
     segment = shared.groupBy("anchor", "segment").agg(F.min("doc_id").alias("least"))
     least = segment.select(anew("anchor").alias("x"), anew("segment").alias("y"), "least")
     known = shared.join(least, (F.col("anchor") == F.col("x")) & (F.col("segment") == F.col("y"))).drop("x", "y")
