@@ -28,7 +28,7 @@ from .common import bounded_batches, materialize, read
 
 FOLDS, HELD_FOLD, DELETED = 7, 2, 10
 #: Bytes of text of a block, and those whose keys are one part.
-BLOCK_BYTES, PART_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, PART_BYTES = 4 << 20, 4 << 20
 #: Parts that a block asks without a merge in between, and about so many blocks are merged.
 FAN = 1 << 11
 #: Context-frequency buckets: 0 for an unseen context, then one for each doubling.
@@ -105,21 +105,26 @@ def _unpack(blob: bytes, kind):
 
 
 def packed(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """block, deleted, n_bytes, doc_ids, kinds, texts: documents (doc_id, kind, text) in blocks, deleted ones (kind 1) apart from the rest."""
+    """block, deleted, n_bytes, doc_ids, kinds, sizes, texts: documents (doc_id, kind, text) in blocks, deleted ones (kind 1) apart from the
+    rest. The texts of a block are one compressed value, so a row is small wherever it is read."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        task, made, held = TaskContext.get().partitionId(), 0, {False: ([], 0), True: ([], 0)}
+        task, made = TaskContext.get().partitionId(), 0
+        held: dict[bool, tuple[list, list, list]] = {False: ([], [], []), True: ([], [], [])}
+        size = {False: 0, True: 0}
 
         def block(deleted: bool):
             nonlocal made
-            rows = pa.concat_tables([pa.table(c, ["doc_id", "kind", "text"]) for c in held[deleted][0]]).combine_chunks()
-            lists = [pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column(c).combine_chunks()) for c in ("doc_id", "kind", "text")]
-            out = pa.RecordBatch.from_arrays([pa.array([task << 32 | made]), pa.array([deleted]), pa.array([held[deleted][1]], pa.int64()), *lists], ["block", "deleted", "n_bytes", "doc_ids", "kinds", "texts"])
-            held[deleted], made = ([], 0), made + 1
+            ids, kinds, texts = held[deleted]
+            whole = b"".join(texts)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pa.concat_arrays(c)) for c in (ids, kinds, [pa.array([len(t) for t in texts], pa.int32())])]
+            blob = pa.array([pa.compress(whole, codec="zstd", asbytes=True)], pa.binary())
+            out = pa.RecordBatch.from_arrays([pa.array([task << 32 | made]), pa.array([deleted]), pa.array([len(whole)], pa.int64()), *lists, blob], ["block", "deleted", "n_bytes", "doc_ids", "kinds", "sizes", "texts"])
+            held[deleted], size[deleted], made = ([], [], []), 0, made + 1
             return out
 
         for batch in batches:
@@ -128,22 +133,29 @@ def packed(docs: DataFrame, block_bytes: int) -> DataFrame:
                 for deleted in (False, True):
                     own = part.filter(pa.array([(k == 1) == deleted for k in part.column("kind").to_pylist()]))
                     if own.num_rows:
-                        sizes = own.column("text").cast(pa.binary())
-                        held[deleted][0].append([own.column(c) for c in ("doc_id", "kind", "text")])
-                        held[deleted] = (held[deleted][0], held[deleted][1] + sum(len(t or b"") for t in sizes.to_pylist()))
-                        if held[deleted][1] >= block_bytes:
+                        texts = [t or b"" for t in own.column("text").cast(pa.binary()).to_pylist()]
+                        held[deleted][0].append(own.column("doc_id"))
+                        held[deleted][1].append(own.column("kind"))
+                        held[deleted][2].extend(texts)
+                        size[deleted] += sum(map(len, texts))
+                        if size[deleted] >= block_bytes:
                             yield block(deleted)
         for deleted in (False, True):
-            if held[deleted][0]:
+            if held[deleted][2]:
                 yield block(deleted)
 
-    return docs.select("doc_id", "kind", "text").mapInArrow(run, f"block long, deleted boolean, n_bytes long, doc_ids array<{id_type}>, kinds array<int>, texts array<string>")
+    return docs.select("doc_id", "kind", "text").mapInArrow(run, f"block long, deleted boolean, n_bytes long, doc_ids array<{id_type}>, kinds array<int>, sizes array<int>, texts binary")
 
 
-def _texts(lists) -> list:
+def _texts(row) -> list:
+    """The texts of one block."""
+    import numpy as np
     import pyarrow as pa
 
-    return lists.flatten().cast(pa.binary()).to_pylist()
+    size = row.column("n_bytes")[0].as_py()
+    whole = pa.decompress(row.column("texts")[0].as_py(), decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    ends = np.cumsum(row.column("sizes")[0].as_py())
+    return [whole[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 def _split(keys, first: int, bits: int):
@@ -214,7 +226,7 @@ def ask(blocks: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1)
-                tokens, before, starts = _tokens(_texts(row.column("texts")))
+                tokens, before, starts = _tokens(_texts(row))
                 kinds = np.repeat(row.column("kinds").flatten().to_numpy(), np.diff(np.append(starts, len(tokens))))
                 one, two = _keys(tokens, before)
                 keys, kinds = np.concatenate((one, two)), np.concatenate((kinds, kinds))
@@ -222,7 +234,7 @@ def ask(blocks: DataFrame, bits: int) -> DataFrame:
                 rest, deleted = (np.bincount(place[kinds == k], minlength=len(every)).astype(np.int64) for k in (0, 1))
                 yield _asked(row.column("block")[0].as_py(), 1, bits, every, rest, deleted)
 
-    return blocks.select("block", "kinds", "texts").mapInArrow(run, ASK)
+    return blocks.select("block", "n_bytes", "kinds", "sizes", "texts").mapInArrow(run, ASK)
 
 
 def answer(asked: DataFrame) -> DataFrame:
@@ -271,7 +283,7 @@ def _looked_up(row, answers):
     """Of a block: starts of documents, and for each token (rest, deleted) counts of the pair, its context and itself."""
     import numpy as np
 
-    tokens, before, starts = _tokens(_texts(row.column("texts").combine_chunks()))
+    tokens, before, starts = _tokens(_texts(row))
     one, two = _keys(tokens, before)
     every, place = np.unique(np.concatenate((one, two)), return_inverse=True)
     order = np.argsort(answers.column("part").to_numpy())
@@ -312,7 +324,7 @@ def deleted_bins(blocks: DataFrame, answers: DataFrame, n: int, v: int) -> DataF
         return pa.table({"bucket": pa.array(rows[:, 0], pa.int32()), "r2": pa.array(rows[:, 1], pa.int32()), "r1": pa.array(rows[:, 2], pa.int32()), "n": pa.array(counts, pa.int64())})
 
     own = answers.join(blocks.where("deleted").select(F.col("block").alias("b")), F.col("who") == F.col("b"), "left_semi")
-    bins = blocks.where("deleted").select("block", "texts").groupBy("block").cogroup(own.groupBy("who")).applyInArrow(run, "bucket int, r2 int, r1 int, n long")
+    bins = blocks.where("deleted").select("block", "n_bytes", "sizes", "texts").groupBy("block").cogroup(own.groupBy("who")).applyInArrow(run, "bucket int, r2 int, r1 int, n long")
     return bins.groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n"))
 
 
@@ -359,7 +371,7 @@ def score(blocks: DataFrame, answers: DataFrame, weights: list, n: int, v: int)
 
     id_type = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.select("block", "doc_ids", "kinds", "texts").groupBy("block").cogroup(answers.groupBy("who")).applyInArrow(run, schema)
+    return blocks.select("block", "n_bytes", "doc_ids", "kinds", "sizes", "texts").groupBy("block").cogroup(answers.groupBy("who")).applyInArrow(run, schema)
 
 
 def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, fan: int = FAN) -> DataFrame:
