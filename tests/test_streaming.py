@@ -44,3 +44,25 @@ def test_unseen_keeps_rows_without_a_key(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r.asin for r in got if r.asin) == ["a", "b"]
     assert sorted(r.price for r in got if r.asin is None) == [3.0, 3.0, 5.0]
+
+
+def test_failed_checks_are_counted_and_skipped(spark, tmp_path):
+    import datetime
+
+    t = [datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=i) for i in range(10)]
+    write(spark, tmp_path / "in", [("a", t[0], 5.0, 9.0), *(("a", t[k], None, 9.0) for k in range(1, 8)), ("a", t[8], 4.0, 9.0)])
+    stream = spark.readStream.schema("asin string, ts timestamp, price double, target double").parquet(str(tmp_path / "in"))
+    job = incremental.watch_prices(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    job.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("ts").collect()
+    assert [r.failures for r in rows] == [0, 1, 2, 3, 4, 5, 0] and rows[-1].alert and rows[-1].history == [5.0, 4.0]
+
+
+def test_late_details_judge_a_row_again(spark, tmp_path):
+    write(spark, tmp_path / "in", [("a", None, 1.0, None), ("c", None, 2.0, None)])
+    stream = spark.readStream.schema("asin string, ts timestamp, price double, target double").parquet(str(tmp_path / "in")).select("asin", "price")
+    rows = spark.createDataFrame([("a", 3), ("b", 4)], "asin string, quality int")
+    verdict = lambda: F.when((F.col("price") < 5) & (F.col("quality") > 2), "show").otherwise("hide")
+    job = incremental.late(stream, rows, "asin", verdict).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    job.awaitTermination()
+    assert [(r.asin, r.filter_result) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", "show")]

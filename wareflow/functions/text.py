@@ -62,7 +62,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences: cut after . ! or ?, but not after common abbreviations, between digits or inside dots in a row."""
-    guarded = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\b(mr|mrs|ms|dr|prof|sr|jr|vs|etc|e\.g|i\.e|inc|ltd|co|approx)\.", "$1\u0001")
+    guarded = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)(?<![0-9A-Za-z_])(mr|mrs|ms|dr|prof|sr|jr|vs|etc|e\.g|i\.e|inc|ltd|co|approx)\.", "$1\u0001")
     guarded = F.regexp_replace(F.regexp_replace(guarded, r"([0-9])\.([0-9])", "$1\u0001$2"), r"\.{2,}", "\u0002")
     parts = F.transform(F.split(guarded, r"(?<=[.!?])\s+"), lambda s: F.trim(F.replace(F.replace(s, F.lit("\u0001"), F.lit(".")), F.lit("\u0002"), F.lit("..."))))
     return F.filter(parts, lambda s: s != "")

@@ -116,9 +116,29 @@ def verified_and_votes(spark, sf_dir):
     return found.select("asin", F.get("signals", F.lit(1))["deduction"].alias("verified_deduction"), F.get("signals", F.lit(7))["deduction"].alias("votes_deduction"))
 
 
-@query("trust_scores")
+TRUST_SQL = TEXTS.replace("FROM documents", ", doc_id % 3 > 0 AS verified, doc_id % 2 AS votes, (1700000000 + doc_id * 40000) * 1000000 AS t FROM documents") + COPY_SQL[len(TEXTS):].replace("\nSELECT asin, count(*)::BIGINT AS pairs FROM c", ", t0 AS (SELECT asin, count(*) AS pairs FROM c").replace(", t AS MATERIALIZED", ", tk AS MATERIALIZED").replace("SELECT * FROM t WHERE", "SELECT * FROM tk WHERE") + f"""),
+wk AS (SELECT asin, max(n) AS most, count(*) AS dated FROM (SELECT asin, count(*) OVER (PARTITION BY asin ORDER BY t RANGE BETWEEN CURRENT ROW AND 604800000000 FOLLOWING) AS n FROM r WHERE t > 0) GROUP BY asin),
+lo AS (SELECT *, lower(text) AS low, len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: length(w) > 2)) AS words, regexp_matches(text, '{_words(review_scores.NEGATIVE)}') AS bad, regexp_matches(text, '{_words(review_scores.POSITIVE)}') AS good FROM r),
+g AS (SELECT asin, count(*) AS n, avg(verified::INT) AS v, count(*) FILTER ({_like(review_scores.INCENTIVES)} > 0) AS paid, count(*) FILTER (rating >= 4) AS happy, count(*) FILTER (rating >= 4 AND (({_like(review_scores.GENERIC_PRAISE)} >= 2 AND words < 40) OR {_like(review_scores.GENERIC_PRAISE)} >= 3)) AS generic,
+  stddev_pop(length(text)) / nullif(avg(length(text)), 0) AS cv, count(*) FILTER ((rating = 5 AND bad AND NOT good) OR (rating <= 2 AND good AND NOT bad)) AS odd, max(votes) AS votes,
+  count(*) FILTER (rating = 5) * 100.0 / count(*) AS five, count(*) FILTER (rating = 4) * 100.0 / count(*) AS four, count(*) FILTER (rating = 1) * 100.0 / count(*) AS one FROM lo WHERE asin IS NOT NULL GROUP BY asin),
+d AS (SELECT asin, n,
+  [CASE WHEN n >= 10 THEN least(15, CASE WHEN five > 70 AND four < 5 AND n > 30 THEN 12 WHEN five > 85 AND n > 50 THEN 8 ELSE 0 END + CASE WHEN five > 50 AND one > 20 AND 100 - five - one < 15 THEN 10 ELSE 0 END) ELSE 0 END * CASE WHEN n >= 100 THEN 1.0 WHEN n >= 30 THEN 0.7 ELSE 0.4 END::DOUBLE,
+  CASE WHEN n >= 3 THEN CASE WHEN v < 0.2 THEN 15 WHEN v < 0.4 THEN 10 WHEN v < 0.6 THEN 5 ELSE 0 END ELSE 0 END * CASE WHEN n >= 8 THEN 1.0 WHEN n >= 5 THEN 0.7 ELSE 0.5 END::DOUBLE,
+  CASE WHEN paid > 0 THEN CASE WHEN paid / n >= 0.5 THEN 12 WHEN paid / n >= 0.3 THEN 8 ELSE 4 END ELSE 0 END * CASE WHEN n >= 5 THEN 0.9 ELSE 0.6 END::DOUBLE,
+  CASE WHEN generic / nullif(happy, 0) >= 0.6 THEN 12 WHEN generic / nullif(happy, 0) >= 0.4 THEN 8 WHEN generic / nullif(happy, 0) >= 0.2 THEN 4 ELSE 0 END * CASE WHEN n >= 5 THEN 0.8 ELSE 0.5 END::DOUBLE,
+  CASE WHEN n >= 4 AND cv <= 0.3 THEN CASE WHEN cv < 0.15 THEN 8 ELSE 4 END ELSE 0 END * CASE WHEN n >= 7 THEN 0.8 ELSE 0.5 END::DOUBLE,
+  CASE WHEN pairs >= 3 THEN 15 WHEN pairs >= 2 THEN 10 WHEN pairs >= 1 THEN 7 ELSE 0 END * CASE WHEN n >= 4 THEN 0.9 ELSE 0.6 END::DOUBLE,
+  CASE WHEN odd > 0 THEN CASE WHEN odd / n >= 0.4 THEN 10 WHEN odd / n >= 0.2 THEN 6 ELSE 3 END ELSE 0 END * CASE WHEN n >= 5 THEN 0.8 ELSE 0.5 END::DOUBLE,
+  CASE WHEN n >= 3 AND votes <= 0 THEN CASE WHEN n >= 200 THEN 6 WHEN n >= 50 THEN 3 ELSE 0 END ELSE 0 END * CASE WHEN n >= 200 THEN 0.5 ELSE 0.4 END::DOUBLE,
+  CASE WHEN n >= 3 AND dated >= 3 THEN CASE WHEN most / dated >= 0.8 THEN 12 WHEN most / dated >= 0.6 THEN 7 WHEN most / dated >= 0.5 THEN 4 ELSE 0 END ELSE 0 END * CASE WHEN dated >= 7 THEN 0.85 ELSE 0.5 END::DOUBLE] AS parts
+  FROM g LEFT JOIN t0 USING (asin) LEFT JOIN wk USING (asin)), l AS (SELECT asin, n::BIGINT AS n, list_sum(parts) AS lost FROM d), z AS (SELECT asin, n, floor(lost * 10 + 0.5) / 10 AS total_deduction, greatest(0, least(100, floor(100 - lost + 0.5)))::INT AS trust_score FROM l)
+SELECT *, CASE WHEN trust_score >= 85 THEN 'trustworthy' WHEN trust_score >= 65 THEN 'mixed' WHEN trust_score >= 40 THEN 'questionable' ELSE 'suspicious' END AS trust_label FROM z"""
+
+
+@query("trust_scores", TRUST_SQL)
 def trust_scores(spark, sf_dir):
-    """All ten signals and the trust score over texts (A14-A23); unit tests hold the cases."""
+    """All ten signals and the trust score over texts."""
     rows = text_reviews(spark, sf_dir).withColumns({"ts": F.timestamp_seconds(F.lit(1_700_000_000) + F.col("review_idx") * 40000), "verified": F.col("review_idx") % 3 > 0, "helpful_votes": F.col("review_idx") % 2})
     return review_scores.trust_signals(rows).select("asin", "n", "total_deduction", "trust_score", "trust_label")
 
@@ -243,9 +263,14 @@ def best_quotes(spark, sf_dir):
     return topics.best_quotes(_tagged(spark, sf_dir), {"articles": "the", "links": "and", "places": "in"})
 
 
-@query("sentence_split")
+@query(
+    "sentence_split",
+    TEXTS + r""", g AS (SELECT asin, idx, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(mr|mrs|ms|dr|prof|sr|jr|vs|etc|e\.g|i\.e|inc|ltd|co|approx)\.', '\1' || chr(1), 'g'), '([0-9])\.([0-9])', '\1' || chr(1) || '\2', 'g'), '\.{2,}', chr(2), 'g') AS t FROM r),
+s AS (SELECT asin, idx, unnest(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(3), 'g'), chr(3))) AS s FROM g)
+SELECT asin, count(*)::BIGINT AS sentences, count(DISTINCT idx)::BIGINT AS reviews FROM s WHERE trim(s) <> '' GROUP BY asin""",
+)
 def sentence_split(spark, sf_dir):
-    """Sentences with their topics (P13-P16); SQL has no look-behind, unit tests hold the cases."""
+    """Sentences of reviews, as their topics are found in them (P13-P16); SQL marks the cuts where Spark looks behind."""
     return topics.tagged_sentences(text_reviews(spark, sf_dir)).groupBy("asin").agg(F.count("*").alias("sentences"), F.count_distinct("review_idx").alias("reviews"))
 
 
