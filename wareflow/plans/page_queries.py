@@ -15,14 +15,15 @@ from .listing_queries import LISTINGS
 from .registry import query
 from .review_queries import REVIEWS, TAGGED, TEXTS, _tagged
 
-POS = F.col("pos")
+def _pos():
+    return F.col("pos")
 
 
 def _pick(*choices):
     """The choice at pos modulo their number."""
     out = F
     for k, c in enumerate(choices[:-1]):
-        out = out.when(POS % len(choices) == k, c)
+        out = out.when(_pos() % len(choices) == k, c)
     return out.otherwise(choices[-1])
 
 
@@ -32,13 +33,13 @@ def _html(*parts):
 
 
 def _item():
-    return F.concat(F.lit("B"), F.lpad(POS.cast("string"), 9, "0"))
+    return F.concat(F.lit("B"), F.lpad(_pos().cast("string"), 9, "0"))
 
 
 def _result_cards(spark, sf_dir):
     rows = listings(spark, sf_dir).withColumn("size", F.col("dept"))
-    shown = F.when(POS % 7 == 6, F.concat(F.lit("ACME "), F.col("title"))).otherwise(F.col("title"))
-    slug = F.when(POS % 7 == 5, F.concat(F.lit("Zeta"), F.col("size").cast("string"), F.lit("-thing"))).otherwise(F.lit("wireless-thing"))
+    shown = F.when(_pos() % 7 == 6, F.concat(F.lit("ACME "), F.col("title"))).otherwise(F.col("title"))
+    slug = F.when(_pos() % 7 == 5, F.concat(F.lit("Zeta"), F.col("size").cast("string"), F.lit("-thing"))).otherwise(F.lit("wireless-thing"))
     count, money = F.col("review_count") * 97, lambda c: F.concat(F.lit("$"), F.format_number(c, 2))
     counted = F.when(
         count > 0,
@@ -65,8 +66,8 @@ def _result_cards(spark, sf_dir):
     value = F.format_number(F.col("coupon.value"), 0)
     clip = F.when(F.col("coupon.type") == "percent", _html('<span class="s-coupon-unclipped">Save ', value, "% with coupon</span>")).when(F.col("coupon.type") == "amount", _html('<span class="s-coupon-unclipped">Save $', value, " with coupon</span>"))
     plan = F.format_number("sns_percent", 0)
-    subscribe = F.when(plan.isNotNull(), F.when(POS % 8 == 0, _html('<b class="subscribe-box">up to ', plan, "%</b>")).otherwise(_html("<b>Save an extra ", plan, "% with Subscribe &amp; Save</b>")))
-    head = _html("<div", F.when(POS % 2 == 0, _html(' data-asin="', _item(), '"')), '><h2 class="t"><a href="/', slug, "/dp/", _item(), '"><span> ', shown, " </span></a></h2>")
+    subscribe = F.when(plan.isNotNull(), F.when(_pos() % 8 == 0, _html('<b class="subscribe-box">up to ', plan, "%</b>")).otherwise(_html("<b>Save an extra ", plan, "% with Subscribe &amp; Save</b>")))
+    head = _html("<div", F.when(_pos() % 2 == 0, _html(' data-asin="', _item(), '"')), '><h2 class="t"><a href="/', slug, "/dp/", _item(), '"><span> ', shown, " </span></a></h2>")
     return materialize(rows.select("pos", _html(head, made, stars, counted, priced, struck, ad, badge, clip, subscribe, "</div>").alias("html")), "result-cards")
 
 
@@ -94,7 +95,7 @@ def _discount_cards(spark, sf_dir):
     priced = _pick(_html("<span>", money, "</span>"), _html('<i aria-label="now ', money, '"></i>'), _html('<span class="a-price"><span class="a-offscreen">', money, "</span></span>"))
     made = _pick(_html('<b class="x-brand">by ', F.col("brand"), "</b>"), _html("<b>by ", F.col("brand"), "</b>"), F.lit(""), F.lit(""))
     ad = F.when(F.col("is_sponsored"), _pick(F.lit("<span>Ad</span>"), F.lit('<b data-is-sponsored="true"></b>')))
-    return materialize(rows.select("pos", _html("<div", F.when(POS % 3 == 0, _html(' data-asin="', _item(), '"')), ">", shown, count, stars, priced, made, ad, "</div>").alias("html")), "discount-cards")
+    return materialize(rows.select("pos", _html("<div", F.when(_pos() % 3 == 0, _html(' data-asin="', _item(), '"')), ">", shown, count, stars, priced, made, ad, "</div>").alias("html")), "discount-cards")
 
 
 @query(
@@ -112,7 +113,7 @@ def discount_cards(spark, sf_dir):
 )
 def two_sources(spark, sf_dir):
     """Both sources in one scan, the first card of each id kept: the discount section adds what the main store lacks."""
-    main, discount = cards.read_cards(_result_cards(spark, sf_dir).where(POS % 3 != 1)), cards.read_discount_cards(_discount_cards(spark, sf_dir))
+    main, discount = cards.read_cards(_result_cards(spark, sf_dir).where(_pos() % 3 != 1)), cards.read_discount_cards(_discount_cards(spark, sf_dir))
     return union_pages([main.withColumn("seen_in", F.lit("main")), discount.withColumn("seen_in", F.lit("discount"))]).select("asin", "seen_in", "price")
 
 
@@ -184,11 +185,11 @@ SELECT p_partkey AS pos, CASE p_partkey % 5 WHEN 3 THEN '999' WHEN 4 THEN NULL E
 )
 def department_queries(spark, sf_dir):
     """The department of a search page by node, alias or breadcrumb, and its topic weights."""
-    at = lambda values: F.get(F.array(*(F.lit(v) for v in values)), (F.floor(POS / 5) % 10).cast("int"))
+    at = lambda values: F.get(F.array(*(F.lit(v) for v in values)), (F.floor(_pos() / 5) % 10).cast("int"))
     node, name, alias = (at([p[i] for p in departments.PROFILES]) for i in (0, 1, 2))
     base = F.lit("https://shop.example/s?k=x")
     url = _pick(F.concat(base, F.lit("&rh=p_1%3A2%2Cn%3A"), node), F.concat(base, F.lit("&i="), alias, F.lit("&page=2")), base, F.concat(base, F.lit("&rh=n%3A999")), F.concat(base, F.lit("&i=nothing")))
-    crumb = F.when(POS % 5 == 2, F.concat(F.lit("All > "), F.upper(name), F.lit(" > More"))).otherwise(F.lit(""))
+    crumb = F.when(_pos() % 5 == 2, F.concat(F.lit("All > "), F.upper(name), F.lit(" > More"))).otherwise(F.lit(""))
     read = listings(spark, sf_dir).select("pos", departments.department(url, crumb).alias("d"))
     weight = lambda t: departments.topic_weight(F.col("d.department_id"), F.lit(t))
     return read.select("pos", "d.department_id", "d.label", weight("durability").alias("durability"), weight("size-fit").alias("size_fit"))
@@ -233,11 +234,11 @@ def local_prices(spark, sf_dir):
 def short_labels(spark, sf_dir):
     """Labels of duplicates, price lines, shares of pros, time saved, checked ids and domains."""
     disc = F.when(F.col("list_price") > F.col("price"), (F.col("list_price") - F.col("price")) / F.col("list_price") * 100).otherwise(0.0)
-    line = labels.price_line(disc, F.when(POS % 3 == 0, F.lit("Good Deal")), F.when(POS % 7 == 0, F.lit("Buy 2, save 5%")))
+    line = labels.price_line(disc, F.when(_pos() % 3 == 0, F.lit("Good Deal")), F.when(_pos() % 7 == 0, F.lit("Buy 2, save 5%")))
     return listings(spark, sf_dir).select(
-        "pos", labels.duplicate_label(POS % 2 == 0, POS % 5 + 2, (55 + POS % 46) / 100.0, F.concat("title", "title")).alias("duplicate"), line.alias("line"), labels.sentiment_split(POS % 6, POS % 4).alias("positive"),
-        labels.time_saved(POS).alias("saved"), labels.valid_item_id(F.col("asin")).alias("valid"),
-        labels.valid_domain(F.when(POS % 2 == 0, F.lit("b.example")).otherwise(F.lit("c.example")), ("a.example", "b.example")).alias("domain"),
+        "pos", labels.duplicate_label(_pos() % 2 == 0, _pos() % 5 + 2, (55 + _pos() % 46) / 100.0, F.concat("title", "title")).alias("duplicate"), line.alias("line"), labels.sentiment_split(_pos() % 6, _pos() % 4).alias("positive"),
+        labels.time_saved(_pos()).alias("saved"), labels.valid_item_id(F.col("asin")).alias("valid"),
+        labels.valid_domain(F.when(_pos() % 2 == 0, F.lit("b.example")).otherwise(F.lit("c.example")), ("a.example", "b.example")).alias("domain"),
     )
 
 
