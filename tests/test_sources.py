@@ -51,7 +51,7 @@ def test_every_customer_has_a_shortlist(spark):
     lists = {}
     for r in table(spark, "/root/testdata/sf0.001", "orders").orderBy("o_orderkey").collect():
         lists.setdefault(str(r.o_custkey), []).append(f"- Order {r.o_orderkey}")
-    got = {r.list_name: r.markdown for r in registry.queries()["all_shortlists_markdown"](spark, "/root/testdata/sf0.001").collect()}
+    got = {r.list_name: r.markdown for r in registry.queries()["shortlist_markdown"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {k: "\n".join([f"# {k}", *v]) for k, v in lists.items()} and any(int(k) > 50 for k in got)
 
 

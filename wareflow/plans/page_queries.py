@@ -169,8 +169,8 @@ def document_fields(spark, sf_dir):
         _html('<span>Ships from</span><span class="tabular-buybox-text">Depot</span><span>Sold by</span><span class="tabular-buybox-text">', s, "</span>"), _html('<a href="/x?seller=A1">', s, "</a>"),
         F.lit('<div id="merchant-info">Ships from and sold by Retailer.</div>'), F.lit("<p>nobody</p>"),
     )
-    html = _html("<body>", brand, seller, "</body>")
-    read = rows.select("pos", cards.document_brand(html).alias("brand"), cards.document_seller(html, "retailer").alias("s"))
+    pages = materialize(rows.select("pos", _html("<body>", brand, seller, "</body>").alias("html")), "documents")
+    read = pages.select("pos", cards.document_brand(F.col("html")).alias("brand"), cards.document_seller(F.col("html"), "retailer").alias("s"))
     return read.select("pos", "brand", "s.seller_name", "s.fulfillment")
 
 
