@@ -119,5 +119,23 @@ def test_packing_holds_every_id_once(stages):
         assert all(p in crcs for p in pieces)
 
 
+def test_stages_on_nulls_repeats_and_nothing(spark):
+    """All stages in a row on a table with nulls, repeated rows, a long text and extra columns; then on an empty one."""
+    text = lambda k, n=90: " ".join(f"word{(k * 7919 + i * 31) % 400009}" for i in range(n))
+    rows = [(1, text(1), "en", "a", 9), (1, text(1), "en", "a", 9), (2, None, "en", "a", 0), (3, "", None, "b", 0), (None, text(4), "en", None, 9), (5, text(5), "de", None, 9), (6, text(6, 60000), "en", "b", 9), (7, text(1), "en", "c", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    from wareflow.sources.storage import materialize
+
+    for some in (rows, []):
+        docs = spark.createDataFrame([(*r, "t", 1) for r in some], schema + ", th string, row int")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = materialize(stage(spark, docs, SF), f"edge-{k}")
+            if k < 4:
+                assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "th", "row"]
+            if k == 1:
+                assert sorted((str(r.doc_id) for r in docs.collect())) == (["1", "5", "6", "None"] if some else [])
+        assert (docs.count() > 0) == bool(some)
+
+
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
