@@ -60,7 +60,7 @@ def test_two_overlapping_inputs_cover_the_table(spark):
     from wareflow.sources.tables import listings, table
 
     sf, queries = "/root/testdata/sf0.001", registry.queries()
-    keys = sorted(r[0] for r in queries["insert_absent_all"](spark, sf).collect())
+    keys = sorted(r[0] for r in queries["insert_absent"](spark, sf).collect())
     assert keys == sorted(r[0] for r in table(spark, sf, "customer").select("c_custkey").collect())
-    got = {r.asin for r in queries["page_union_all"](spark, sf).collect()} - {None}
+    got = {r.asin for r in queries["page_union"](spark, sf).collect()} - {None}
     assert got == {r.asin for r in listings(spark, sf).select("asin").collect()} - {None}

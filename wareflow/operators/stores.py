@@ -39,9 +39,11 @@ def move_brand(to: DataFrame, other: DataFrame, brands: DataFrame) -> tuple[Data
 
 
 def newest(df: DataFrame, n: int, order: str, by: str | None = None) -> DataFrame:
-    """The n newest rows (of each group): capacity by first in, first out."""
-    w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy(F.col(order).desc())
-    return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")
+    """The n newest rows (of each group): capacity by first in, first out. Without groups every task keeps its own n newest before they meet."""
+    latest = F.col(order).desc()
+    if by is None:
+        return df.orderBy(latest).limit(n)
+    return df.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(latest))).where(F.col("rn") <= n).drop("rn")
 
 
 def fresh(df: DataFrame, column: str, now: Column, hours: float) -> DataFrame:
@@ -125,13 +127,15 @@ def budgets(recipients: DataFrame, items: DataFrame) -> DataFrame:
 
 def compare(items: DataFrame, metrics: dict[str, bool]) -> DataFrame:
     """asin, metric, value, is_best, is_worst; metrics: name -> whether higher is better. No marks if fewer than two values or all equal."""
-    each = (F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(up).alias("up")) for m, up in metrics.items())
+    values = {m: F.col(m).cast("double") for m in metrics}
+    spans = items.agg(*(F.struct(F.max(v).alias("high"), F.min(v).alias("low"), F.count(v).alias("n")).alias(m) for m, v in values.items()))
+    spans = spans.select(F.inline(F.array(*(F.struct(F.lit(m).alias("of"), *(F.col(m)[k].alias(k) for k in ("high", "low", "n"))) for m in metrics))))
+    each = (F.struct(F.lit(m).alias("metric"), v.alias("value"), F.lit(metrics[m]).alias("up")) for m, v in values.items())
     long = items.select("asin", F.explode(F.array(*each)).alias("x")).select("asin", "x.*")
-    w = Window.partitionBy("metric")
-    high, low, n = F.max("value").over(w), F.min("value").over(w), F.count("value").over(w)
-    marked = F.coalesce((n >= 2) & (high != low), F.lit(False))
-    best, worst = F.when(F.col("up"), high).otherwise(low), F.when(F.col("up"), low).otherwise(high)
-    return long.select("asin", "metric", "value", (marked & F.coalesce(F.col("value") == best, F.lit(False))).alias("is_best"), (marked & F.coalesce(F.col("value") == worst, F.lit(False))).alias("is_worst"))
+    marked = (F.col("n") >= 2) & (F.col("high") != F.col("low"))
+    best, worst = F.when(F.col("up"), F.col("high")).otherwise(F.col("low")), F.when(F.col("up"), F.col("low")).otherwise(F.col("high"))
+    is_best, is_worst = (F.coalesce(marked & (F.col("value") == end), F.lit(False)) for end in (best, worst))
+    return long.join(spans, F.col("metric") == F.col("of")).select("asin", "metric", "value", is_best.alias("is_best"), is_worst.alias("is_worst"))
 
 
 def cheapest_locale(prices: DataFrame, rates: DataFrame) -> DataFrame:

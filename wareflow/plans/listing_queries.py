@@ -396,17 +396,9 @@ def export_csv(spark, sf_dir):
     return rows.select(F.col("Item").alias("item"), sinks.csv_line([F.col(labels[k]) for k in labels if k != "asin"]).alias("line"))
 
 
-@query("page_union", LISTINGS + "SELECT pos, asin FROM (SELECT pos, asin, 0 AS page FROM listings WHERE pos % 2 = 0 UNION ALL SELECT pos, CASE WHEN pos % 10 = 0 THEN NULL ELSE asin END, 1 FROM listings WHERE pos % 3 = 0) QUALIFY asin IS NULL OR row_number() OVER (PARTITION BY asin ORDER BY page, pos) = 1")
+@query("page_union", LISTINGS + "SELECT pos, asin FROM (SELECT pos, asin, 0 AS page FROM listings WHERE pos % 2 = 0 UNION ALL SELECT pos, CASE WHEN pos % 10 = 0 THEN NULL ELSE asin END, 1 FROM listings WHERE pos % 2 <> 0 OR pos % 3 = 0) QUALIFY asin IS NULL OR row_number() OVER (PARTITION BY asin ORDER BY page, pos) = 1")
 def page_union(spark, sf_dir):
-    """Pages of a scan, the first row of an id kept, rows without an id all kept."""
-    rows = listings(spark, sf_dir).select("pos", "asin")
-    two = rows.where("pos % 3 = 0").withColumn("asin", F.when(F.col("pos") % 10 != 0, F.col("asin")))
-    return union_pages([rows.where("pos % 2 = 0"), two]).select("pos", "asin")
-
-
-@query("page_union_all", LISTINGS + "SELECT pos, asin FROM (SELECT pos, asin, 0 AS page FROM listings WHERE pos % 2 = 0 UNION ALL SELECT pos, CASE WHEN pos % 10 = 0 THEN NULL ELSE asin END, 1 FROM listings WHERE pos % 2 <> 0 OR pos % 3 = 0) QUALIFY asin IS NULL OR row_number() OVER (PARTITION BY asin ORDER BY page, pos) = 1")
-def page_union_all(spark, sf_dir):
-    """As page_union, over two overlapping pages that hold all listings."""
+    """Pages of a scan, the first row of an id kept, rows without an id all kept; two overlapping pages hold all listings."""
     rows = listings(spark, sf_dir).select("pos", "asin")
     two = rows.where("pos % 2 <> 0 OR pos % 3 = 0").withColumn("asin", F.when(F.col("pos") % 10 != 0, F.col("asin")))
     return union_pages([rows.where("pos % 2 = 0"), two]).select("pos", "asin")
