@@ -1,5 +1,7 @@
 import datetime
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from wareflow.operators import recalls, review_scores, stores, topics
@@ -64,6 +66,28 @@ def test_recall_by_brand_alone_over_two_products(spark):
     assert got == {(1, 7): (0.5, ["brand"]), (3, 7): (0.5, ["brand"])}
 
 
+def test_recall_meetings_lose_no_match(spark):
+    rng = random.Random(5)
+    words = ["small", "red", "kettle", "grill", "lamp", "cord", "acme", "orbit", "lid", "steel", "fan", "toy"]
+    some = lambda n: " ".join(rng.choices(words, weights=[9, 9, *[1] * 10], k=n))
+    items = spark.createDataFrame([(i, rng.choice([None, some(rng.randint(0, 6))]) if i % 9 == 0 else some(rng.randint(1, 6)), rng.choice([None, "", "Acme", "Orbit", "Red"])) for i in range(150)], "pos int, title string, brand string")
+    cells = [(i, [(some(rng.randint(0, 4)),) for _ in range(rng.randint(0, 3))], some(rng.randint(0, 6)), some(rng.randint(0, 8)), [(rng.choice(["Shop", "Retailer"]),)]) for i in range(60)]
+    feed = spark.createDataFrame(cells, "RecallID long, Products array<struct<Name: string>>, Title string, Description string, Retailers array<struct<Name: string>>")
+    own, theirs = recalls._own_words(items), recalls._recall_words(feed, "retailer")
+    for least in (0.2, 0.45, 0.8):
+        every = sorted(map(str, recalls._score(own.crossJoin(theirs), least).collect()))
+        assert sorted(map(str, recalls.match_recalls(items, feed, least).collect())) == every and every
+    with pytest.raises(ValueError):
+        recalls.match_recalls(items, feed, 0.0)
+
+
+def test_recalls_do_not_meet_on_a_word_that_everything_shares(spark):
+    items = spark.createDataFrame([(i, f"Small thing{i} orbit" if i == 7 else f"Small thing{i}", None) for i in range(100)], "pos int, title string, brand string")
+    one = spark.createDataFrame([(1, [("Small Orbit Lantern",)], "Small lantern burns", "", [("Shop",)])], "RecallID long, Products array<struct<Name: string>>, Title string, Description string, Retailers array<struct<Name: string>>")
+    met = recalls.meetings(recalls._own_words(items), recalls._recall_words(one, "retailer"), 0.45).collect()
+    assert [r.pos for r in met] == [7]
+
+
 def test_alerts_and_capacity(spark):
     p = spark.createDataFrame([("a", i, v) for i, v in enumerate((10.0, 8.0, 9.0, 7.0))], "asin string, ts int, price double")
     t = spark.createDataFrame([("a", 8.0)], "asin string, target double")
