@@ -8,6 +8,7 @@ from ..functions.numbers import half_up
 from ..functions.text import sentences
 from ..operators import recalls, review_scores, topics
 from ..sources.tables import RECALL_SCHEMA, listings, reviews, text_reviews
+from .listing_queries import LISTINGS
 from .registry import query
 
 REVIEWS = """WITH r AS (SELECT l_partkey::VARCHAR AS asin, l_orderkey * 8 + l_linenumber AS idx, 1 + floor((l_quantity - 1) / 10) AS rating, epoch_us(l_shipdate::TIMESTAMP) AS t,
@@ -290,7 +291,40 @@ def recall_feed(spark):
     return spark.createDataFrame(cells, RECALL_SCHEMA)
 
 
-@query("recall_matches")
+def _recall_sql() -> str:
+    """All pairs of listings and recalls; the ordered fold over products is a list_reduce."""
+
+    def quoted(words) -> str:
+        return ", ".join(f"'{w}'" for w in words)
+
+    def tokens(c: str) -> str:
+        return f"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1 AND w NOT IN ({quoted(recalls.STOP_WORDS)}))"
+
+    def total(c: str) -> str:
+        return f"coalesce(list_sum(list_transform({c}, lambda w: CASE WHEN w IN ({quoted(recalls.GENERIC)}) THEN 0.5::DOUBLE ELSE 1 END)), 0)"
+
+    def overlap(c: str) -> str:
+        return f"(CASE WHEN {total(c)} > 0 THEN {total(f'list_filter({c}, lambda w: list_contains(words, w))')} / {total(c)} ELSE 0 END)"
+
+    feed = """SELECT * FROM (VALUES (1::BIGINT, ['Red Anvil Large', 'Old Bolt Kit'], 'Retailer recalls red anvil', 'The red anvil may break', true),
+  (2, ['Blue Ring Small'], 'Blue ring recall', 'Rings in blue can fall', false)) t(recall_id, products, title, text, sold)"""
+    return (
+        LISTINGS
+        + f""", feed AS ({feed}),
+theirs AS (SELECT recall_id, list_transform(products, lambda p: {tokens("p")}) AS names, {tokens("title")} AS title_words, {tokens("text")} AS text_words, sold FROM feed),
+own AS (SELECT pos, list_distinct({tokens("title")}) AS words, list_distinct({tokens("brand")}) AS brand_words FROM listings),
+pairs AS (SELECT *, list_transform(names, lambda n: {{'o': {overlap("n")}::DOUBLE, 'hit': list_has_any(brand_words, n)}}) AS each,
+  list_filter(flatten(list_transform(names, lambda n: n[1:2])), lambda w: w NOT IN ({quoted(recalls.GENERIC)})) AS first_words FROM own, theirs),
+folded AS (SELECT *, list_reduce(each, lambda a, x: {{'o': CASE WHEN x.hit THEN least(1.0::DOUBLE, greatest(a.o, x.o) + 0.25::DOUBLE) ELSE greatest(a.o, x.o) END, 'hit': a.hit OR x.hit}}, {{'o': 0.0::DOUBLE, 'hit': false}}) AS p,
+  {overlap("title_words")} AS t, {overlap("text_words")} AS d FROM pairs),
+best AS (SELECT *, greatest(p.o, t, d * 0.5::DOUBLE)
+  * CASE WHEN len(brand_words) > 0 AND len(first_words) > 0 AND NOT p.hit AND NOT list_has_any(brand_words, first_words) THEN 0.4::DOUBLE ELSE 1 END AS best FROM folded),
+held AS (SELECT pos, recall_id, floor(CASE WHEN sold AND best >= 0.3::DOUBLE THEN least(1.0::DOUBLE, best + 0.1::DOUBLE) ELSE best END * 100 + 0.5) / 100 AS confidence FROM best)
+SELECT * FROM held WHERE confidence >= 0.3"""
+    )
+
+
+@query("recall_matches", _recall_sql())
 def recall_matches(spark, sf_dir):
-    """Listings that fit a recall (P9, P11, P12, J7, T9); the fold over products is ordered, unit tests hold the cases."""
+    """Listings that fit a recall (P9, P11, P12, J7, T9); the fold over products is ordered."""
     return recalls.match_recalls(listings(spark, sf_dir), recall_feed(spark), 0.3).select("pos", "recall_id", "confidence")
