@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, language_model, mixing, nearest, packing, quality_rules, simhash, substring_dedup, token_counts
+from . import chat_format, language_id, language_model, mixing, nearest, packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict:
         "op8_mixing": mixing.ORACLE_SQL,
         "op9_chat_format": chat_format.ORACLE_SQL,
         "op10_quality_rules": quality_rules.ORACLE_SQL,
+        "op11_suffix_dedup": suffix_dedup.ORACLE_SQL,
     }
