@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, language_model, mixing, nearest, packing, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
+from . import chat_format, fill_in_middle, language_id, language_model, mixing, nearest, packing, periodic_runs, quality_rules, simhash, substring_dedup, suffix_dedup, token_counts
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_quality_rules": quality_rules.op10_quality_rules,
         "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
+        "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+        "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
 
 
@@ -28,4 +30,5 @@ def oracle_sql() -> dict:
         "op9_chat_format": chat_format.ORACLE_SQL,
         "op10_quality_rules": quality_rules.ORACLE_SQL,
         "op11_suffix_dedup": suffix_dedup.ORACLE_SQL,
+        "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
     }
