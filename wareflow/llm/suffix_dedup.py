@@ -6,16 +6,16 @@ the parse's suffix behind it. Equal phrases have equal sets of 50-byte strings,
 belongs to its document of least id, and in all other documents all strings that start in it repeat.
 
 Dictionary: what is left, each different phrase in its least document. Its suffixes are needed only where two documents can agree for 50
-bytes. The one of the 27 grams of 24 bytes in a string with the least hash (the leftmost of equals) tells: equal strings choose equal grams,
-and a gram of one document only rules its suffixes out.
+bytes. The least hash of the 27 grams of 24 bytes in a string tells: equal strings have
+equal ones, and one that a single document has rules its suffixes out.
 
 Suffix order: each block sorts the suffixes that are left by their first 50 bytes and takes neighbours that agree so far as one, with the
 least document; the blocks' orders are merged by the strings' hash, which gives each suffix the least document that holds it. The order
 of all suffixes is not built in one piece, since that would ship each suffix of the dictionary (over 14 bytes for each byte of text).
 
-Texts are packed into compressed blocks of about 2 MB once; longer texts are dealt into pieces that overlap by 49 bytes on both sides. Blocks
+Texts are packed into compressed blocks of about 1 MB once; longer texts are dealt into pieces that overlap by 49 bytes on both sides. Blocks
 exchange arrays of keys, cut into buckets by hash, and get one bit back for each, so a key of many documents comes once from each block, whatever
-its documents. Hashes of phrases and strings have 96 bits and the bucket; those of grams 32 bits and the bucket, where a collision only
+its documents. Hashes of phrases and strings have 80 bits and the bucket; those of grams 32 bits and the bucket, where a collision only
 lets a suffix through to the sort. Rows of an exchange number blocks times buckets (one for each 32 MB) but never more than the keys.
 
 Nulls: a null text has no bytes; a row with a null doc_id is neither smaller nor larger than any and stays whole. Rows of one id do not count as
@@ -24,15 +24,13 @@ repeats of each other. An empty table gives no rows. doc_id is a whole number; o
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, discard, materialize, read
 
 WINDOW, SEED_BYTES, TRIGGER_BYTES, TRIGGER_PERIOD = 50, 24, 16, 128
-BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 1 << 21, 1 << 25, 32
+BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 1 << 20, 1 << 25, 32
 #: Odd multipliers of the two rolling hashes and of the final mix.
 BASES, MIX = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), 0xBF58476D1CE4E5B9
 BLOCK = "block long, piece int, n_pieces int, before int, take long, ids binary, known binary, sizes binary, blob binary"
@@ -45,17 +43,28 @@ def mixed(x):
     return x ^ (x >> np.uint64(29))
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(base: int, size: int):
-    """base^j and base^-j modulo 2^64 for j < size."""
-    import numpy as np
+class _Powers:
+    """Powers of each base and of its inverse modulo 2^64, as many as the longest array so far needed."""
+
+    def __init__(self):
+        self.size, self.rows = 0, []
+
+    def upto(self, size: int) -> list:
+        import numpy as np
+
+        if size > self.size:
+            self.size, self.rows = -(-size // (1 << 17)) << 17, []
+            for base in BASES:
+                pair = []
+                for b in (base, pow(base, -1, 1 << 64)):
+                    row = np.full(self.size, b, dtype=np.uint64)
+                    row[0] = 1
+                    pair.append(np.multiply.accumulate(row))
+                self.rows.append(pair)
+        return self.rows
 
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        row = np.full(size, b, dtype=np.uint64)
-        row[0] = 1
-        out.append(np.multiply.accumulate(row))
-    return out
+
+_powers = _Powers()
 
 
 class Rolling:
@@ -65,10 +74,8 @@ class Rolling:
         import numpy as np
 
         letters = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASES[0]))[text]
-        size = 1 << max(12, len(text).bit_length())
         self.sums, self.inverse = [], []
-        for base in BASES:
-            up, down = _powers(base, size)
+        for up, down in _powers.upto(len(text) + 1):
             sums = np.zeros(len(text) + 1, dtype=np.uint64)
             np.cumsum(letters * up[: len(text)], out=sums[1:])
             self.sums.append(sums)
@@ -85,17 +92,16 @@ class Rolling:
         return mixed((sums[length:] - sums[:-length]) * self.inverse[0][: len(sums) - length])
 
 
-def leftmost_least(hashes, span: int):
-    """Place of the least (leftmost) hash of every `span` successive ones, by doubling."""
+def least_of(hashes, span: int):
+    """The least of every `span` successive hashes, by doubling."""
     import numpy as np
 
-    at, length = np.arange(len(hashes)), 1
+    least, length = hashes, 1
     while length < span:
         step = min(length, span - length)
-        left, right = at[:-step], at[step:]
-        at = np.where(hashes[right] < hashes[left], right, left)
+        least = np.minimum(least[:-step], least[step:])
         length += step
-    return at
+    return least
 
 
 def grouped(*keys):
@@ -111,6 +117,25 @@ def grouped(*keys):
     return order, new
 
 
+def suffix_order(columns: list):
+    """Order of suffixes by their columns, and which of them differ from the one before: each column sorts only what those before left tied."""
+    import numpy as np
+
+    order = np.argsort(columns[0], kind="stable")
+    ranked = columns[0][order]
+    new = np.concatenate((np.ones(min(1, len(order)), dtype=bool), ranked[1:] != ranked[:-1]))
+    for column in columns[1:]:
+        group = np.cumsum(new) - 1
+        tied = np.flatnonzero(np.bincount(group)[group] > 1) if len(order) else order
+        if not len(tied):
+            break
+        rows, of = order[tied], group[tied]
+        order[tied] = rows[np.lexsort((column[rows], of))]
+        ranked = column[order[tied]]
+        new[tied[1:]] |= (ranked[1:] != ranked[:-1]) & (of[1:] == of[:-1])
+    return order, new
+
+
 def bits(parts: list | None, counts) -> object:
     """Verdicts of all entries of a block from (bucket, bits) of its rows; none were asked for if there are no entries."""
     import numpy as np
@@ -137,7 +162,7 @@ class Block:
     def docs_of(self, places):
         import numpy as np
 
-        return np.searchsorted(self.end, places, side="right")
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)[places] if len(places) > len(self.text) // 8 else np.searchsorted(self.end, places, side="right")
 
     def _entries(self, hi, low, ids):
         """Keys of the block, each once with its least id: place of its first row, its group of each row, its bucket, bounds of the buckets."""
@@ -170,7 +195,7 @@ class Block:
         doc = self.docs_of(first)
         stop = np.minimum(np.append(first[1:], n), last[doc] + 1)
         length = stop - first + self.window - 1
-        hi, low = self.rolling.of(0, first, length), (self.rolling.of(1, first, length) + length.astype(np.uint64)).astype(np.uint32)
+        hi, low = self.rolling.of(0, first, length), (self.rolling.of(1, first, length) + length.astype(np.uint64)).astype(np.uint16)
         self.first, self.stop, self.phrase_ids = first, stop, self.ids[doc]
         self.asked = (hi, low, *self._entries(hi, low, self.phrase_ids))
         return self
@@ -197,11 +222,10 @@ class Block:
             self.gram_group = np.zeros(0, dtype=np.int64)
             self.asked = (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=bool), np.zeros(0, dtype=np.uint64), np.zeros(1, dtype=np.int64))
             return self
-        hashes = self.rolling.grams(SEED_BYTES)
-        chosen = leftmost_least(hashes, self.window - SEED_BYTES + 1)[self.places]
-        new = np.concatenate(([True], chosen[1:] != chosen[:-1]))
-        at = chosen[new]
-        keys, ids = hashes[at], self.ids[self.docs_of(at)]
+        chosen = least_of(self.rolling.grams(SEED_BYTES), self.window - SEED_BYTES + 1)[self.places]
+        doc = self.docs_of(self.places)
+        new = np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1])))
+        keys, ids = chosen[new], self.ids[doc[new]]
         order, fresh = grouped((keys >> np.uint64(32)) % np.uint64(self.buckets), keys & np.uint64(0xFFFFFFFF))
         group = np.empty(len(order), dtype=np.int64)
         group[order] = np.cumsum(fresh) - 1
@@ -232,14 +256,14 @@ class Block:
             part = np.lib.stride_tricks.sliding_window_view(padded, 8)[at + 8 * k].copy()
             part[:, max(0, min(8, self.window - 8 * k)) :] = 0
             columns.append(part.view(">u8").ravel().astype(np.uint64))
-        order, new = grouped(*columns) if len(at) else (at, np.zeros(0, dtype=bool))
+        order, new = suffix_order(columns)
         heads = at[order[new]]
         group = np.empty(len(order), dtype=np.int64)
         group[order] = np.cumsum(new) - 1
         ids = self.ids[self.docs_of(at)]
         least = np.full(len(heads), np.iinfo(np.int64).max)
         np.minimum.at(least, group, ids)
-        hi, low = self.rolling.of(0, heads, self.window), self.rolling.of(1, heads, self.window).astype(np.uint32)
+        hi, low = self.rolling.of(0, heads, self.window), self.rolling.of(1, heads, self.window).astype(np.uint16)
         entry, to_entry, entry_least, bucket, bounds = self._entries(hi, low, least)
         self.suffix_ids = ids
         self.asked = (hi, low, entry, to_entry[group], entry_least, bucket, bounds)
@@ -341,6 +365,8 @@ def _asked(blocks: DataFrame, known: list[DataFrame], buckets: int, window: int)
                 else:
                     hi, low, at, _, least, bucket, bounds = block.asked
                     hi, low = hi[at], low[at]
+                    if len(least) and 0 <= least.min() and least.max() < 1 << 32:
+                        least = least.astype(np.uint32)
                     parts = [(hi[a:b].tobytes() + low[a:b].tobytes(), least[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
                 if parts:
                     yield pa.RecordBatch.from_arrays(
@@ -369,7 +395,7 @@ def _answered(asked: DataFrame, grams: bool) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        width = 4 if grams else 12
+        width = 4 if grams else 10
         keys, docs = table.column("keys").to_pylist(), table.column("docs").to_pylist()
         counts = np.array([len(k) // width for k in keys])
         if grams:
@@ -382,8 +408,8 @@ def _answered(asked: DataFrame, grams: bool) -> DataFrame:
             out[order] = shared[np.cumsum(new) - 1]
         else:
             hi = np.concatenate([np.frombuffer(k, dtype=np.uint64, count=n) for k, n in zip(keys, counts, strict=True)])
-            low = np.concatenate([np.frombuffer(k, dtype=np.uint32, offset=8 * n) for k, n in zip(keys, counts, strict=True)])
-            ids = np.concatenate([np.frombuffer(d, dtype=np.int64) for d in docs])
+            low = np.concatenate([np.frombuffer(k, dtype=np.uint16, offset=8 * n) for k, n in zip(keys, counts, strict=True)])
+            ids = np.concatenate([np.frombuffer(d, dtype=np.int64 if len(d) == 8 * n else np.uint32).astype(np.int64) for d, n in zip(docs, counts, strict=True)])
             order, new = grouped(hi, low)
             least = np.minimum.reduceat(ids[order], np.flatnonzero(new))
             out = np.empty(len(order), dtype=bool)
