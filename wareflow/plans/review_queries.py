@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
 from ..functions.text import sentences
-from ..operators import recalls, review_scores, topics
-from ..sources.tables import RECALL_SCHEMA, listings, reviews, text_reviews
+from ..operators import recalls, review_scores, sentiment, topics
+from ..sources.tables import RECALL_SCHEMA, listings, reviews, table, text_reviews
 from .listing_queries import LISTINGS
 from .registry import query
 
@@ -328,3 +328,30 @@ SELECT * FROM held WHERE confidence >= 0.3"""
 def recall_matches(spark, sf_dir):
     """Listings that fit a recall (P9, P11, P12, J7, T9); the fold over products is ordered."""
     return recalls.match_recalls(listings(spark, sf_dir), recall_feed(spark), 0.3).select("pos", "recall_id", "confidence")
+
+
+def _labelled(spark, sf_dir):
+    """Documents as reviews, with the labels that some of them have: positive means good and not toxic; a fifth of them is held out."""
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.bool_and((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("target"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 2
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", (1.0 + F.col("doc_id") % 5).alias("rating"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    return rows.join(labels, F.col("doc_id") == F.col("id"), "left").drop("id")
+
+
+@query("text_sentiment")
+def text_sentiment(spark, sf_dir):
+    """Sentiment of all documents by a model learned from the labelled ones that are not held out, and stars that contradict it."""
+    rows = _labelled(spark, sf_dir)
+    found = sentiment.scored(rows, sentiment.fit(rows.where("NOT held_out").select("text", "target")))
+    said = found.withColumn("s", sentiment.sentiment(F.col("positive"))).withColumn("m", sentiment.mismatch(F.col("s"), F.col("rating")))
+    return said.select("doc_id", "held_out", "target", "rating", "s.label", half_up(F.col("s.score"), 4).alias("score"), "m.deduction", "m.reason")
+
+
+@query("sentiment_accuracy")
+def sentiment_accuracy(spark, sf_dir):
+    """How often the model agrees with the labels it learned from and with those held out, beside the share of the commoner label."""
+    rows = text_sentiment(spark, sf_dir).where("target IS NOT NULL")
+    return rows.groupBy("held_out").agg(
+        F.count("*").alias("n"), half_up(F.avg(((F.col("label") == "POSITIVE") == F.col("target")).cast("int")), 4).alias("accuracy"),
+        half_up(F.greatest(F.avg(F.col("target").cast("int")), F.avg((~F.col("target")).cast("int"))), 4).alias("commoner"),
+    )
