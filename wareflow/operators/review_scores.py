@@ -1,6 +1,6 @@
 """Review authenticity and trust: histograms, texts, dates, and the ten trust signals with their score.
 
-Everything is grouped by asin with map-side combined aggregates; windows are per asin and only for the time patterns.
+Everything is grouped by asin with map-side combined aggregates; time patterns go through buckets of time (time_buckets), so no task holds a whole asin.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import clamp, half_up, half_up_int, label
 from ..functions.text import jaccard, long_words, plain_words
 from ..sources.storage import materialize
+from .time_buckets import DAY, fullest, span_sums
 
 #: Phrase lists and word lists of the text rules.
 SUPERLATIVES = ("best", "amazing", "perfect", "awesome", "love", "excellent", "incredible", "wonderful", "fantastic", "great", "outstanding")
@@ -78,19 +79,19 @@ def text_deduction() -> Column:
 
 def temporal_patterns(reviews: DataFrame) -> DataFrame:
     """asin, burst, recovery, one_week, temporal_deduction. Reviews without a date stand at the epoch and count."""
-    micros = F.unix_micros("ts")
-    day = 86_400_000_000
-    rows = reviews.select("asin", "review_idx", "rating", micros.alias("t"))
-    order = Window.partitionBy("asin").orderBy("t", "review_idx")
-    after = Window.partitionBy("asin").orderBy("t").rangeBetween(0, 2 * day)
-    fives = F.count_if(F.col("rating") == 5).over(after)
-    marked = rows.withColumn("fifth", F.lead("t", 4).over(order)).withColumn("fives", fives)
-    # A low review is no five itself; fives at its own instant that sort before it do not follow it.
-    tied = Window.partitionBy("asin", "t").orderBy("review_idx").rowsBetween(Window.unboundedPreceding, -1)
-    marked = marked.withColumn("fives", F.col("fives") - F.coalesce(F.count_if(F.col("rating") == 5).over(tied), F.lit(0)))
-    found = marked.groupBy("asin").agg(
-        F.count("*").alias("n"), F.coalesce(F.bool_or(F.col("fifth") - F.col("t") <= day), F.lit(False)).alias("burst"),
-        F.bool_or((F.col("rating") <= 2) & (F.col("fives") >= 3)).alias("recovery"), (F.max("t") - F.min("t") <= 7 * day).alias("one_week"),
+    rows = reviews.select("asin", "review_idx", "rating", F.unix_micros("ts").alias("t"))
+    bursts = fullest(rows, "asin", "t", DAY, "within_day")
+    # After a low review, fives count from its own instant on; those of that instant that sort before the first low one do not follow it.
+    low = rows.groupBy("asin", "t").agg(F.min(F.when(F.col("rating") <= 2, F.col("review_idx"))).alias("low")).where("low IS NOT NULL").withColumnsRenamed({"asin": "k", "t": "u"})
+    fives = rows.where("rating = 5").join(low, F.col("asin").eqNullSafe(F.col("k")) & (F.col("t") == F.col("u")), "left").groupBy("asin", "t").agg(F.count("*").alias("five"), F.count_if(F.col("review_idx") < F.col("low")).alias("before"))
+    marks = fives.select("asin", "t", "five", "before", F.lit(0).alias("low")).unionByName(low.select(F.col("k").alias("asin"), F.col("u").alias("t"), F.lit(0).cast("long").alias("five"), F.lit(0).cast("long").alias("before"), F.lit(1).alias("low")))
+    spans = span_sums(marks, "asin", "t", {"fives": F.col("five")}, 2 * DAY)
+    at = marks.groupBy("asin", "t").agg(F.max("low").alias("low"), F.sum("before").alias("before")).where("low = 1").withColumnsRenamed({"asin": "k", "t": "u"})
+    recovered = spans.join(at, F.col("asin").eqNullSafe(F.col("k")) & (F.col("t") == F.col("u"))).where("fives - before >= 3").select(F.col("asin").alias("k")).distinct()
+    base = rows.groupBy("asin").agg(F.count("*").alias("n"), (F.max("t") - F.min("t") <= 7 * DAY).alias("one_week"))
+    found = (
+        base.join(bursts.withColumnRenamed("asin", "b"), F.col("asin").eqNullSafe(F.col("b")), "left").join(recovered, F.col("asin").eqNullSafe(F.col("k")), "left")
+        .select("asin", "n", "one_week", F.coalesce(F.col("within_day") >= 5, F.lit(False)).alias("burst"), F.col("k").isNotNull().alias("recovery"))
     )
     some = F.col("n") >= 2
     deduction = F.when(some, F.least(F.lit(30), F.when(F.col("burst"), 15).otherwise(0) + F.when(F.col("recovery"), 20).otherwise(0) + F.when(F.col("one_week"), 10).otherwise(0))).otherwise(0)
@@ -105,9 +106,10 @@ def authenticity(histogram: Column, text: Column, temporal: Column) -> Column:
 
 def densest_week(reviews: DataFrame) -> DataFrame:
     """asin, most (reviews in the fullest seven days), dated (reviews with a date)."""
-    week = Window.partitionBy("asin").orderBy("t").rangeBetween(0, 7 * 86_400_000_000)
     rows = reviews.select("asin", F.unix_micros("ts").alias("t")).where("t > 0")
-    return rows.withColumn("n", F.count("*").over(week)).groupBy("asin").agg(F.max("n").alias("most"), F.count("*").alias("dated"))
+    sums = span_sums(rows, "asin", "t", {"most": F.lit(1)}, 7 * DAY)
+    dated = rows.groupBy("asin").agg(F.count("*").alias("dated")).withColumnRenamed("asin", "k")
+    return sums.groupBy("asin").agg(F.max("most").alias("most")).join(dated, F.col("asin").eqNullSafe(F.col("k"))).select("asin", "most", "dated")
 
 
 def copied_pairs(reviews: DataFrame, threshold: float = 0.7, least_tokens: int = 5) -> DataFrame:

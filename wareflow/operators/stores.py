@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up, half_up_int
+from .time_buckets import DAY, fullest, last_before, time_number
 
 
 def enrich(listings: DataFrame, cache: DataFrame) -> DataFrame:
@@ -57,8 +58,8 @@ def last_write(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
 
 def price_alerts(prices: DataFrame, targets: DataFrame) -> DataFrame:
     """asin, ts, price: prices at or below the target and below the price before. prices: asin, ts, price; targets: asin, target."""
-    before = F.lag("price").over(Window.partitionBy("asin").orderBy("ts"))
-    return prices.withColumn("before", before).join(targets, "asin").where((F.col("price") <= F.col("target")) & (F.col("price") < F.col("before"))).select("asin", "ts", "price")
+    known = last_before(prices.select("asin", "ts", "price", time_number(prices, "ts").alias("t"), F.struct("price").alias("p")), "asin", "t", ["t"], "p", "before", inclusive=False)
+    return known.select("asin", "ts", "price", F.col("before.price").alias("before")).join(targets, "asin").where((F.col("price") <= F.col("target")) & (F.col("price") < F.col("before"))).select("asin", "ts", "price")
 
 
 def price_history(prices: DataFrame, keep: int = 30) -> DataFrame:
@@ -76,12 +77,11 @@ def price_progress(first: Column, last: Column, target: Column) -> Column:
 
 
 def price_as_of(events: DataFrame, prices: DataFrame) -> DataFrame:
-    """Adds to each event (asin, at) the last price at or before it: a union and one window per item, no range join."""
-    both = events.select("asin", F.col("at").alias("t"), F.lit(None).cast("double").alias("p"), F.lit(1).alias("is_event")).unionByName(
-        prices.select("asin", F.col("ts").alias("t"), F.col("price").alias("p"), F.lit(0).alias("is_event"))
+    """Adds to each event (asin, at) the last price at or before it: a union through buckets of time, no range join and no window over a whole item."""
+    both = events.select("asin", "at", F.unix_micros("at").alias("t"), F.lit(None).cast("double").alias("p"), F.lit(1).alias("is_event")).unionByName(
+        prices.select("asin", F.col("ts").alias("at"), F.unix_micros("ts").alias("t"), F.col("price").alias("p"), F.lit(0).alias("is_event"))
     )
-    w = Window.partitionBy("asin").orderBy("t", "is_event").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("price", F.last("p", ignorenulls=True).over(w)).where("is_event = 1").select("asin", F.col("t").alias("at"), "price")
+    return last_before(both, "asin", "t", ["t", "is_event"], "p", "price").where("is_event = 1").select("asin", "at", "price")
 
 
 def page_stats(df: DataFrame, result: str = "filter_result", reason: str = "reason") -> DataFrame:
@@ -99,12 +99,11 @@ def monthly_counters(events: DataFrame, keep: int = 12) -> DataFrame:
 
 def usage(events: DataFrame) -> DataFrame:
     """user_id, uses, breadth (distinct features), retention_days, busiest_week (most uses within seven days)."""
-    week = Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(-7 * 86_400_000_000, 0)
-    rows = events.withColumn("n", F.count("*").over(week))
-    return rows.groupBy("user_id").agg(
-        F.count("*").alias("uses"), F.count_distinct("feature").alias("breadth"), F.floor((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 86_400_000_000).cast("long").alias("retention_days"),
-        F.max("n").alias("busiest_week"),
+    busiest = fullest(events.select("user_id", F.unix_micros("ts").alias("t")), "user_id", "t", 7 * DAY, "busiest_week").withColumnRenamed("user_id", "k")
+    used = events.groupBy("user_id").agg(
+        F.count("*").alias("uses"), F.count_distinct("feature").alias("breadth"), F.floor((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / DAY).cast("long").alias("retention_days"),
     )
+    return used.join(busiest, F.col("user_id").eqNullSafe(F.col("k")), "left").drop("k")
 
 
 def purchase_stats(purchases: DataFrame) -> DataFrame:

@@ -355,3 +355,27 @@ def sentiment_accuracy(spark, sf_dir):
         F.count("*").alias("n"), half_up(F.avg(((F.col("label") == "POSITIVE") == F.col("target")).cast("int")), 4).alias("accuracy"),
         half_up(F.greatest(F.avg(F.col("target").cast("int")), F.avg((~F.col("target")).cast("int"))), 4).alias("commoner"),
     )
+
+
+BUSY = """WITH r AS (SELECT CASE WHEN l_linenumber % 3 = 0 THEN 'hot' ELSE l_orderkey::VARCHAR END AS asin, l_orderkey * 8 + l_linenumber AS idx, 1 + floor((l_quantity - 1) / 10) AS rating,
+  epoch_us(o_orderdate::TIMESTAMP) + l_linenumber * (l_orderkey % 5) * 108000000000 AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query(
+    "busy_items",
+    TEMPORAL.replace(REVIEWS, BUSY).replace("rec AS (SELECT DISTINCT a.asin FROM o a JOIN o b ON a.asin = b.asin AND b.k > a.k AND b.t <= a.t + 172800000000 AND b.rating = 5 WHERE a.rating <= 2 GROUP BY a.asin, a.k HAVING count(*) >= 3)",
+        "rec AS (SELECT DISTINCT asin FROM (SELECT asin, rating, count(*) FILTER (rating = 5) OVER (PARTITION BY asin ORDER BY t RANGE BETWEEN CURRENT ROW AND 172800000000 FOLLOWING) - count(*) FILTER (rating = 5) OVER (PARTITION BY asin, t ORDER BY idx RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP) AS fives FROM r) WHERE rating <= 2 AND fives >= 3)")
+    + """, w AS (SELECT asin, max(n)::BIGINT AS most FROM (SELECT asin, count(*) OVER (PARTITION BY asin ORDER BY t RANGE BETWEEN CURRENT ROW AND 604800000000 FOLLOWING) AS n FROM r WHERE t > 0) GROUP BY asin)
+SELECT asin, n >= 2 AND burst AS burst, n >= 2 AND asin IN (FROM rec) AS recovery, n >= 2 AND week AS one_week,
+  (CASE WHEN n >= 2 THEN least(30, burst::INT * 15 + (asin IN (FROM rec))::INT * 20 + week::INT * 10) ELSE 0 END)::INT AS temporal_deduction, most FROM g JOIN w USING (asin)""",
+)
+def busy_items(spark, sf_dir):
+    """Time patterns of items one of which has over a quarter of all reviews, the others the lines of one order: bursts, recoveries and single weeks occur and do not."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    hours = F.col("l_linenumber") * (F.col("l_orderkey") % 5) * 30
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.when(F.col("l_linenumber") % 3 == 0, F.lit("hot")).otherwise(F.col("l_orderkey").cast("string")).alias("asin"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("review_idx"),
+        (1 + F.floor((F.col("l_quantity") - 1) / 10)).cast("double").alias("rating"), F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + hours * 3_600_000_000).alias("ts"),
+    )
+    weeks = review_scores.densest_week(rows).select(F.col("asin").alias("k"), "most")
+    return review_scores.temporal_patterns(rows).join(weeks, F.col("asin") == F.col("k")).drop("k")
