@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import first_of, half_up
+from .numbers import first_of, half_up, let
 
 #: Aliases of countries.
 COUNTRIES = {
@@ -67,18 +67,44 @@ def parse_coupon(text: Column) -> Column:
 
 
 def parse_rank(text: Column) -> Column:
-    """'#1,234 in Kitchen (See Top 100)' as struct<rank, category>."""
+    """'#1,234 in Kitchen (See Top 100)' as struct<rank, category>, wherever it stands; on pages the heading decides (rank_by_heading)."""
     pattern = r"#([0-9,]+)\s+in\s+([^(\n#]+)"
     rank = F.replace(F.regexp_extract(text, pattern, 1), F.lit(","), F.lit("")).try_cast("long")
     return F.when(rank.isNotNull(), F.struct(rank.alias("rank"), F.trim(F.regexp_extract(text, pattern, 2)).alias("category")))
 
 
+#: Patterns of quantity offers, tried in this order; the group is the quantity.
+MULTI_BUY = (
+    r"(?i)buy\s+(\d+)[,\s]+(?:get|save)\s+\d+%?\s*off", r"(?i)buy\s+(\d+)[,\s]+save\s+\$?[\d.]+", r"(?i)(\d+)\s+for\s+\$[\d.]+", r"(?i)save\s+\d+%?\s+when\s+you\s+buy\s+(\d+)",
+    r"(?i)purchase\s+(\d+)\s+or\s+more", r"(?i)quantity\s+discount[:\s]+buy\s+(\d+)", r"(?i)(\d+)\+\s+items?\s+(?:get|save)\s+\d+%",
+)
+FEWEST, MOST, LONGEST_OFFER = 2, 100, 80
+
+
 def parse_multi_buy(text: Column) -> Column:
-    """'Buy 2, save 10%', '3 for $20': struct<text, min_quantity>; quantities from 2 to 100, text up to 80 characters."""
-    patterns = (r"(?i)buy\s+([0-9]+)[^.]*?(?:save|get)", r"(?i)([0-9]+)\s+for\s+\$[0-9]", r"(?i)save[^.]*?when you buy\s+([0-9]+)", r"(?i)purchase\s+([0-9]+)\s+or more")
-    found = [_found(text, p).try_cast("int") for p in patterns]
-    quantity = F.coalesce(*(F.when(q.between(2, 100), q) for q in found))
-    return F.when(quantity.isNotNull(), F.struct(F.substring(F.trim(text), 1, 80).alias("text"), quantity.alias("min_quantity")))
+    """'Buy 2, save 10%', '3 for $20': struct<text, min_quantity> of the first pattern whose quantity is from 2 to 100; the text is its sentence, up to 80 characters."""
+
+    def offer(clean: Column, pattern: str) -> Column:
+        hit = let(F.struct(F.regexp_substr(clean, F.lit(pattern)).alias("said"), F.regexp_extract(clean, pattern, 1).try_cast("int").alias("quantity")), lambda m: F.when(m["quantity"].between(FEWEST, MOST), m))
+        return let(hit, lambda m: F.when(m.isNotNull(), F.struct(sentence(clean, m["said"]).alias("text"), m["quantity"].alias("min_quantity"))))
+
+    def sentence(clean: Column, said: Column) -> Column:
+        at = F.position(F.lower(said), F.lower(clean))
+        lead = F.substring_index(F.substr(clean, F.lit(1), at), ".", -1)
+        rest = F.substring_index(F.substr(clean, at + F.length(said)), ".", 1)
+        return F.substring(F.trim(F.concat(lead, F.substr(said, F.lit(2)), rest)), 1, LONGEST_OFFER)
+
+    return let(F.trim(F.regexp_replace(text, r"\s+", " ")), lambda clean: F.coalesce(*(offer(clean, p) for p in MULTI_BUY)))
+
+
+#: The heading near which a best-seller rank stands, and the rank.
+RANK_HEADING, RANK = r"(?i)best\s*sellers?\s*rank", r"#([\d,]+)\s+in\s+([A-Za-z][A-Za-z &',()-]+)"
+
+
+def rank_by_heading(text: Column, heading: str = RANK_HEADING) -> Column:
+    """struct<rank, category> of a text that names the rank's heading: '#1,234 in Home & Kitchen (See Top 100)'; null without the heading or a rank."""
+    hit = F.struct(F.replace(F.regexp_extract(text, RANK, 1), F.lit(","), F.lit("")).try_cast("long").alias("rank"), F.regexp_replace(F.trim(F.regexp_extract(text, RANK, 2)), r"\s*\(.*$", "").alias("category"))
+    return F.when(text.rlike(heading), let(hit, lambda h: F.when(h["rank"].isNotNull(), h)))
 
 
 def parse_other_sellers(text: Column) -> Column:

@@ -14,9 +14,9 @@ TITLE_STOP_WORDS = (
 #: What a variant category strips from titles, as regular expressions over lower-case text.
 VARIANT_PATTERNS = {
     "color": r"\b(black|white|red|blue|green|yellow|orange|purple|pink|brown|gray|grey|silver|gold|navy|teal|cyan|magenta|maroon|beige|ivory|coral|turquoise|indigo|olive|charcoal|rose|midnight|space grey|space gray|graphite|starlight|matte black|jet black|arctic white|pearl white|dark blue|light blue|sky blue|royal blue|forest green|mint green|dark green|light green|hot pink|baby pink|deep purple|bright red|wine red|champagne|platinum|bronze|copper|multi-?color(?:ed)?|multicolor)\b",
-    "size": r"\b([0-9]+(?:\.[0-9]+)?\s*(?:inch(?:es)?|in|ft|feet|foot|cm|mm|meter|m)\b|\b(?:small|medium|large|x-?large|xx-?large|xs|sm|md|lg|xl|xxl|2xl|3xl)\b|\b[0-9]+(?:\.[0-9]+)?\s*(?:oz|ounce|ml|liter|gallon|qt|quart|pint|cup|fl\.?\s*oz)\b)",
-    "count": r"\b([0-9]+[\s-]*(?:pack|count|piece|pcs|pc|set|pair|ct)\b|\b(?:single|double|triple)\b)",
-    "style": r"\b(modern|classic|vintage|retro|contemporary|traditional|slim|regular|standard|pro|plus|lite|mini|max|ultra|premium|basic|deluxe|edition|version|gen(?:eration)?\s*[0-9]|v[0-9]|type[\s-]?[a-c]|model\s*[a-z0-9])\b",
+    "size": r"\b(\d+(?:\.\d+)?\s*(?:inch(?:es)?|in|ft|feet|foot|cm|mm|meter|m)\b|\b(?:small|medium|large|x-?large|xx-?large|xs|sm|md|lg|xl|xxl|2xl|3xl)\b|\b\d+(?:\.\d+)?\s*(?:oz|ounce|ml|liter|gallon|qt|quart|pint|cup|fl\.?\s*oz)\b)",
+    "count": r"\b(\d+[\s-]*(?:pack|count|piece|pcs|pc|set|pair|ct)\b|\b(?:single|double|triple)\b)",
+    "style": r"\b(modern|classic|vintage|retro|contemporary|traditional|slim|regular|standard|pro|plus|lite|mini|max|ultra|premium|basic|deluxe|edition|version|gen(?:eration)?\s*\d|v\d|type[\s-]?[a-c]|model\s*[a-z0-9])\b",
 }
 NOISE = r"\b(with|and|for|the|a|an|of|in|on|to|by)\b"
 

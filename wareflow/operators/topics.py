@@ -32,10 +32,10 @@ TOPICS = {
 FALLBACK = "product-quality"
 #: How a text states the rating it would have given.
 IMPLIED = (
-    r"(?i)would (?:have )?(?:given|said|rated|been)\s+([0-9])\s*(?:stars?)?[\s,]*(?:except|but|if not for|were it not for|minus|other than)",
-    r"(?i)(?:this is|it's|it is)\s+(?:a\s+)?([0-9])\s*(?:star|/5)[\s,]*(?:product|item)?[\s,]*(?:except|but|if not for|other than)",
-    r"(?i)i'?d\s+(?:give|rate)\s+(?:it\s+)?([0-9])\s*(?:stars?)?[\s,]*(?:but|except|if not for)",
-    r"(?i)(?:would be|could be|should be)\s+([0-9])\s*(?:stars?)?[\s,]*(?:but|except|if not for)",
+    r"(?i)would (?:have )?(?:given|said|rated|been)\s+(\d)\s*(?:stars?)?[\s,]*(?:except|but|if not for|were it not for|minus|other than)",
+    r"(?i)(?:this is|it's|it is)\s+(?:a\s+)?(\d)\s*(?:star|/5)[\s,]*(?:product|item)?[\s,]*(?:except|but|if not for|other than)",
+    r"(?i)i'?d\s+(?:give|rate)\s+(?:it\s+)?(\d)\s*(?:stars?)?[\s,]*(?:but|except|if not for)",
+    r"(?i)(?:would be|could be|should be)\s+(\d)\s*(?:stars?)?[\s,]*(?:but|except|if not for)",
 )
 
 

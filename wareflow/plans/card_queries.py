@@ -8,10 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import parse
-from ..functions.numbers import let
 from ..sources import cards, page_cards
-from ..sources.tables import table
+from ..sources.tables import listings, table
 from .listing_queries import LISTINGS
 from .page_queries import ITEM, MONEY, _discount_cards, _html, _result_cards
 from .registry import query
@@ -115,3 +113,37 @@ def page_paragraphs(spark, sf_dir):
     found = page_cards.page_cards(pages, _rules(spark))
     text = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", ""), r"\s+", " "))
     return found.select("page_id", "place", "rule", F.length(text).alias("chars"), F.col("found")["strong"].isNotNull().alias("strong"))
+
+
+OFFERS = ("Special deal. Buy {n}, get 15% off when you check out. More", "Today only. Buy {n}, save $5.00 on this. End", "{n} for $19.99 on all colours", "Now: save 20%   when you buy {n} or more", "Purchase {n} or more and save", "Quantity discount: buy {n} and more. Yes", "{n}+ items get 10% at checkout", "Buy {n} and get one free", "no offer")
+PLACES = ('<div id="tp_feature_div">{}</div>', '<div><div id="ppd"><p>x</p><b>{}</b></div></div>', '<ul id="detail-bullets"><li>{}</li></ul>', '<div id="elsewhere">{}</div>')
+RANKS = (
+    '<table id="prodDetails"><tr><th>Weight</th><td>#5 in Nothing</td></tr><tr><th>Best Sellers Rank</th><td>#{n} in Home &amp; Kitchen (See Top 100 in Home)</td></tr></table>',
+    '<div id="detailBullets_feature_div"><span>Best Sellers Rank:</span>\n #{n} in Toys, Games\n<span>Reviews</span></div>',
+    '<div id="detailBulletsWrapper_feature_div"><ul><li>Amazon Best Sellers #{n} in Books</ul></div>', '<div id="ppd"><p>Best Seller Rank</p> #{n} in Mugs</div>', "<p>#{n} in Kitchen</p>", "<p>Best Sellers Rank</p>",
+)
+
+
+def _filled(patterns, at, number):
+    """The pattern at a place, with a number in it."""
+    return F.replace(F.get(F.array(*(F.lit(p) for p in patterns)), at.cast("int")), F.lit("{n}"), number)
+
+
+@query(
+    "document_offers",
+    LISTINGS + """, q AS (SELECT pos, pos % 9 AS p, pos // 9 % 4 AS place, CASE WHEN pos % 31 = 0 THEN 1 WHEN pos % 37 = 0 THEN 101 ELSE 2 + pos % 99 END AS n FROM listings),
+o AS (SELECT pos, n, CASE p WHEN 0 THEN 'Buy ' || n || ', get 15% off when you check out' WHEN 1 THEN 'Buy ' || n || ', save $5' || '.00 on this' WHEN 2 THEN n || ' for $19.99 on all colours' WHEN 3 THEN 'Now: save 20% when you buy ' || n || ' or more'
+  WHEN 4 THEN 'Purchase ' || n || ' or more and save' WHEN 5 THEN 'Quantity discount: buy ' || n || ' and more' WHEN 6 THEN n || '+ items get 10% at checkout' END AS said, place FROM q)
+SELECT pos, CASE WHEN said IS NOT NULL AND place < 3 AND n BETWEEN 2 AND 100 THEN CASE WHEN place = 1 THEN CASE WHEN pos % 9 < 2 THEN '' ELSE 'x' END ELSE '' END || said END AS offer, CASE WHEN said IS NOT NULL AND place < 3 AND n BETWEEN 2 AND 100 THEN n END::INT AS quantity,
+  CASE WHEN ok THEN pos * 37 % 100000 + 1 END::BIGINT AS rank, CASE WHEN ok THEN CASE pos % 6 WHEN 0 THEN 'Home & Kitchen' WHEN 1 THEN 'Toys, Games' WHEN 2 THEN 'Books' WHEN 3 THEN 'Mugs' END END AS category
+FROM (SELECT *, pos % 6 < 4 AND NOT (pos % 6 = 3 AND place = 1) AND NOT (pos % 6 = 1 AND place = 2) AS ok FROM o)""",
+)
+def document_offers(spark, sf_dir):
+    """Quantity offers by seven patterns in their sections, and best-seller ranks near their heading; offers and ranks elsewhere, or out of bounds, are none."""
+    pos = F.col("pos")
+    n = F.when(pos % 31 == 0, 1).when(pos % 37 == 0, 101).otherwise(2 + pos % 99).cast("string")
+    offer = F.replace(F.get(F.array(*(F.lit(p) for p in PLACES)), (F.floor(pos / 9) % 4).cast("int")), F.lit("{}"), _filled(OFFERS, pos % 9, n))
+    rank = _filled(RANKS, pos % 6, F.format_number("bsr_rank", 0))
+    pages = listings(spark, sf_dir).where("pos IS NOT NULL").select(pos.alias("page_id"), F.concat(F.lit("<body>"), offer, rank, F.lit("</body>")).alias("html"))
+    read = page_cards.document_offers(pages)
+    return read.select(F.col("page_id").alias("pos"), F.col("multi_buy.text").alias("offer"), F.col("multi_buy.min_quantity").alias("quantity"), "bsr.rank", "bsr.category")

@@ -84,7 +84,11 @@ def sponsored(html: Column) -> Column:
     return F.coalesce(marked | html.rlike(r"(?is)<span[^>]*(?:a-color-secondary|label-popover-default)[^>]*>\s*(?:sponsored\b[^<]*|ad\s*)<"), F.lit(False))
 
 
-def brand(html: Column, shown: Column, generic: tuple[str, ...] = GENERIC) -> Column:
+#: Fixed value: the store's own name, which is no brand after "by".
+RETAILER = "amazon"
+
+
+def brand(html: Column, shown: Column, generic: tuple[str, ...] = GENERIC, retailer: str = RETAILER) -> Column:
     """Seven strategies: link under the title, the store's phrase, 'by', the brand row, a labelled link, the address, the title's first word."""
     link = found(html, r'(?is)</h2>\s*<a\b[^>]*href="[^"]*(?:/s\?|field-brandtextbin)[^>]*>([^<]+)<')
     said = let(
@@ -102,7 +106,7 @@ def brand(html: Column, shown: Column, generic: tuple[str, ...] = GENERIC) -> Co
         return first_of(
             (short(p["link"]), p["link"]),
             (p["said"]["store"].isNotNull(), p["said"]["store"]),
-            ((F.length(by) > 1) & ~by.rlike(r"(?i)^(?:the|this|that|an?)\b"), by),
+            ((F.length(by) > 1) & ~by.rlike(rf"(?i)^(?:{retailer}|the|this|that|an?)\b"), by),
             (short(row) & ~F.lower(row).contains("result") & ~row.rlike(r"(?i)^(?:\$|[0-9]|see )"), row),
             (short(p["labelled"]), p["labelled"]),
             (brand_word(slug, generic), slug),

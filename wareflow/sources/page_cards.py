@@ -20,10 +20,13 @@ import functools
 import itertools
 import re
 from collections import Counter
+from html import unescape
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import parse
+
 #: Built-in selectors by kind of page and field, tried in this order.
 SELECTORS = {
     "search": {
@@ -136,8 +139,8 @@ class Page:
     def outer(self, k: int) -> str:
         return self.html[self.start[k] : self.stop[k]]
 
-    def text(self, k: int) -> str:
-        """Text of an element without tags and raw content, white space collapsed."""
+    def text(self, k: int, as_is: bool = False) -> str:
+        """Text of an element without tags and raw content, its references resolved, white space collapsed unless it is wanted as it is."""
         parts, at, end = [], self.inner[k], self.stop[k]
         while (found := TAG.search(self.html, at, end)) is not None:
             parts.append(self.html[at : found.start()])
@@ -147,7 +150,8 @@ class Page:
                 close = re.compile(rf"</{name}\s*>", re.I).search(self.html, at, end)
                 at = close.end() if close else end
         parts.append(self.html[at:end])
-        return " ".join("".join(parts).split())
+        text = unescape("".join(parts))
+        return text if as_is else " ".join(text.split())
 
     def inside(self, k: int) -> range:
         """The elements within an element."""
@@ -311,6 +315,59 @@ def page_cards(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return ruled.drop("of").mapInArrow(run, f"page_id {id_type}, kind string, place int, rule int, html string, found map<string, struct<rule: int, text: string>>")
 
 
+def section_texts(pages: DataFrame, sections: dict[str, tuple[str, ...]], every: tuple[str, ...] = ()) -> DataFrame:
+    """page_id, texts (map of field to array): for each selector of a field, in order, the text of the first element it finds, or of all (fields in `every`); white space as it is.
+
+    A selector may be several with commas between; the first element that any of them names counts.
+    """
+    id_type = pages.schema["page_id"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        shape = pa.map_(pa.string(), pa.list_(pa.string()))
+        for batch in batches:
+            out = []
+            for html in batch.column("html").to_pylist():
+                page, texts = Page(html or ""), []
+                for field, selectors in sections.items():
+                    said = []
+                    for selector in selectors:
+                        steps = [compiled(s) for s in selector.split(",")]
+                        hits = [k for k in range(len(page.name)) if any(s and fits(page, k, s) for s in steps)]
+                        said += [page.text(k, True) for k in (hits if field in every else hits[:1])]
+                    texts.append((field, said))
+                out.append(texts)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(out, shape)], ["page_id", "texts"])
+
+    return pages.select("page_id", "html").mapInArrow(run, f"page_id {id_type}, texts map<string, array<string>>")
+
+
+#: Where a product's page states quantity offers and its best-seller rank.
+OFFER_SECTIONS = (
+    "#promoPriceBlockMessage_feature_div", "#sopp_feature_div", "#tp_feature_div", "#promoMessageId", '[data-feature-name="promotions"]', "#SNS_PromoMessage",
+    "#ppd, #buyBoxAccordion, #desktop_buybox", "#detailBullets_feature_div, #detail-bullets",
+)
+RANK_TABLES, RANK_ROWS = ("#productDetails_detailBullets_sections1", "#prodDetails", "#productDetails_db_sections", "#detailBulletsWrapper_feature_div"), ("tr", "li", "span")
+RANK_BULLETS, RANK_PAGE = ("#detailBullets_feature_div, #detail-bullets",), ("#detailBulletsWrapper_feature_div, #prodDetails, #ppd",)
+ROW_HEADING = r"(?i)best\s*sellers?\s*rank|amazon\s*best\s*sellers"
+
+
+def document_offers(pages: DataFrame) -> DataFrame:
+    """page_id, multi_buy (struct<text, min_quantity>), bsr (struct<rank, category>) of products' pages (page_id, html); null where a page states none.
+
+    An offer is looked for section by section. A rank is looked for in rows of the detail tables that name its heading, then in the bullets, then in the whole detail section.
+    """
+    rows = tuple(", ".join(f"{table} {row}" for row in RANK_ROWS) for table in RANK_TABLES)
+    read = section_texts(pages, {"offer": OFFER_SECTIONS, "rows": rows, "bullets": RANK_BULLETS, "page": RANK_PAGE}, every=("rows",))
+
+    def first(field: str, parse_one) -> Column:
+        return F.get(F.filter(F.transform(F.col("texts")[field], lambda t: parse_one(t)), lambda x: x.isNotNull()), F.lit(0))
+
+    rank = F.coalesce(first("rows", lambda t: parse.rank_by_heading(t, ROW_HEADING)), first("bullets", parse.rank_by_heading), first("page", parse.rank_by_heading))
+    return read.select("page_id", first("offer", parse.parse_multi_buy).alias("multi_buy"), rank.alias("bsr"))
+
+
 def fallback_counts(cards: DataFrame) -> DataFrame:
     """kind, field, rule, n: how often a selector other than the first found something; pages are counted once for their cards."""
     by_page = cards.where("place = 0").select("kind", F.lit("card").alias("field"), "rule")
