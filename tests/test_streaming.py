@@ -66,3 +66,30 @@ def test_late_details_judge_a_row_again(spark, tmp_path):
     job = incremental.late(stream, rows, "asin", verdict).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     job.awaitTermination()
     assert [(r.asin, r.filter_result) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", "show")]
+
+
+def test_watched_state_restarts_and_resets(spark, tmp_path):
+    """Two runs from one checkpoint: failures are skipped after the limit, a silence starts an item anew, a reset forgets keys."""
+    import datetime
+
+    from wareflow.streaming import keyed_state
+
+    day = lambda d, h=0: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=d, hours=h)
+    schema = "asin string, ts timestamp, price double, target double, reset boolean"
+    slices = [
+        [("a", day(0, 2), 8.0, 9.0, False), ("a", day(0), 10.0, 9.0, False), *(("a", day(0, 3 + k), None, 9.0, False) for k in range(3)), (None, day(0), 1.0, 9.0, False), ("a", None, 1.0, 9.0, False)],
+        [("a", day(1), 7.0, 9.0, True), ("a", day(1, 1), 7.0, 9.0, False), ("a", day(9), 6.0, 9.0, False), ("a", day(9, 1), 5.0, 9.0, False)],
+    ]
+    for k, rows in enumerate(slices):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        for name, shape in (("w", lambda s: keyed_state.watched(s, 3, 2)), ("r", lambda s: keyed_state.unseen_since_reset(s.selectExpr("asin AS scope", "cast(price AS string) AS key", "ts", "reset")))):
+            job = keyed_state.started(shape(stream), lambda s, name=name: s.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start())
+            job.awaitTermination()
+    got = [(r.price, r.alert, list(r.history), r.failures, r.restarted) for r in spark.read.parquet(str(tmp_path / "w")).where("asin = 'a'").orderBy("ts").collect()]
+    assert got == [
+        (10.0, False, [10.0], 0, False), (8.0, True, [10.0, 8.0], 0, False), (None, False, [10.0, 8.0], 1, False), (None, False, [10.0, 8.0], 2, False), (7.0, True, [10.0, 8.0, 7.0], 0, False),
+        (7.0, False, [10.0, 8.0, 7.0, 7.0], 0, False), (6.0, False, [6.0], 0, True), (5.0, True, [6.0, 5.0], 0, False),
+    ]
+    seen = [r.key for r in spark.read.parquet(str(tmp_path / "r")).where("scope = 'a'").orderBy("ts").collect()]
+    assert seen == ["10.0", "8.0", None, None, None, "7.0", "6.0", "5.0"] and spark.conf.get(keyed_state.PROVIDER, "") != keyed_state.ROCKS
