@@ -61,3 +61,5 @@ def test_blocks_cut_anywhere_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(nearest, "BLOCK_ENTRIES", 1)
     monkeypatch.setattr(nearest, "SORT_ENTRIES", 1000)
     assert key(nearest.searched(df, 5)[0]) == whole
+    monkeypatch.setattr(nearest, "MOST_ENTRIES", 40)  # the ascent goes through dozens of blocks, and finds as much
+    assert key(nearest.searched(df, 5)[0]) == whole

@@ -6,9 +6,9 @@ at a time, so the prefix that a candidate must share gets shorter until `enough`
 join one after the other. The candidates' distances are computed in double precision on the original vectors.
 
 The forest is global. All arrays are sorted at once by range partitions; an entry's place in the whole order deals it into a block of
-fixed size, and entries near a border go to the next block too, so that every query has its neighbourhood, up to `enough` entries each
-way (`MAX_REACH` at most), in one block. No block depends on how vectors cluster. Blocks are read twice: for the number of entries that
-share each length of prefix, from which every query's last level follows, and for the candidates. Candidates meet vectors in blocks dealt
+bounded size. A query visits all blocks that hold entries of its array up to `enough` places each way, however many blocks these are, so the ascent
+is never cut and no block depends on how vectors cluster. Blocks are visited twice: for the number of entries that
+share each length of prefix, summed over the blocks, from which every query's last level follows, and for the candidates. Candidates meet vectors in blocks dealt
 by id, to which they go as lists of ids with one copy of the query's vector; a block returns only its best few of each query.
 
 `enough` is measured, not assumed: a bounded sample of `SAMPLE` vectors is compared with all vectors in one pass, by distance and by
@@ -35,8 +35,8 @@ from .common import anew, discard, materialize, read
 TREES, BITS, SEED = 64, 48, 11
 #: Vectors of the bounded sample that gives the mean; those of them that calibrate the search, and the recall to reach there.
 MEAN_ROWS, SAMPLE, RECALL = 1024, 64, 0.93
-#: Entries of a block of the sorted arrays at least; entries each way from a query at most; entries of a range partition.
-BLOCK_ENTRIES, MAX_REACH, SORT_ENTRIES = 1 << 16, 1 << 20, 1 << 19
+#: Entries of a block of the sorted arrays at least and at most; entries of a range partition.
+BLOCK_ENTRIES, MOST_ENTRIES, SORT_ENTRIES = 1 << 16, 1 << 20, 1 << 19
 #: Bytes of vectors, and of query vectors or lists of ids, in a block where they meet.
 VECTOR_BYTES, LIST_BYTES = 8 << 20, 64 << 20
 
@@ -182,11 +182,8 @@ def calibrate(coded: DataFrame, sample: Sample, k: int) -> int:
     return min(enough, max(most, sample.trees * (k + 1)))
 
 
-def sorted_blocks(coded: DataFrame, entries: int, reach: int) -> DataFrame:
-    """block, runs (start, tree, dim of each array in it), strings, reps, homes: packed blocks of the sorted arrays, with borders.
-
-    `homes` are the places of the queries at home in the block.
-    """
+def sorted_arrays(coded: DataFrame, entries: int) -> tuple[DataFrame, DataFrame]:
+    """All arrays in one order (dim, tree, string, rep, asked, rank), and the written table that they are read from."""
     order = ["dim", "tree", "string", "rep"]
     each = coded.select("dim", "rep", "asked", F.posexplode("strings").alias("tree", "string"))
     dealt = each.repartitionByRange(max(1, math.ceil(entries / SORT_ENTRIES)), *order).sortWithinPartitions(*order)
@@ -195,52 +192,66 @@ def sorted_blocks(coded: DataFrame, entries: int, reach: int) -> DataFrame:
     sizes = placed.groupBy("pid").agg(F.count("*").alias("n"))  # one row for each range partition
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("pid").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
-    size = max(BLOCK_ENTRIES, reach)
-    ranked = placed.join(offsets, F.col("pid") == F.col("p")).withColumn("rank", F.col("skip") + F.col("idx"))
-    home, within = F.floor(F.col("rank") / size), F.col("rank") % size
-    blocks = F.filter(F.array(home, F.when(within < reach, home - 1), F.when(within >= size - reach, home + 1)), lambda b: b.isNotNull() & (b >= 0))
-    near = ranked.select(*order, "rank", (F.col("asked")).alias("asked"), home.alias("home"), F.explode(blocks).alias("block"))
+    return placed.join(offsets, F.col("pid") == F.col("p")).select(*order, "asked", (F.col("skip") + F.col("idx")).alias("rank")), placed
+
+
+def packed_blocks(ranked: DataFrame, size: int) -> DataFrame:
+    """block, runs (start, tree, dim of each array in it), strings, reps: `size` successive entries of the sorted arrays."""
 
     def run(table):
         import numpy as np
         import pyarrow as pa
 
-        block = table.column("block")[0].as_py()
         at = np.argsort(table.column("rank").to_numpy())
-        dim, tree, strings, reps = (table.column(c).to_numpy()[at] for c in order)
-        asked = table.column("asked").to_numpy()[at] & (table.column("home").to_numpy()[at] == block)
+        dim, tree, strings, reps = (table.column(c).to_numpy()[at] for c in ("dim", "tree", "string", "rep"))
         start = np.flatnonzero(np.concatenate(([True], (tree[1:] != tree[:-1]) | (dim[1:] != dim[:-1])))).astype(np.int32)
-        packed = [np.stack([start, tree[start], dim[start]]).astype("<i4"), strings.astype("<i8"), reps.astype("<i8"), np.flatnonzero(asked).astype("<i4")]
-        return pa.table({"block": pa.array([block], pa.int64()), **{name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("runs", "strings", "reps", "homes"), packed, strict=True)}})
+        packed = [np.stack([start, tree[start], dim[start]]).astype("<i4"), strings.astype("<i8"), reps.astype("<i8")]
+        return pa.table({"block": table.column("block")[:1], **{name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("runs", "strings", "reps"), packed, strict=True)}})
+
+    placed = ranked.select(F.floor(F.col("rank") / size).alias("block"), "dim", "tree", "string", "rep", "rank")
+    return materialize(placed.groupBy("block").applyInArrow(run, "block long, runs binary, strings binary, reps binary"), "vector-blocks")
+
+
+def visits(ranked: DataFrame, size: int, reach: int) -> DataFrame:
+    """query, dim, tree, string, rank, home, block: each query in every block that holds entries of its array within reach, however many they are."""
+    bounds = ranked.groupBy(F.col("dim").alias("d"), F.col("tree").alias("t")).agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"))
+    own = ranked.where("asked").join(bounds, (F.col("dim") == F.col("d")) & (F.col("tree") == F.col("t")))
+    first, last = F.floor(F.greatest(F.col("lo"), F.col("rank") - reach) / size), F.floor(F.least(F.col("hi"), F.col("rank") + reach) / size)
+    return own.select(F.col("rep").alias("query"), "dim", "tree", "string", "rank", F.floor(F.col("rank") / size).alias("home"), F.explode(F.sequence(first, last)).alias("block"))
+
 
-    packed = materialize(near.groupBy("block").applyInArrow(run, "block long, runs binary, strings binary, reps binary, homes binary"), "vector-blocks")
-    discard(placed)
-    return packed
+def met(blocks: DataFrame, visiting: DataFrame) -> DataFrame:
+    """Blocks with their visitors, in lists by the visitors' home block, so that a list is at most a block."""
+    names = [c for c in visiting.columns if c not in ("block", "home")]
+    lists = visiting.groupBy("block", "home").agg(*(F.collect_list(c).alias(c) for c in names)).withColumnRenamed("block", "b").drop("home")
+    return blocks.join(lists, F.col("block") == F.col("b")).drop("b")
 
 
-def _runs(row):
-    """(tree, strings, reps, places of its queries) of each array in a packed block."""
+def _meetings_in(row: dict, size: int):
+    """(tree, reps and strings of the array's part, rank of its first entry, places of its visitors in the lists) for each array in a block."""
     import numpy as np
 
-    start, tree, _ = np.frombuffer(row["runs"], dtype="<i4").reshape(3, -1)
-    strings, reps, homes = np.frombuffer(row["strings"], dtype="<i8"), np.frombuffer(row["reps"], dtype="<i8"), np.frombuffer(row["homes"], dtype="<i4")
-    for a, b, t in zip(start, [*start[1:], len(reps)], tree, strict=True):
-        yield int(t), strings[a:b], reps[a:b], homes[(homes >= a) & (homes < b)] - a
+    start, tree, dim = np.frombuffer(row["runs"], dtype="<i4").reshape(3, -1)
+    strings, reps = np.frombuffer(row["strings"], dtype="<i8"), np.frombuffer(row["reps"], dtype="<i8")
+    trees, dims = np.array(row["tree"]), np.array(row["dim"])
+    for a, b, t, d in zip(start, [*start[1:], len(reps)], tree, dim, strict=True):
+        here = np.flatnonzero((trees == t) & (dims == d))
+        if len(here):
+            yield int(t), reps[a:b], strings[a:b], row["block"] * size + int(a), here
 
 
-def _shares(strings, places, level, reach: int):
-    """First and last place of the entries that share `level` bits (one for each query) with the queries, within reach."""
+def _shares(strings, base: int, own, rank, level, reach: int):
+    """First and last place of the entries that share `level` bits (one for each query) with the queries and stand within reach of their ranks."""
     import numpy as np
 
     low = (np.int64(1) << (BITS - level)) - 1
-    own = strings[places]
-    lo = np.searchsorted(strings, own & ~low, "left")
-    hi = np.searchsorted(strings, own | low, "right")
-    return np.maximum(lo, places - reach), np.minimum(hi, places + reach + 1)
+    lo = np.maximum(np.searchsorted(strings, own & ~low, "left"), rank - reach - base)
+    hi = np.minimum(np.searchsorted(strings, own | low, "right"), rank + reach + 1 - base)
+    return lo, np.maximum(lo, hi)
 
 
-def count_shared(blocks: DataFrame, reach: int) -> DataFrame:
-    """query, block, tree, counts: for each length of prefix the entries of the tree that share it."""
+def count_shared(meeting: DataFrame, size: int, reach: int) -> DataFrame:
+    """query, tree, counts: for each length of prefix the entries of the tree that share it, over all blocks."""
 
     def run(batches):
         import numpy as np
@@ -248,17 +259,15 @@ def count_shared(blocks: DataFrame, reach: int) -> DataFrame:
 
         for batch in batches:
             for row in batch.to_pylist():
-                for tree, strings, reps, places in _runs(row):
-                    if len(places):
-                        spans = [_shares(strings, places, np.full(len(places), level), reach) for level in range(BITS + 1)]
-                        counts = np.stack([hi - lo for lo, hi in spans], axis=1)
-                        n = len(places)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(reps[places]), pa.array(np.full(n, row["block"])), pa.array(np.full(n, tree), pa.int32()), _lists(counts.ravel(), np.full(n, BITS + 1), pa.int32())],
-                            ["query", "block", "tree", "counts"],
-                        )
+                own, rank, query = (np.array(row[c]) for c in ("string", "rank", "query"))
+                for tree, _, strings, base, here in _meetings_in(row, size):
+                    spans = [_shares(strings, base, own[here], rank[here], np.full(len(here), level), reach) for level in range(BITS + 1)]
+                    counts = np.stack([hi - lo for lo, hi in spans], axis=1)
+                    n = len(here)
+                    yield pa.RecordBatch.from_arrays([pa.array(query[here]), pa.array(np.full(n, tree), pa.int32()), _lists(counts.ravel(), np.full(n, BITS + 1), pa.int64())], ["query", "tree", "counts"])
 
-    return blocks.mapInArrow(run, "query long, block long, tree int, counts array<int>")
+    parts = meeting.mapInArrow(run, "query long, tree int, counts array<long>")
+    return parts.groupBy("query", "tree").agg(F.array(*(F.sum(F.get("counts", F.lit(k))) for k in range(BITS + 1))).alias("counts"))
 
 
 def last_levels(counted: DataFrame, enough: int) -> DataFrame:
@@ -291,7 +300,7 @@ def _meeting_block(rep: Column, blocks: int) -> Column:
     return F.pmod(rep.bitwiseXOR(F.shiftrightunsigned(rep, 15)).bitwiseXOR(F.shiftrightunsigned(rep, 31)), F.lit(blocks)).cast("int")
 
 
-def candidates(blocks: DataFrame, counted: DataFrame, enough: int, reach: int, meetings: int) -> DataFrame:
+def candidates(blocks: DataFrame, visiting: DataFrame, counted: DataFrame, enough: int, size: int, reach: int, meetings: int) -> DataFrame:
     """query, at, reps: the candidates of each query, in lists by the block where they meet their vectors."""
 
     def run(batches):
@@ -300,15 +309,11 @@ def candidates(blocks: DataFrame, counted: DataFrame, enough: int, reach: int, m
 
         for batch in batches:
             for row in batch.to_pylist():
-                query, level, until = (np.array(row[c]) for c in ("query", "level", "until"))
-                order = np.argsort(query)
-                for tree, strings, reps, places in _runs(row):
-                    if not len(places):
-                        continue
-                    of = order[np.searchsorted(query, reps[places], sorter=order)]
-                    last = level[of] + (tree > until[of])
-                    lo, hi = _shares(strings, places, np.minimum(last, BITS), reach)
-                    for j in range(0, len(places), 64):  # bounds what is held at once
+                own, rank, query, level, until = (np.array(row[c]) for c in ("string", "rank", "query", "level", "until"))
+                for tree, reps, strings, base, here in _meetings_in(row, size):
+                    last = level[here] + (tree > until[here])
+                    lo, hi = _shares(strings, base, own[here], rank[here], np.minimum(last, BITS), reach)
+                    for j in range(0, len(here), 64):  # bounds what is held at once
                         n = np.where(last[j : j + 64] > BITS, 0, hi[j : j + 64] - lo[j : j + 64])
                         at = np.repeat(lo[j : j + 64] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                         found, owner = reps[at], np.repeat(np.arange(len(n)), n)
@@ -318,14 +323,10 @@ def candidates(blocks: DataFrame, counted: DataFrame, enough: int, reach: int, m
                         found, owner, meet = found[by], owner[by], meet[by]
                         cut = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (meet[1:] != meet[:-1])))) if len(found) else np.zeros(0, dtype=np.int64)
                         sizes = np.diff(np.append(cut, len(found)))
-                        yield pa.RecordBatch.from_arrays([pa.array(reps[places[j : j + 64]][owner[cut]]), pa.array(meet[cut], pa.int32()), _lists(found, sizes, pa.int64())], ["query", "at", "reps"])
+                        yield pa.RecordBatch.from_arrays([pa.array(query[here[j : j + 64]][owner[cut]]), pa.array(meet[cut], pa.int32()), _lists(found, sizes, pa.int64())], ["query", "at", "reps"])
 
     levels = last_levels(counted, enough).select(F.col("query").alias("q"), "level", "until")
-    told = counted.select("query", "block").distinct().join(levels, F.col("query") == F.col("q"))
-    told = told.groupBy("block").agg(*(F.collect_list(c).alias(c) for c in ("query", "level", "until")))
-    told = told.select(anew("block").alias("b"), "query", "level", "until")
-    both = blocks.join(told, F.col("block") == F.col("b")).drop("b", "block")
-    found = both.mapInArrow(run, "query long, at int, reps array<long>")
+    found = met(blocks, visiting.join(levels, F.col("query") == F.col("q")).drop("q")).mapInArrow(run, "query long, at int, reps array<long>")
     return found.groupBy("query", "at").agg(F.array_distinct(F.flatten(F.collect_list("reps"))).alias("reps"))
 
 
@@ -379,14 +380,16 @@ def searched(classes: DataFrame, k: int, trees: int = TREES) -> tuple[DataFrame,
     """
     sample = Sample(classes, trees)
     coded = materialize(with_strings(classes, sample), "vector-strings")
-    n, asked, size = coded.agg(F.count("*"), F.sum(F.col("asked").cast("long")), F.sum("dim")).first()
+    n, asked, size_of_all = coded.agg(F.count("*"), F.sum(F.col("asked").cast("long")), F.sum("dim")).first()
     enough = calibrate(coded, sample, k)
-    reach = max(1, min(n, enough, MAX_REACH))
-    blocks = sorted_blocks(coded, n * trees, reach)
-    counted = materialize(count_shared(blocks, reach), "vector-counts")
-    meetings = meeting_blocks(n, asked or 0, 4 * (size or 0), enough)
-    found = materialize(candidates(blocks, counted, enough, reach, meetings), "vector-candidates")
-    discard(blocks, counted)
+    reach = max(1, min(n, enough))  # farther entries of a tree are never needed: nearer ones are enough by themselves
+    size = max(BLOCK_ENTRIES, min(reach, MOST_ENTRIES))
+    ranked, written = sorted_arrays(coded, n * trees)
+    blocks, visiting = packed_blocks(ranked, size), visits(ranked, size, reach)
+    counted = materialize(count_shared(met(blocks, visiting), size, reach), "vector-counts")
+    meetings = meeting_blocks(n, asked or 0, 4 * (size_of_all or 0), enough)
+    found = materialize(candidates(blocks, visiting, counted, enough, size, reach, meetings), "vector-candidates")
+    discard(blocks, counted, written)
     return measured(coded, found, k, meetings), found
 
 
