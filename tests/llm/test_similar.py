@@ -68,3 +68,45 @@ def test_parts_of_a_large_component_meet(spark):
         return sorted(map(sorted, found.values()))
 
     assert grouped(500) == grouped(1 << 21)
+
+
+def template_family(n=600, shared=150, own=45):
+    """Texts that are no copies: one template and words of their own, of a similarity of 0.62 to each other."""
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(shared)]
+    return [(k, " ".join(template + [f"o{rng.randrange(10**9)}" for _ in range(own)])) for k in range(n)]
+
+
+def test_texts_around_a_template_are_not_compared():
+    import numpy as np
+
+    rows = template_family() + [(1000 + k, template_family(1)[0][1] + f" x{k}") for k in range(30)]
+    nodes, sets = np.arange(len(rows)), [similar.shingle_set(t.encode()) for _, t in rows]
+    a, b, compared = similar.similar_edges(nodes, sets, 0.8)
+    assert set(a.tolist()) | set(b.tolist()) == {0, *range(600, 630)}
+    assert compared < 100, "pairs compared of 198,135"
+
+
+def test_a_large_family_is_taken_apart(spark):
+    rows = template_family(200) + corpus(5, 2)
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = {}
+    for r in similar.similar(df, shingles_per_part=2000).collect():
+        found.setdefault(r.root, set()).add(r.doc_id)
+    want = {}
+    for k, root in enumerate(brute_roots(rows)):
+        want.setdefault(root, set()).add(k)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+
+
+def test_prefix_compare_equals_all_pairs():
+    import numpy as np
+
+    rows = corpus(17, 12)
+    a, b, compared = similar.similar_edges(np.arange(len(rows)), [similar.shingle_set(t.encode()) for _, t in rows], 0.8)
+    root = list(range(len(rows)))
+    for x, y in zip(a.tolist(), b.tolist()):
+        root[x] = y
+    brute = brute_roots(rows)
+    assert {tuple(i for i in range(len(rows)) if root[i] == r) for r in set(root)} == {tuple(i for i in range(len(rows)) if brute[i] == r) for r in set(brute)}
+    assert compared < len(rows) * (len(rows) - 1) / 4
