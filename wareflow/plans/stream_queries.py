@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources.snapshots import KeyedTable
 from ..sources.storage import scratch_path
 from ..sources.tables import table
-from ..streaming import keyed_state
+from ..streaming import keyed_state, versions
 from .registry import query
 
 SLICES = (10, 20, 32)  # days of the month in which the slices end
@@ -52,3 +53,59 @@ def seen_since_reset(spark, sf_dir):
     slot = (F.floor(F.col("value")) % 7).cast("int")
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("scope"), F.when(slot > 0, slot.cast("string")).alias("key"), "ts", (F.col("event_type") == "signup").alias("reset"))
     return _streamed(spark, rows, keyed_state.unseen_since_reset, "seen").select("scope", "key", F.unix_micros("ts").alias("ts_us"))
+
+
+@query(
+    "bounded_lists",
+    """WITH e AS (SELECT user_id::VARCHAR AS list_name, (floor(value) % 40)::INT::VARCHAR AS key, epoch_us(ts) AS t, event_id FROM events),
+f AS (SELECT list_name, key, min(t) AS t FROM e GROUP BY ALL)
+SELECT 'refuse' AS policy, list_name, key, t AS at_us FROM f QUALIFY row_number() OVER (PARTITION BY list_name ORDER BY t, key) <= 12
+UNION ALL SELECT 'fifo', list_name, event_id::VARCHAR, t FROM e QUALIFY row_number() OVER (PARTITION BY list_name ORDER BY t DESC) <= 12""",
+)
+def bounded_lists(spark, sf_dir):
+    """Lists of twelve places, one kind that refuses what comes late and one that drops the oldest, after three batches and a replay of the second (ST7, ST10, U5)."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("list_name"), (F.floor("value") % 40).cast("int").cast("string").alias("slot"), F.col("event_id").cast("string").alias("event_id"), F.col("ts").alias("at"))
+    out = []
+    for policy, key in (("refuse", "slot"), ("fifo", "event_id")):
+        store = KeyedTable(spark, scratch_path(spark, f"lists-{policy}"), "list_name string, key string, at timestamp", 12, policy)
+        start = 0
+        for number, end in enumerate(SLICES):
+            batch = e.where((F.dayofmonth("at") >= start) & (F.dayofmonth("at") < end)).select("list_name", F.col(key).alias("key"), "at")
+            store.add(batch, number)
+            if number == 1:
+                store.add(batch, number)
+            start = end
+        out.append(store.read().select(F.lit(policy).alias("policy"), "list_name", "key", F.unix_micros("at").alias("at_us")))
+    return out[0].unionByName(out[1])
+
+
+VERSIONS = [(s, 3 * k + s, 10 * k * 86_400 + 1_704_067_200 if k else 0, 30.0 * k + 5 * s, ("error", "click", "none")[(k + s) % 3]) for s in range(3) for k in range(3)]
+
+
+@query(
+    "versioned_verdicts",
+    f"""WITH v(scope, version, begins, least, banned) AS (VALUES {", ".join(str(v) for v in VERSIONS)}), s AS (SELECT *, lead(begins) OVER (PARTITION BY scope ORDER BY begins, version) AS ends FROM v),
+e AS (SELECT event_id, user_id % 3 AS scope, epoch_us(ts) AS t, value, event_type FROM events)
+SELECT event_id, version::INT AS version, begins::BIGINT * 1000000 <= t AS arrival, CASE WHEN value < least OR event_type = banned THEN 'hide' ELSE 'show' END AS verdict
+FROM e JOIN s ON e.scope = s.scope AND (ends IS NULL OR t < ends::BIGINT * 1000000)""",
+)
+def versioned_verdicts(spark, sf_dir):
+    """Events judged by the parameters valid at their time, and again by each later version, in a stream that brings both (F16, ST11)."""
+    params = spark.createDataFrame(VERSIONS, "scope int, version int, begins_s long, least double, banned string")
+    missing = {"event_id": "long", "at": "timestamp", "value": "double", "event_type": "string"}
+    changes = params.select("scope", "version", F.timestamp_seconds("begins_s").alias("begins"), "least", "banned", *(F.lit(None).cast(t).alias(n) for n, t in missing.items()), F.lit(True).alias("is_version"))
+    lacking = {"version": "int", "begins": "timestamp", "least": "double", "banned": "string"}
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 3).cast("int").alias("scope"), *(F.lit(None).cast(t).alias(n) for n, t in lacking.items()), "event_id", F.col("ts").alias("at"), "value", "event_type", F.lit(False).alias("is_version"))
+    base = scratch_path(spark, "versions")
+    verdict = lambda: F.when((F.col("value") < F.col("least")) | (F.col("event_type") == F.col("banned")), "hide").otherwise("show")
+    start = 0
+    for end in SLICES:
+        def inside(time, start=start, end=end):  # what begins before the month comes in the first slice
+            day = F.greatest(F.floor((F.unix_seconds(time) - 1_704_067_200) / 86_400) + 1, F.lit(0))
+            return (day >= start) & (day < end)
+
+        rows.where(inside("at")).unionByName(changes.where(inside("begins"))).write.mode("append").parquet(f"{base}/in")
+        start = end
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        versions.judge_stream(stream, ["scope", "event_id", "at", "value", "event_type"], ["scope", "version", "begins", "least", "banned"], verdict, base).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("event_id", "version", "arrival", "verdict")
