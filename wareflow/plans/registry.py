@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import card_queries, listing_queries, page_queries, review_queries, store_queries, stream_queries  # noqa: F401
+    from . import card_queries, listing_queries, page_queries, review_queries, store_queries, stream_queries, topic_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
