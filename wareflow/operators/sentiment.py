@@ -38,10 +38,11 @@ def _margins(places, weights, bias: float):
 
 
 def fit(rows: DataFrame, dimensions: int = DIMENSIONS, steps: int = STEPS, penalty: float = PENALTY):
-    """Weights (the bias last) from rows (text, target: boolean) by accelerated gradient steps."""
+    """Weights (the bias last) from rows (text, or its hashed places already, and target: boolean) by accelerated gradient steps."""
     import numpy as np
 
-    learned = materialize(rows.where("target IS NOT NULL").select(hashed_words(F.col("text"), dimensions).alias("places"), "target"), "sentiment-rows")
+    places = F.col("places") if "places" in rows.columns else hashed_words(F.col("text"), dimensions)
+    learned = materialize(rows.where("target IS NOT NULL").select(places.alias("places"), "target"), "sentiment-rows")
     total, positive = learned.agg(F.count("*"), F.count_if("target")).first()
     weights = np.zeros(dimensions + 1)
     if not 0 < positive < total:
@@ -83,10 +84,10 @@ def _gradient(learned: DataFrame, at, share: dict[bool, float]):
     return out
 
 
-def scored(rows: DataFrame, weights) -> DataFrame:
-    """rows and positive: the probability that a text is positive."""
+def scored(rows: DataFrame, weights, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """rows (or the columns to keep of them) and positive: the probability that a text is positive."""
     bias, rest, dimensions = float(weights[-1]), weights[:-1], len(weights) - 1
-    names = rows.columns
+    names = list(keep or rows.columns)
 
     def run(batches):
         import numpy as np
@@ -96,8 +97,8 @@ def scored(rows: DataFrame, weights) -> DataFrame:
             scores, _, _ = _margins(batch.column("__places"), rest, bias)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(1 / (1 + np.exp(-scores)))], [*names, "positive"])
 
-    shape = rows.withColumn("positive", F.lit(0.0)).schema
-    return rows.withColumn("__places", hashed_words(F.col("text"), dimensions)).mapInArrow(run, shape)
+    shape = rows.select(*names, F.lit(0.0).alias("positive")).schema
+    return rows.select(*names, hashed_words(F.col("text"), dimensions).alias("__places")).mapInArrow(run, shape)
 
 
 def sentiment(positive: Column) -> Column:

@@ -330,19 +330,18 @@ def recall_matches(spark, sf_dir):
     return recalls.match_recalls(listings(spark, sf_dir), recall_feed(spark), 0.3).select("pos", "recall_id", "confidence")
 
 
-def _labelled(spark, sf_dir):
-    """Documents as reviews, with the labels that some of them have: positive means good and not toxic; a fifth of them is held out."""
-    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.bool_and((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("target"))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 2
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", (1.0 + F.col("doc_id") % 5).alias("rating"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    return rows.join(labels, F.col("doc_id") == F.col("id"), "left").drop("id")
-
-
 @query("text_sentiment")
 def text_sentiment(spark, sf_dir):
-    """Sentiment of all documents by a model learned from the labelled ones that are not held out, and stars that contradict it."""
-    rows = _labelled(spark, sf_dir)
-    found = sentiment.scored(rows, sentiment.fit(rows.where("NOT held_out").select("text", "target")))
+    """Sentiment of all documents by a model learned from the labelled ones that are not held out, and stars that contradict it.
+
+    Positive means good and not toxic; a fifth is held out. Texts never meet labels: hashed words do for the fit, scores do for the result.
+    """
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.bool_and((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("target"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 2, F.lit(False))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", (1.0 + F.col("doc_id") % 5).alias("rating"), held_out.alias("held_out"))
+    words = rows.where("NOT held_out").select("doc_id", sentiment.hashed_words(F.col("text")).alias("places"))
+    weights = sentiment.fit(words.join(labels.hint("merge"), F.col("doc_id") == F.col("id")).select("places", "target"))
+    found = sentiment.scored(rows, weights, ("doc_id", "rating", "held_out")).join(labels.hint("merge"), F.col("doc_id") == F.col("id"), "left")
     said = found.withColumn("s", sentiment.sentiment(F.col("positive"))).withColumn("m", sentiment.mismatch(F.col("s"), F.col("rating")))
     return said.select("doc_id", "held_out", "target", "rating", "s.label", half_up(F.col("s.score"), 4).alias("score"), "m.deduction", "m.reason")
 
