@@ -4,6 +4,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[1]
 SF = "/root/testdata/sf0.001"
@@ -36,3 +37,20 @@ def test_query_runs(spark, name):
     from wareflow.plans import registry
 
     assert registry.queries()[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize(
+    ("name", "columns"),
+    [
+        ("busy_items", ("burst", "recovery", "one_week", "temporal_deduction", "most")), ("document_offers", ("quantity", "rank", "category")), ("search_page_cards", ("rule", "title_rule", "price")),
+        ("discount_page_cards", ("rule", "title")), ("rule_fallbacks", ("field", "rule")), ("text_sentiment", ("label", "deduction", "held_out")), ("dictionary_trends", ("trend",)), ("stated_ratings", ("adjusted_rating",)),
+        ("versioned_verdicts", ("arrival", "verdict", "version")), ("bounded_lists", ("policy", "key")),
+    ],
+)
+def test_both_outcomes_occur(spark, name, columns):
+    """What a query computes is not one constant over all its rows."""
+    from wareflow.plans import registry
+
+    df = registry.queries()[name](spark, SF)
+    counts = df.agg(*(F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("none"))).alias(c) for c in columns)).first()
+    assert all(counts[c] > 1 for c in columns), counts

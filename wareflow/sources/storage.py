@@ -32,6 +32,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of the application, when no query that reads them is left."""
+    where, files = _file_system(spark, f"{shared_dir(spark)}/wareflow/{spark.sparkContext.applicationId}")
+    files.delete(where, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
