@@ -43,7 +43,7 @@ def test_query_runs(spark, name):
     ("name", "columns"),
     [
         ("busy_items", ("burst", "recovery", "one_week", "temporal_deduction", "most")), ("document_offers", ("quantity", "rank", "category")), ("search_page_cards", ("rule", "title_rule", "price")),
-        ("discount_page_cards", ("rule", "title")), ("rule_fallbacks", ("field", "rule")), ("text_sentiment", ("label", "deduction", "held_out")), ("dictionary_trends", ("trend",)), ("stated_ratings", ("adjusted_rating",)),
+        ("discount_page_cards", ("rule", "title")), ("product_details", ("brand", "country", "other_sellers", "quantity", "read")), ("rule_fallbacks", ("field", "rule")), ("text_sentiment", ("label", "deduction", "held_out")), ("dictionary_trends", ("trend",)), ("stated_ratings", ("adjusted_rating",)),
         ("versioned_verdicts", ("arrival", "verdict", "version")), ("bounded_lists", ("policy", "key")),
     ],
 )

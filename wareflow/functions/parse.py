@@ -12,7 +12,8 @@ COUNTRIES = {
     "usa": "United States", "us": "United States", "united states": "United States", "united states of america": "United States",
     "china": "China", "cn": "China", "prc": "China", "uk": "United Kingdom", "united kingdom": "United Kingdom", "great britain": "United Kingdom",
     "south korea": "South Korea", "korea": "South Korea", "republic of korea": "South Korea", "japan": "Japan", "jp": "Japan",
-    "germany": "Germany", "deutschland": "Germany",
+    "germany": "Germany", "deutschland": "Germany", "u.s.a.": "United States", "u.s.a": "United States", "u.s.": "United States", "u.k.": "United Kingdom", "people's republic of china": "China", "p.r.c.": "China",
+    "korea, republic of": "South Korea", "taiwan, province of china": "Taiwan", "viet nam": "Vietnam",
 }
 
 
@@ -114,6 +115,11 @@ def parse_other_sellers(text: Column) -> Column:
     return F.struct(F.coalesce(count.try_cast("int"), F.lit(0)).alias("count"), price.try_cast("double").alias("min_price"))
 
 
+def some_other_sellers(text: Column) -> Column:
+    """parse_other_sellers of a text that counts any; null otherwise."""
+    return let(parse_other_sellers(text), lambda o: F.when(o["count"] > 0, o))
+
+
 def is_retailer(name: Column, retailer: str) -> Column:
     """Whether a seller's name is the retailer's own (alone, or with a domain or legal form)."""
     return F.lower(F.trim(name)).rlike(rf"^{retailer}(\.[a-z.]+)?( (services|llc|inc\.?))?$")
@@ -130,7 +136,7 @@ def classify_seller(sold_by: Column, ships_from: Column, retailer: str) -> Colum
 def country(text: Column) -> Column:
     """Canonical name of a country; unknown names keep their spelling."""
     table = F.create_map(*(F.lit(x) for pair in COUNTRIES.items() for x in pair))
-    clean = F.trim(text)
+    clean = F.trim(F.regexp_replace(text, r"[\s\u200E\u200F\u00A0]+", " "))
     return F.coalesce(F.element_at(table, F.lower(clean)), clean)
 
 

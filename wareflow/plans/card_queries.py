@@ -147,3 +147,32 @@ def document_offers(spark, sf_dir):
     pages = listings(spark, sf_dir).where("pos IS NOT NULL").select(pos.alias("page_id"), F.concat(F.lit("<body>"), offer, rank, F.lit("</body>")).alias("html"))
     read = page_cards.document_offers(pages)
     return read.select(F.col("page_id").alias("pos"), F.col("multi_buy.text").alias("offer"), F.col("multi_buy.min_quantity").alias("quantity"), "bsr.rank", "bsr.category")
+
+
+ORIGINS = (
+    '<table><tr class="x po-country_of_origin"><td>Country</td><td class="po-break-word"> {} </td></tr></table>', '<table id="prodDetails"><tr><th>Colour</th><td>red</td></tr><tr><th> Country of Origin </th><td>{}</td></tr></table>',
+    '<div id="detailBullets_feature_div"><ul><li><span class="a-list-item"><b>Country of Origin</b> \u200f:\u200e {}</span></li></ul></div>', '<table class="prodDetTable"><tr><td>Country of Origin</td><td><b>{}</b></td></tr></table>',
+    "<p>Country of Origin: {}</p>",
+)
+NATIONS = ("PRC", "U.S.A.", "Viet Nam", "korea, republic of", "Ruritania")
+CLEAN = ("China", "United States", "Vietnam", "South Korea", "Ruritania")
+SELLERS = ('<div id="olp-upd-new">New ({n}) from $12.50</div>', '<div id="aod-ingress-bouncer">{n} new from $1,012.50</div>', '<div id="olp_feature_div">Used</div><div id="ppd">{n} other offers from $7</div>', "<p>New ({n}) from $1.00</p>")
+
+
+@query(
+    "product_details",
+    LISTINGS + f"""SELECT pos, CASE WHEN pos % 11 > 1 THEN brand END AS brand, CASE WHEN pos % 11 > 1 AND pos % 5 < 4 THEN CASE pos // 5 % 5 {" ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(CLEAN))} END END AS country,
+  (CASE WHEN pos % 11 > 1 AND pos % 4 < 3 THEN pos % 7 ELSE 0 END)::INT AS other_sellers, CASE WHEN pos % 11 > 1 AND pos % 7 > 0 THEN CASE pos % 4 WHEN 0 THEN 12.5 WHEN 1 THEN 1012.5 WHEN 2 THEN 7 END END::DOUBLE AS other_min_price,
+  CASE WHEN pos % 11 > 1 AND pos % 3 = 0 THEN 3 END::INT AS quantity, pos % 11 > 1 AS read FROM listings""",
+)
+def product_details(spark, sf_dir):
+    """Fields of whole product pages: brand, country by four strategies and its common name, other sellers, offers; nulls where a page is missing or a robot check."""
+    pos = F.col("pos")
+    at = lambda choices, k: F.get(F.array(*(F.lit(c) for c in choices)), k.cast("int"))
+    origin = F.replace(at(ORIGINS, pos % 5), F.lit("{}"), at(NATIONS, F.floor(pos / 5) % 5))
+    sellers = F.replace(at(SELLERS, pos % 4), F.lit("{n}"), (pos % 7).cast("string"))
+    offer = F.when(pos % 3 == 0, F.lit('<div id="tp_feature_div">Buy 3, save $5 now.</div>')).otherwise(F.lit(""))
+    page = F.concat(F.lit('<body><a id="bylineInfo">Visit the '), F.col("brand"), F.lit(" Store</a>"), origin, sellers, offer, F.lit("</body>"))
+    pages = listings(spark, sf_dir).select(pos.alias("page_id"), F.when(pos % 11 == 1, F.lit("<p>Enter the characters you see below</p>")).when(pos % 11 > 1, page).alias("html"))
+    read = page_cards.product_details(pages, "retailer")
+    return read.select(F.col("page_id").alias("pos"), "brand", "country", "other_sellers", "other_min_price", F.col("multi_buy.min_quantity").alias("quantity"), F.col("completeness").isNotNull().alias("read"))

@@ -315,8 +315,8 @@ def page_cards(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return ruled.drop("of").mapInArrow(run, f"page_id {id_type}, kind string, place int, rule int, html string, found map<string, struct<rule: int, text: string>>")
 
 
-def section_texts(pages: DataFrame, sections: dict[str, tuple[str, ...]], every: tuple[str, ...] = ()) -> DataFrame:
-    """page_id, texts (map of field to array): for each selector of a field, in order, the text of the first element it finds, or of all (fields in `every`); white space as it is.
+def section_texts(pages: DataFrame, sections: dict[str, tuple[str, ...]], every: tuple[str, ...] = (), marked: tuple[str, ...] = ()) -> DataFrame:
+    """page_id, texts (map of field to array): for each selector of a field, in order, the text of the first element it finds, or of all (fields in `every`); white space as it is. Fields in `marked` give the elements with their mark-up.
 
     A selector may be several with commas between; the first element that any of them names counts.
     """
@@ -335,7 +335,7 @@ def section_texts(pages: DataFrame, sections: dict[str, tuple[str, ...]], every:
                     for selector in selectors:
                         steps = [compiled(s) for s in selector.split(",")]
                         hits = [k for k in range(len(page.name)) if any(s and fits(page, k, s) for s in steps)]
-                        said += [page.text(k, True) for k in (hits if field in every else hits[:1])]
+                        said += [page.outer(k) if field in marked else page.text(k, True) for k in (hits if field in every else hits[:1])]
                     texts.append((field, said))
                 out.append(texts)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(out, shape)], ["page_id", "texts"])
@@ -353,19 +353,73 @@ RANK_BULLETS, RANK_PAGE = ("#detailBullets_feature_div, #detail-bullets",), ("#d
 ROW_HEADING = r"(?i)best\s*sellers?\s*rank|amazon\s*best\s*sellers"
 
 
+#: Where a product's page names its country of origin, and other sellers.
+COUNTRY_CELL, COUNTRY_BULLETS = ("tr.po-country_of_origin td.po-break-word",), ("#detailBullets_feature_div li span.a-list-item",)
+COUNTRY_ROWS = (
+    "#productDetails_techSpec_section_1 tr, #productDetails_detailBullets_sections1 tr, #productDetails_db_sections tr, #detailBulletsWrapper_feature_div tr, #prodDetails tr",
+    "#productDetails_expanderTables_dep498 tr, .prodDetTable tr",
+)
+COUNTRY_SAID = r"(?i)Country of Origin\s*[:\u200F\u200E]+\s*(.+)"
+SELLER_SECTIONS = (
+    "#olp-upd-new, #olp-upd-new-used, .olp-text-box", "#buybox-see-all-buying-choices, #aod-ingress-bouncer, #all-offers-display-scroller", "#olp_feature_div", "#ppd, #buyBoxAccordion, #desktop_buybox",
+)
+
+
+def _first(field: str, parse_one) -> Column:
+    """The first value that is not null among a field's texts."""
+    return F.get(F.filter(F.transform(F.col("texts")[field], lambda t: parse_one(t)), lambda x: x.isNotNull()), F.lit(0))
+
+
+def _country_of_row(row: Column) -> Column:
+    """The last cell of a table row whose first one names the country of origin."""
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), "&nbsp;", " "))
+    head = F.lower(plain(F.regexp_extract(row, r"(?is)<t[hd]\b[^>]*>(.*?)(?:</t[hd]>|<t[hd]\b|$)", 1)))
+    value = plain(F.regexp_extract(row, r"(?is).*<td\b[^>]*>(.*?)(?:</td>|</tr>|$)", 1))
+    return F.when(F.contains(head, F.lit("country of origin")) & (value != ""), value)
+
+
+def _offer_sections() -> dict[str, tuple[str, ...]]:
+    rows = tuple(", ".join(f"{table} {row}" for row in RANK_ROWS) for table in RANK_TABLES)
+    return {"offer": OFFER_SECTIONS, "rows": rows, "bullets": RANK_BULLETS, "page": RANK_PAGE}
+
+
+def _offer() -> Column:
+    return _first("offer", parse.parse_multi_buy)
+
+
+def _rank() -> Column:
+    return F.coalesce(_first("rows", lambda t: parse.rank_by_heading(t, ROW_HEADING)), _first("bullets", parse.rank_by_heading), _first("page", parse.rank_by_heading))
+
+
 def document_offers(pages: DataFrame) -> DataFrame:
     """page_id, multi_buy (struct<text, min_quantity>), bsr (struct<rank, category>) of products' pages (page_id, html); null where a page states none.
 
     An offer is looked for section by section. A rank is looked for in rows of the detail tables that name its heading, then in the bullets, then in the whole detail section.
     """
-    rows = tuple(", ".join(f"{table} {row}" for row in RANK_ROWS) for table in RANK_TABLES)
-    read = section_texts(pages, {"offer": OFFER_SECTIONS, "rows": rows, "bullets": RANK_BULLETS, "page": RANK_PAGE}, every=("rows",))
+    return section_texts(pages, _offer_sections(), every=("rows",)).select("page_id", _offer().alias("multi_buy"), _rank().alias("bsr"))
 
-    def first(field: str, parse_one) -> Column:
-        return F.get(F.filter(F.transform(F.col("texts")[field], lambda t: parse_one(t)), lambda x: x.isNotNull()), F.lit(0))
 
-    rank = F.coalesce(first("rows", lambda t: parse.rank_by_heading(t, ROW_HEADING)), first("bullets", parse.rank_by_heading), first("page", parse.rank_by_heading))
-    return read.select("page_id", first("offer", parse.parse_multi_buy).alias("multi_buy"), rank.alias("bsr"))
+def product_details(pages: DataFrame, retailer: str, department: str = "default") -> DataFrame:
+    """page_id and the eight fields of products' pages (page_id, html): brand, seller, country, other_sellers, other_min_price, multi_buy, bsr, completeness.
+
+    A page that could not be read (null, empty or a robot check) gives nulls and no other sellers. A country is looked for in the overview, in rows of the detail
+    tables, in the bullets, in the additional rows, and given its common name.
+    """
+    from .cards import document_brand, document_seller
+    from .html import completeness
+
+    sections = _offer_sections() | {"cell": COUNTRY_CELL, "specs": COUNTRY_ROWS[:1], "list": COUNTRY_BULLETS, "more": COUNTRY_ROWS[1:], "sellers": SELLER_SECTIONS}
+    texts = section_texts(pages, sections, every=("rows", "specs", "list", "more"), marked=("specs", "more")).withColumnRenamed("page_id", "p")
+    both = pages.select("page_id", "html").join(texts, F.col("page_id").eqNullSafe(F.col("p")))
+    ok = (F.coalesce(F.length("html"), F.lit(0)) > 0) & ~F.coalesce(parse.blocked_page(F.col("html")), F.lit(True))
+    said = lambda t: F.nullif(F.trim(F.regexp_extract(t, COUNTRY_SAID, 1)), F.lit(""))
+    country = F.coalesce(_first("cell", lambda t: F.nullif(F.trim(t), F.lit(""))), _first("specs", _country_of_row), _first("list", said), _first("more", _country_of_row))
+    others = _first("sellers", lambda t: parse.some_other_sellers(t))
+    fields = {
+        "brand": document_brand(F.col("html")), "seller": document_seller(F.col("html"), retailer), "country": parse.country(country), "other_min_price": others["min_price"],
+        "multi_buy": _offer(), "bsr": _rank(), "completeness": completeness(F.col("html"), department),
+    }
+    return both.select("page_id", *(F.when(ok, v).alias(k) for k, v in fields.items()), F.when(ok, F.coalesce(others["count"], F.lit(0))).otherwise(0).alias("other_sellers"))
 
 
 def fallback_counts(cards: DataFrame) -> DataFrame:
