@@ -189,3 +189,14 @@ g AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, fail_bits = 0 AS kept, fail_bits FROM g
 """
+
+
+def quality_ablations(spark, sf_dir: str) -> DataFrame:
+    """For each rule of policy v1 the documents that fail it, and those that no other rule rejects."""
+    from .common import read
+
+    return ablations(ledger(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+ABLATIONS_SQL = "WITH ledger AS (" + ORACLE_SQL + "), rules(rule, bit) AS (VALUES " + ", ".join(f"('{r.name}', {1 << k})" for k, r in enumerate(RULES)) + """)
+SELECT rule, count(*) FILTER (fail_bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (fail_bits = bit)::BIGINT AS n_only FROM ledger, rules GROUP BY rule"""

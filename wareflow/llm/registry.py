@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "quality_ablations": quality_rules.quality_ablations,
         "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
         "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
         "op13_periodic_runs": periodic_runs.op13_periodic_runs,
@@ -29,6 +30,7 @@ def oracle_sql() -> dict:
         "op8_mixing": mixing.ORACLE_SQL,
         "op9_chat_format": chat_format.ORACLE_SQL,
         "op10_quality_rules": quality_rules.ORACLE_SQL,
+        "quality_ablations": quality_rules.ABLATIONS_SQL,
         "op11_suffix_dedup": suffix_dedup.ORACLE_SQL,
         "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
     }
