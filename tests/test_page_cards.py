@@ -84,36 +84,36 @@ def test_rules_and_overrides(spark):
     assert page_cards.page_cards(table.limit(0), rules).count() == 0
 
 
-@pytest.mark.parametrize(
-    "text,quantity,said",
-    [
+OFFERS = [
         ("Buy 2, save 10% on this item.", 2, "Buy 2, save 10% on this item"), ("Special offer: Buy 3, get 15% off when you checkout.", 3, "Special offer: Buy 3, get 15% off when you checkout"),
         ("3 for $19.99 - mix and match", 3, "3 for $19.99 - mix and match"), ("First. Save 20% when you\n buy 4 or more. Last", 4, "Save 20% when you buy 4 or more"), ("Purchase 2 or more", 2, "Purchase 2 or more"),
         ("Quantity discount: buy 5", 5, "Quantity discount: buy 5"), ("3+ items get 10% off", 3, "3+ items get 10% off"), ("Buy 2 and get one free", None, None), ("Buy 1, save 10%", None, None), ("buy 101, save $5", None, None),
         ("Buy 1, save $5. 4 for $9", 4, "4 for $9"), ("x" * 100 + " 3 for $9", 3, "x" * 80), (None, None, None),
-    ],
-)
-def test_quantity_offers(spark, text, quantity, said):
+    ]
+
+
+def test_quantity_offers(spark):
     from pyspark.sql import functions as F
 
     from wareflow.functions import parse
 
-    m = spark.createDataFrame([(text,)], "t string").select(parse.parse_multi_buy(F.col("t")).alias("m")).first().m
-    assert (m.min_quantity, m.text) == (quantity, said) if quantity else m is None
+    df = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(OFFERS)], "k int, t string").select("k", parse.parse_multi_buy(F.col("t")).alias("m"))
+    got = {r.k: (r.m.min_quantity, r.m.text) if r.m else (None, None) for r in df.collect()}
+    assert got == {k: (quantity, said) for k, (_, quantity, said) in enumerate(OFFERS)}
 
 
-@pytest.mark.parametrize(
-    "html,rank,category",
-    [
+RANKS = [
         ('<table id="prodDetails"><tr><th>Best Sellers Rank</th><td>#247 in Electronics (See Top 100)</td></tr></table>', 247, "Electronics"),
         ('<div id="detailBulletsWrapper_feature_div"><ul><li>Best Sellers Rank: #1,234 in Home &amp; Kitchen</li></ul></div>', 1234, "Home & Kitchen"),
         ('<div id="detail-bullets"><b>Best Sellers Rank</b>: #56 in Toys &amp; Games\n more</div>', 56, "Toys & Games"), ('<div id="ppd">Best Sellers Rank #89,012 in Beauty &amp; Personal Care</div>', 89012, "Beauty & Personal Care"),
         ('<div id="ppd">#5 in line</div>', None, None), ("<p>Best Sellers Rank #5 in Books</p>", None, None), ("", None, None), (None, None, None),
-    ],
-)
-def test_ranks_need_their_heading(spark, html, rank, category):
-    r = page_cards.document_offers(spark.createDataFrame([(1, html)], "page_id long, html string")).first().bsr
-    assert (r.rank, r.category) == (rank, category) if rank else r is None
+    ]
+
+
+def test_ranks_need_their_heading(spark):
+    df = spark.createDataFrame([(k, h) for k, (h, _, _) in enumerate(RANKS)], "page_id int, html string")
+    got = {r.page_id: (r.bsr.rank, r.bsr.category) if r.bsr else (None, None) for r in page_cards.document_offers(df).collect()}
+    assert got == {k: (rank, category) for k, (_, rank, category) in enumerate(RANKS)}
 
 
 def test_the_store_is_no_brand(spark):
