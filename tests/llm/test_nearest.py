@@ -54,7 +54,7 @@ def test_last_levels_take_trees_one_after_the_other(spark):
 
 def test_blocks_cut_anywhere_give_the_same(spark, monkeypatch):
     r = np.random.default_rng(3)
-    x = r.standard_normal((600, 16)).astype(np.float32)
+    x = r.standard_normal((300, 16)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist(), i % 10 == 0) for i, v in enumerate(x)], "rep long, v array<float>, asked boolean")
     key = lambda f: sorted((a.query, a.rep) for a in f.collect())
     whole = key(nearest.searched(df, 5)[0])
