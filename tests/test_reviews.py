@@ -104,3 +104,25 @@ def test_model_hook(spark):
     rows = reviews(spark, [{"text": "bad"}, {"text": "good"}])
     got = rows.select(review_scores.sentiment_scorer(lambda ts: [1.0 if "bad" in t else 0.0 for t in ts]).alias("s"), F.col("review_idx")).orderBy("review_idx").collect()
     assert [r.s for r in got] == [1.0, 0.0]
+
+
+ODD_TEXTS = (
+    None, "", "   ", "\n", ". ", "Nice cups... Dr. Who said 4.5 of 5. ok", "I would have given 7 stars but no. It's a 4 star product but slow!", "FAST shipping? Late. Late. late. BATTERY LIFE\tis great.", "Kelvin K sign, café İ. Works with it!\n\nMy fault",
+    "a. b. c. fits. fits well. stopped working after a year later", "I'd rate it 3 stars, but the box. I'd give it 2 if not for ups", "e.g. this vs. that etc. The size... Quality",
+)
+
+
+def whole_reviews(spark):
+    rng = random.Random(3)
+    pieces = [s for t in ODD_TEXTS if t for s in t.split(". ")]
+    texts = [*ODD_TEXTS, *(". ".join(rng.choices(pieces, k=rng.randint(1, 6))) for _ in range(150))]
+    return reviews(spark, [{"text": t, "asin": rng.choice("abc"), "rating": rng.randint(1, 5)} for t in texts]).cache()
+
+
+def same(a, b):
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect())) and a.count()
+
+
+def test_topics_of_whole_reviews_are_those_of_their_sentences(spark):
+    rows = whole_reviews(spark)
+    same(topics.topic_scores(topics.tagged_sentences(rows)), topics.topic_scores_of_reviews(topics.review_topics(rows)))

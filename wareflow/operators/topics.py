@@ -2,6 +2,9 @@
 
 A review's sentences each weigh 1/n. Tagging is substring matching by a dictionary, in dictionary order; a sentence without a tag
 is about the fallback topic. Dictionaries are parameters: topic id -> keywords.
+
+Two forms: tagged_sentences has a row per sentence, by Spark's expressions; review_topics has a row per review, by an Arrow function that looks
+at each distinct text of a task once, since two hundred keywords in every sentence cost more than all else. Both read sentences and keywords alike.
 """
 
 from __future__ import annotations
@@ -76,6 +79,10 @@ def topic_counts(tagged: DataFrame) -> DataFrame:
     return out.join(every, "asin").select("asin", "topic", "reviews", half_up_int(F.col("reviews") * 100.0 / F.col("all")).alias("share"), "avg_rating", F.substring("s", 1, 80).alias("snippet"))
 
 
+def _sentiment() -> Column:
+    return F.when(F.col("avg_rating") >= 4.0, "positive").when(F.col("avg_rating") >= 3.0, "mixed").otherwise("negative")
+
+
 def topic_scores(tagged: DataFrame) -> DataFrame:
     """asin, topic, avg_rating (weighted by sentences), review_mentions, sentence_mentions, sentiment."""
     each = tagged.select("asin", "review_idx", "rating", "weight", F.explode("topics").alias("topic"))
@@ -83,7 +90,7 @@ def topic_scores(tagged: DataFrame) -> DataFrame:
         half_up(F.sum(F.col("weight") * F.col("rating")) / F.sum("weight"), 1).alias("avg_rating"), F.count_distinct("review_idx").alias("review_mentions"),
         F.count("*").alias("sentence_mentions"),
     )
-    return n.withColumn("sentiment", F.when(F.col("avg_rating") >= 4.0, "positive").when(F.col("avg_rating") >= 3.0, "mixed").otherwise("negative"))
+    return n.withColumn("sentiment", _sentiment())
 
 
 def adjusted_ratings(tagged: DataFrame, ignored: tuple[str, ...]) -> DataFrame:
@@ -98,6 +105,100 @@ def adjusted_ratings(tagged: DataFrame, ignored: tuple[str, ...]) -> DataFrame:
     return kept.groupBy("asin").agg(half_up(F.sum(value * F.col("w")) / F.sum("w"), 2).alias("adjusted_rating"), F.count("*").alias("used"))
 
 
+#: Distinct texts that a task remembers.
+REMEMBERED = 1 << 17
+
+
+def topic_marks(text: Column, ignored: tuple[str, ...] = (), topics: dict[str, tuple[str, ...]] = TOPICS, fallback: str = FALLBACK) -> Column:
+    """struct<implied, sentences, kept (sentences without an ignored topic), found (topic, its sentences n; most sentences first, then first seen)>."""
+    import pyarrow as pa
+
+    rules, keys, most, skip = IMPLIED, {name: [w.encode().lower() for w in words] for name, words in topics.items()}, REMEMBERED, set(ignored)
+    shape = pa.struct([("implied", pa.int32()), ("sentences", pa.int32()), ("kept", pa.int32()), ("found", pa.list_(pa.struct([("topic", pa.string()), ("n", pa.int32())])))])
+    have, memo = {}, []
+
+    def one(text, patterns, tagged):
+        dots, digits, ends, cut, *stated = patterns
+        guarded = ends.sub("\2", digits.sub("\\1\1\\2", dots.sub("\\1\1", text)))
+        said = [t for t in (p.replace("\1", ".").replace("\2", "...").strip(" ") for p in cut.split(guarded)) if t]
+        values = (int(m[1]) for m in (p.search(text) for p in stated) if m)
+        counts, kept = {}, 0
+        for sentence in said:
+            names = tagged(sentence)
+            kept += skip.isdisjoint(names)
+            for name in names:
+                counts[name] = counts.get(name, 0) + 1
+        found = sorted(counts.items(), key=lambda x: -x[1])  # stable: the first seen first
+        return {"implied": next((v for v in values if 1 <= v <= 5), None), "sentences": len(said), "kept": kept, "found": [{"topic": k, "n": n} for k, n in found]}
+
+    def read(texts):
+        import functools
+
+        if not memo:
+            cuts = (r"(?i)(?<![0-9A-Za-z_])(mr|mrs|ms|dr|prof|sr|jr|vs|etc|e\.g|i\.e|inc|ltd|co|approx)\.", r"([0-9])\.([0-9])", r"\.{2,}", r"(?<=[.!?])\s+")
+            patterns = [re.compile(p, re.ASCII) for p in (*cuts, *rules)]
+
+            @functools.lru_cache(most)
+            def tagged(sentence):
+                low = sentence.encode().lower()
+                return tuple(name for name, words in keys.items() if any(w in low for w in words)) or (fallback,)
+
+            memo[:] = [pa.array([], shape), patterns, tagged]
+        if len(have) > most:
+            have.clear()
+            memo[0] = pa.array([], shape)
+        coded = texts.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [t for t in distinct if t not in have]
+        if new:
+            memo[0] = pa.concat_arrays([memo[0], pa.array([one(t, *memo[1:]) for t in new], shape)])
+            have.update(zip(new, range(len(have), len(have) + len(new)), strict=True))
+        return memo[0].take(pa.array([have[t] for t in distinct], pa.int32()).take(coded.indices))
+
+    read.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(read, "implied int, sentences int, kept int, found array<struct<topic: string, n: int>>")(F.coalesce(text, F.lit("")))
+
+
+def review_topics(reviews: DataFrame, ignored: tuple[str, ...] = (), topics: dict[str, tuple[str, ...]] = TOPICS, fallback: str = FALLBACK) -> DataFrame:
+    """A row per review that has a sentence: asin, review_idx, rating, ts (if any) and topic_marks."""
+    keep = [c for c in ("asin", "review_idx", "rating", "ts") if c in reviews.columns]
+    return reviews.select(*keep, topic_marks(F.col("text"), ignored, topics, fallback).alias("m")).where("m.sentences > 0").select(*keep, "m.*")
+
+
+def _each_topic(marked: DataFrame, *columns: Column | str) -> DataFrame:
+    """The columns, rating, topic, n, weight (the review's share that is about the topic)."""
+    rows = marked.select(*columns, "rating", "sentences", F.explode("found").alias("f"))
+    return rows.select("*", "f.topic", "f.n", (F.col("f.n") / F.col("sentences")).alias("weight"))
+
+
+def topic_scores_of_reviews(marked: DataFrame) -> DataFrame:
+    """As topic_scores, of review_topics."""
+    n = _each_topic(marked, "asin").groupBy("asin", "topic").agg(
+        half_up(F.sum(F.col("weight") * F.col("rating")) / F.sum("weight"), 1).alias("avg_rating"), F.count("*").alias("review_mentions"), F.sum("n").alias("sentence_mentions")
+    )
+    return n.withColumn("sentiment", _sentiment())
+
+
+def adjusted_ratings_of_reviews(marked: DataFrame) -> DataFrame:
+    """As adjusted_ratings, of review_topics with the ignored topics."""
+    w = F.col("kept") / F.col("sentences")
+    value = F.when(F.col("kept") < F.col("sentences"), F.coalesce(F.col("implied").cast("double"), "rating")).otherwise(F.col("rating"))
+    rows = marked.where("kept > 0").select("asin", w.alias("w"), (value * w).alias("v"))
+    return rows.groupBy("asin").agg(half_up(F.sum("v") / F.sum("w"), 2).alias("adjusted_rating"), F.count("*").alias("used"))
+
+
+def quarter_scores_of_reviews(marked: DataFrame) -> DataFrame:
+    """As quarter_scores, of review_topics."""
+    each = _each_topic(marked, "asin", F.date_trunc("quarter", "ts").alias("quarter"))
+    return each.groupBy("asin", "quarter", "topic").agg((F.sum(F.col("weight") * F.col("rating")) / F.sum("weight")).alias("score"))
+
+
+def recent_quarters(reviews: DataFrame, most: int = 2) -> DataFrame:
+    """Reviews with a sentence in their item's last quarters that have such reviews: all that trends() looks at."""
+    said = reviews.where(F.trim("text") != "").withColumn("quarter", F.date_trunc("quarter", "ts"))
+    return said.withColumn("k", F.dense_rank().over(Window.partitionBy("asin").orderBy(F.col("quarter").desc()))).where(F.col("k") <= most).drop("k", "quarter")
+
+
 def quarter_scores(tagged: DataFrame) -> DataFrame:
     """asin, quarter, topic, score: weighted means in calendar quarters that have reviews."""
     each = tagged.select("asin", F.date_trunc("quarter", "ts").alias("quarter"), "rating", "weight", F.explode("topics").alias("topic"))

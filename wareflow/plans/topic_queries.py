@@ -37,8 +37,8 @@ g AS (SELECT s.*, t.topics, 1.0::DOUBLE / count(*) OVER (PARTITION BY rid) AS we
 
 
 def _reviewed(spark, sf_dir):
-    """asin, review_idx, rating, ts, text of each order line."""
-    rows = reviews(spark, sf_dir).groupBy("asin", "review_idx").agg(F.max("rating").alias("rating"), F.max("ts").alias("ts"))  # a few lines share their numbers
+    """asin, review_idx, rating, ts, text of each order line. Dealt by item once: nothing after that is shuffled, and a review is smaller than its topics."""
+    rows = reviews(spark, sf_dir).select("asin", "review_idx", "rating", "ts").repartition("asin").groupBy("asin", "review_idx").agg(F.max("rating").alias("rating"), F.max("ts").alias("ts"))  # a few lines share their numbers
     said = F.array(*(F.lit(s) for s in SENTENCES))
     each = [F.get(said, (F.floor(F.col("review_idx") / size) % len(SENTENCES)).cast("int")) for size in (1, 14, 196, 2744)]
     return rows.withColumn("text", F.concat_ws(" ", *each))
@@ -55,7 +55,7 @@ SELECT *, CASE WHEN avg_rating >= 4 THEN 'positive' WHEN avg_rating >= 3 THEN 'm
 )
 def dictionary_topics(spark, sf_dir):
     """The twelve topics in the sentences of reviews."""
-    return topics.topic_scores(_tagged(spark, sf_dir))
+    return topics.topic_scores_of_reviews(topics.review_topics(_reviewed(spark, sf_dir)))
 
 
 @query(
