@@ -126,3 +126,8 @@ def same(a, b):
 def test_topics_of_whole_reviews_are_those_of_their_sentences(spark):
     rows = whole_reviews(spark)
     same(topics.topic_scores(topics.tagged_sentences(rows)), topics.topic_scores_of_reviews(topics.review_topics(rows)))
+
+
+def test_trends_of_the_last_quarters_are_those_of_all(spark):
+    rows = whole_reviews(spark)
+    same(topics.trends(topics.quarter_scores(topics.tagged_sentences(rows))), topics.trends(topics.quarter_scores_of_reviews(topics.review_topics(topics.recent_quarters(rows)))))

@@ -76,7 +76,7 @@ SELECT asin, topic, CASE WHEN dif > 0.5 THEN 'rising' WHEN dif < -0.5 THEN 'fall
 )
 def dictionary_trends(spark, sf_dir):
     """Topics that rise, fall or hold between the last two quarters."""
-    return topics.trends(topics.quarter_scores(_tagged(spark, sf_dir)))
+    return topics.trends(topics.quarter_scores_of_reviews(topics.review_topics(topics.recent_quarters(_reviewed(spark, sf_dir)))))
 
 
 @query(
