@@ -131,3 +131,8 @@ def test_topics_of_whole_reviews_are_those_of_their_sentences(spark):
 def test_trends_of_the_last_quarters_are_those_of_all(spark):
     rows = whole_reviews(spark)
     same(topics.trends(topics.quarter_scores(topics.tagged_sentences(rows))), topics.trends(topics.quarter_scores_of_reviews(topics.review_topics(topics.recent_quarters(rows)))))
+
+
+def test_stated_ratings_of_whole_reviews_are_those_of_their_sentences(spark):
+    rows, ignored = whole_reviews(spark), ("shipping-delivery", "performance")
+    same(topics.adjusted_ratings(topics.tagged_sentences(rows), ignored), topics.adjusted_ratings_of_reviews(topics.review_topics(rows, ignored)))
