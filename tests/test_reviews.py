@@ -136,3 +136,8 @@ def test_trends_of_the_last_quarters_are_those_of_all(spark):
 def test_stated_ratings_of_whole_reviews_are_those_of_their_sentences(spark):
     rows, ignored = whole_reviews(spark), ("shipping-delivery", "performance")
     same(topics.adjusted_ratings(topics.tagged_sentences(rows), ignored), topics.adjusted_ratings_of_reviews(topics.review_topics(rows, ignored)))
+
+
+def test_leading_topics_of_whole_reviews_are_those_of_their_sentences(spark):
+    rows = whole_reviews(spark)
+    same(topics.primary_topics(topics.tagged_sentences(rows)), topics.review_topics(rows).select("asin", "review_idx", F.get("found", F.lit(0))["topic"].alias("primary")))

@@ -44,10 +44,6 @@ def _reviewed(spark, sf_dir):
     return rows.withColumn("text", F.concat_ws(" ", *each))
 
 
-def _tagged(spark, sf_dir):
-    return topics.tagged_sentences(_reviewed(spark, sf_dir))
-
-
 @query(
     "dictionary_topics",
     REVIEWED + """, n2 AS (SELECT asin, topic, floor(sum(weight * rating) / sum(weight) * 10 + 0.5) / 10 AS avg_rating, count(DISTINCT idx)::BIGINT AS review_mentions, count(*)::BIGINT AS sentence_mentions FROM x GROUP BY asin, topic)
@@ -85,4 +81,4 @@ def dictionary_trends(spark, sf_dir):
 )
 def dictionary_primary(spark, sf_dir):
     """The leading topic of each review."""
-    return topics.primary_topics(_tagged(spark, sf_dir))
+    return topics.review_topics(_reviewed(spark, sf_dir)).select("asin", "review_idx", F.get("found", F.lit(0))["topic"].alias("primary"))
