@@ -81,3 +81,19 @@ def test_crowded_anchor_is_split_without_losing_links(spark):
 
     assert grouped(3) == grouped(1 << 15)
     assert len({r for _, r in grouped(3)}) == 2
+
+
+def test_anchors_propose_near_duplicates_that_are_then_checked(spark, monkeypatch):
+    """Without bands, anchors alone find close copies; what they link below the contracted similarity stays."""
+    from wareflow.llm import similar
+
+    rng = random.Random(4)
+    rows, tiny = [], "a b c d e"
+    for base in range(5):
+        words = [f"w{rng.randrange(5000)}" for _ in range(1500)]
+        rows.append((base * 10, " ".join(words)))
+        rows.append((base * 10 + 1, " ".join([*words[:700], "edited", *words[701:]])))
+    rows += [(900, tiny), (901, tiny + " f")]
+    monkeypatch.setattr(similar, "candidates", lambda classes: classes.select(classes.node.alias("a"), classes.node.alias("b")).where("false"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.deduplicate(df).collect()} == {0, 10, 20, 30, 40, 900, 901}

@@ -319,12 +319,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, block
     return marks.join(named, marks.node == named.n).select("doc_id", "fp", "th", "component_id", "root")
 
 
+def anchored(classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between classes (node, fp) whose fingerprints are linked by anchors, or equal: each goes to the least class of a fingerprint."""
+    least = materialize(classes.groupBy("fp").agg(F.min("node").alias("first")), "first-classes")
+    equal = classes.join(least.select(anew("fp").alias("k"), "first"), F.col("fp") == F.col("k")).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = links(least.select("fp", F.lit(0).cast("long").alias("check"))).distinct()
+    one, two = least.select(F.col("fp").alias("f"), F.col("first").alias("a0")), least.select(F.col("fp").alias("g"), F.col("first").alias("b0"))
+    return near.join(one, F.col("a") == F.col("f")).join(two, F.col("b") == F.col("g")).select(F.col("a0").alias("a"), F.col("b0").alias("b")).unionByName(equal)
+
+
 def deduplicate(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """One document of each component, the one with the least doc_id, whole; rows without an id stay.
 
-    Documents are linked if the Jaccard similarity of their shingles is at least `least`: fingerprints only estimate it.
+    Documents are linked if the Jaccard similarity of their shingles is at least `least`. Fingerprints only estimate it: what anchors link is a
+    candidate, and so is what MinHash bands propose, since pairs of 0.8 differ in more bits than anchors cover; an exact check follows for all.
     """
-    marked = similar(docs.where("doc_id IS NOT NULL"), shingle, least)
+    marked = similar(docs.where("doc_id IS NOT NULL"), shingle, least, proposed=anchored)
     best = marked.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("best")).select("best.*")
     th = "__text_hash"
     rows = docs.withColumn(th, F.xxhash64("text"))

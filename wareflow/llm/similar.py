@@ -1,7 +1,7 @@
 """Near-duplicates by the exact Jaccard similarity of word shingles.
 
 Candidates: MinHash bands. A pair at the threshold of 0.8 shares a band with probability 1 - (1 - 0.8^6)^40, all but 5 in a million,
-and a more similar one sooner. Bands only propose components, which may chain texts that share no more than a template. So pairs are looked at by
+and a more similar one sooner. `proposed` may add candidates of another kind, as simhash.anchored does. Bands and those only propose components, which may chain texts that share no more than a template. So pairs are looked at by
 prefix filtering inside them: two sets at the threshold share one of their rarest fifth of shingles. Texts around a template have shingles of their own
 enough to fill that prefix, and meet nobody. A component of one part goes to one task, which compares pairs by their rarest shingles there, within
 the sizes that the threshold allows, and none that are linked already. A larger component is first taken apart by a join on rarest
@@ -15,6 +15,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,8 +69,18 @@ def band_keys(shingles):
     return (key ^ (key >> np.uint64(32))).view(np.int64)
 
 
+def set_fingerprint(shingles) -> int:
+    """SimHash of a set of shingle hashes, as a signed 64-bit number; 0 for an empty set."""
+    import numpy as np
+
+    counts = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(shingles), 1 << 15):
+        counts += np.unpackbits(shingles[i : i + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(shingles)).tobytes(), "big", signed=True)
+
+
 def marks(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, th (a hash of the text, to tell rows of one id apart), node, size (shingles), keys."""
+    """doc_id, th (a hash of the text, to tell rows of one id apart), node, size (shingles), fp (SimHash of the shingles), keys."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -83,10 +94,10 @@ def marks(docs: DataFrame, shingle: int) -> DataFrame:
             node = np.frombuffer(b"".join(xxh64_digest(s.tobytes(), SEED) for s in sets), dtype=np.int64)
             at = np.cumsum([0, *map(len, keys)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*keys, np.zeros(0, dtype=np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), lists], ["doc_id", "th", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_fingerprint(s) for s in sets], pa.int64()), lists], ["doc_id", "th", "node", "size", "fp", "keys"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, node long, size long, keys array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, node long, size long, fp long, keys array<long>")
 
 
 def prefix_length(size, least: float):
@@ -221,11 +232,15 @@ def _parted(proposed: DataFrame, classes: DataFrame, shingles_per_part: int) ->
     return members.join(parts, F.col("root") == F.col("r")).drop("r")
 
 
-def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, shingles_per_part: int = SHINGLES_PER_PART) -> DataFrame:
-    """doc_id, th, root (least class of the component): texts of a similarity of at least `least` are linked, and no others."""
+def similar(docs: DataFrame, shingle: int = 5, least: float = 0.8, shingles_per_part: int = SHINGLES_PER_PART, proposed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """doc_id, th, root (least class of the component): texts of a similarity of at least `least` are linked, and no others.
+
+    proposed: further candidates (a, b), from the classes (node, fp).
+    """
     found = materialize(marks(docs, shingle), "sets")
-    classes = materialize(found.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("best"), F.first("size").alias("size"), F.first("keys").alias("keys")), "classes")
-    members = materialize(_parted(components(candidates(classes)), classes, shingles_per_part), "members")
+    classes = materialize(found.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("best"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
+    pairs = candidates(classes) if proposed is None else candidates(classes).unionByName(proposed(classes.select("node", "fp")))
+    members = materialize(_parted(components(pairs), classes, shingles_per_part), "members")
     small, large = members.where("parts = 1"), members.where("parts > 1")
     if not large.isEmpty():
         small = small.unionByName(_parted(components(refined(large, docs, shingle, least)), classes, shingles_per_part))
