@@ -141,3 +141,22 @@ def test_stated_ratings_of_whole_reviews_are_those_of_their_sentences(spark):
 def test_leading_topics_of_whole_reviews_are_those_of_their_sentences(spark):
     rows = whole_reviews(spark)
     same(topics.primary_topics(topics.tagged_sentences(rows)), topics.review_topics(rows).select("asin", "review_idx", F.get("found", F.lit(0))["topic"].alias("primary")))
+
+
+def test_copied_pairs_meet_only_where_they_share_many_rare_words(spark, monkeypatch):
+    rng = random.Random(9)
+    vocab = [f"word{i}" for i in range(400)]
+    texts = [" ".join(rng.sample(vocab, 30)) for _ in range(120)]
+    texts += [" ".join([*rng.choice(texts[:20]).split()[:-k], *rng.sample(vocab, k)]) for k in (1, 2, 4, 6) for _ in range(15)] + texts[:9] + [None, "", "a b c", *["five long words are here"] * 3]
+    rows = [{"text": t, "asin": rng.choice(("a", "b", None))} for t in texts]
+    sets = [(r["asin"], {w for w in (r["text"] or "").split() if len(w) > 2}) for r in rows]
+    want, seen = {}, []
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if a is not None and a == b and min(len(x), len(y)) >= 5 and len(x & y) / len(x | y) >= 0.7:
+                want[a] = want.get(a, 0) + 1
+    whole = review_scores._meetings
+    monkeypatch.setattr(review_scores, "WORDS_PER_PART", 300)
+    monkeypatch.setattr(review_scores, "_meetings", lambda h, t: seen.append(whole(h, t).count()) or whole(h, t))
+    got = {r.asin: r.pairs for r in review_scores.copied_pairs(reviews(spark, rows)).collect()}
+    assert got == want and seen[0] < 300, "of thousands of pairs"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, half_up, half_up_int, label
-from ..functions.text import jaccard, long_words, plain_words
+from ..functions.text import long_words, plain_words
 from ..sources.storage import materialize
 from .time_buckets import DAY, fullest, span_sums
 
@@ -112,24 +112,91 @@ def densest_week(reviews: DataFrame) -> DataFrame:
     return sums.groupBy("asin").agg(F.max("most").alias("most")).join(dated, F.col("asin").eqNullSafe(F.col("k"))).select("asin", "most", "dated")
 
 
+#: Words whose frequency orders a review's words; all others count as rarer. Words of the sets that one part of an item's reviews holds.
+FREQUENT, WORDS_PER_PART = 1 << 18, 1 << 17
+
+
+def _heads(sets: DataFrame, threshold: float) -> DataFrame:
+    """c, n, word: each review's rarest words (hashed, with its item), as many as two sets at the threshold must share one of.
+
+    Any one order of all words will do, so only the most frequent are known by their number; those that occur once in all are left out where all others are known.
+    """
+    import numpy as np
+
+    every = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    known = np.array(every.orderBy(F.col("n").desc(), "word").limit(FREQUENT).collect(), dtype=np.int64).reshape(-1, 2)
+    known, whole = known[np.argsort(known[:, 0])], len(known) < FREQUENT
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lists, item, c = batch.column("words"), *(batch.column(k).to_numpy(zero_copy_only=False) for k in ("item", "c"))
+            n, words = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(len(n)), n)
+            at = np.minimum(np.searchsorted(known[:, 0], words), max(0, len(known) - 1))
+            found = known[at, 0] == words if len(known) else np.zeros(len(words), dtype=bool)
+            often = np.where(found, known[at, 1], 0) if len(known) else np.zeros(len(words), dtype=np.int64)
+            rare_first = np.lexsort((words, often, of))
+            place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+            heads = rare_first[place < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[of]]
+            heads = heads[found[heads]] if whole else heads
+            mine = of[heads]
+            yield pa.RecordBatch.from_arrays([pa.array(c[mine]), pa.array(n[mine].astype(np.int32)), pa.array((words[heads].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ item[mine].view(np.uint64)).view(np.int64))], ["c", "n", "word"])
+
+    return sets.select("item", "c", "words").mapInArrow(run, "c long, n int, word long")
+
+
+def _meetings(heads: DataFrame, threshold: float) -> DataFrame:
+    """a, b: classes that share so many of their rarest words that they may reach the threshold.
+
+    Of two sets one has its last head first: all that they share up to there is among the heads of both, and beyond it stand only its other words.
+    """
+    each = heads.repartition("word").dropDuplicates()
+    left, right = each.withColumnsRenamed({"c": "a", "n": "na"}), each.withColumnsRenamed({"c": "b", "n": "nb", "word": "v"})
+    fits = (F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
+    met = left.join(right, F.col("word") == F.col("v")).where(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    beyond = F.ceil(threshold * F.greatest("na", "nb") - 1e-9) - 1
+    return met.where(F.col("k") + beyond >= F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6)).select("a", "b")
+
+
 def copied_pairs(reviews: DataFrame, threshold: float = 0.7, least_tokens: int = 5) -> DataFrame:
     """asin, pairs: reviews of one item whose word sets (three characters or more) have at least this Jaccard similarity.
 
-    Reviews with equal word sets are one class and count n(n-1)/2 pairs at once. As for titles, classes meet by an equi-join on their
-    rarest words (prefix filtering), not by all pairs of an item.
+    Reviews with equal word sets are one class and count n(n-1)/2 pairs at once. Classes meet on their rarest words (prefix filtering), not by all
+    pairs of an item; those that share too few of these are not compared. Sets travel once to each part of their item that they have to meet.
     """
-    sets = reviews.select("asin", F.array_sort(F.array_distinct(long_words(F.col("text")))).alias("w")).where(F.size("w") >= least_tokens)
-    classes = materialize(sets.groupBy("asin", "w").agg(F.count("*").alias("m")).withColumn("c", F.xxhash64("w")), "review-classes")
-    each = classes.select("asin", "c", F.size("w").alias("n"), F.explode("w").alias("word"))
-    rare = each.groupBy("asin", "word").agg(F.count("*").alias("df")).select(F.col("asin").alias("k"), F.col("word").alias("v"), "df")
-    ranked = each.join(rare, (F.col("asin") == F.col("k")) & (F.col("word") == F.col("v"))).withColumn("place", F.row_number().over(Window.partitionBy("asin", "c").orderBy("df", "word")))
-    heads = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1) & (F.col("df") > 1)).select("asin", "c", "word", "n")
-    left, right = heads.withColumnsRenamed({"c": "a", "n": "na"}), heads.withColumnsRenamed({"c": "b", "n": "nb"})
-    fits = (F.col("a") < F.col("b")) & (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
-    pairs = left.join(right, ["asin", "word"]).where(fits).select("asin", "a", "b").distinct()
-    one, two = classes.select("asin", F.col("c").alias("a"), F.col("w").alias("x"), F.col("m").alias("ma")), classes.select("asin", F.col("c").alias("b"), F.col("w").alias("y"), F.col("m").alias("mb"))
-    close = pairs.join(one, ["asin", "a"]).join(two, ["asin", "b"]).where(jaccard(F.col("x"), F.col("y")) >= threshold)
-    counts = close.select("asin", (F.col("ma") * F.col("mb")).alias("p")).unionByName(classes.where("m > 1").select("asin", (F.col("m") * (F.col("m") - 1) / 2).cast("long").alias("p")))
+    said = reviews.where("asin IS NOT NULL").select("asin", "review_idx", F.sort_array(F.array_distinct(long_words(F.col("text")))).alias("w"))
+    sets = materialize(said, "review-words").where(F.size("w") >= least_tokens).withColumn("c", F.xxhash64("asin", "w"))
+    classes = materialize(sets.groupBy("asin", "c").agg(F.min("review_idx").alias("rep"), F.count("*").alias("m"), F.first(F.size("w")).alias("n")), "review-classes")
+    hashed = sets.select("c", F.xxhash64("asin").alias("item"), F.transform("w", lambda x: F.xxhash64(x)).alias("words"))
+    pairs = materialize(_meetings(_heads(hashed, threshold), threshold), "review-meetings")
+    wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+    members = materialize(classes.join(wanted, F.col("c") == F.col("k")).select("asin", "c", "rep", "m", "n"), "review-members")
+    parts = members.groupBy("asin").agg(F.ceil(F.sum("n") / WORDS_PER_PART).cast("int").alias("parts")).withColumnRenamed("asin", "i")
+    dealt = materialize(members.join(parts, F.col("asin") == F.col("i")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")).drop("i", "n"), "review-parts")
+    a, b = dealt.select("asin", F.col("c").alias("x"), F.col("own").alias("p"), F.col("m").alias("ma")), dealt.select(F.col("asin").alias("i"), F.col("c").alias("y"), F.col("own").alias("q"), F.col("m").alias("mb"))
+    asked = pairs.join(a, F.col("a") == F.col("x")).join(b, F.col("b") == F.col("y")).where(F.col("asin") == F.col("i"))
+    asked = asked.select("asin", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), "a", "b", (F.col("ma") * F.col("mb")).alias("both"))
+    one_each = sets.join(dealt.select(F.col("c").alias("k"), F.col("asin").alias("i"), "rep", "own", "parts"), (F.col("c") == F.col("k")) & (F.col("asin") == F.col("i")) & (F.col("review_idx") == F.col("rep"))).dropDuplicates(["asin", "c"])
+    spread = one_each.select("asin", "c", "w", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    spread = spread.select("asin", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "c", "w")
+
+    def near(sets, asked):
+        import pyarrow as pa
+
+        of = {c: set(w) for c, w in zip(sets["c"].to_pylist(), sets["w"].to_pylist(), strict=True)}
+        found = 0
+        for a, b, both in zip(*(asked[k].to_pylist() for k in ("a", "b", "both")), strict=True):
+            x, y = of[a], of[b]
+            shared = len(x & y)
+            found += both if shared / (len(x) + len(y) - shared) >= threshold else 0
+        name = (asked if len(asked) else sets)["asin"][:1]
+        return pa.table({"asin": name, "p": pa.array([found], pa.int64())})
+
+    keys = ("asin", "low", "high")
+    close = spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(near, "asin string, p long").where("p > 0")
+    counts = close.unionByName(classes.where("m > 1").select("asin", (F.col("m") * (F.col("m") - 1) / 2).cast("long").alias("p")))
     return counts.groupBy("asin").agg(F.sum("p").alias("pairs"))
 
 
