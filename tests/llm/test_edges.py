@@ -83,6 +83,31 @@ def test_tokens_and_packing(docs, none):
     assert {(r.doc_id, r.n_tokens) for r in token_counts.token_counts(docs, model).collect()} == {(d, len(sp.encode(t or ""))) for d, t, *_ in ROWS}
 
 
+def test_a_word_is_encoded_once_whatever_white_space_is_before_it():
+    import random
+
+    import public_tokenizers
+
+    from wareflow.llm import tokenizing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = tokenizing.PieceEncoder(path, False)
+    seen, fresh = [], encoder.fresh
+    encoder.fresh = lambda pieces: seen.extend(pieces) or fresh(pieces)
+    encoder.values(["stone Stone\nstone\tstone, (stone) stone...", "\n\nstone . stone!"])
+    assert sorted(seen) == sorted(["(stone)", ",", ".", "...", "Stone", "stone", "!"])
+
+    rng = random.Random(4)
+    alphabet = [*"abXsStdéİßΣσςǅ  \t\n\x1c\xa0\u2028.,;:!?-'’\"()<|>_#$09٣²½中の\u0301\u0307\u200bﬁ\u212a", "'s", "'re", "<|endoftext|>", "<|ENDOFTEXT|>", "...", "İ,", "A.B.", "x2y,"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(4000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        want = [e.ids for e in tokenizing.tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+        got = tokenizing.token_ids(path, texts)
+        assert [[int.from_bytes(b[i : i + 4], "little") for i in range(0, len(b), 4)] for b in got] == want
+        assert tokenizing.count_tokens(path, texts) == [len(ids) for ids in want]
+
+
 def test_other_tokenizers_get_whole_texts(tmp_path):
     from tokenizers import Tokenizer, pre_tokenizers
 

@@ -4,7 +4,8 @@ Texts are cut where no token can span: between a character that is no white spac
 or digit and one of `.,;:!?`. Byte-level and word pre-tokenizers both end a token there, whatever stands on either side, so
 the pieces' tokens joined are the whole text's (U+0130 lower-cases to a letter and a mark, so a word with it is not cut from
 its punctuation). Pieces repeat heavily; each distinct piece is encoded once per worker, in
-batches of the library balanced by bytes, and kept in a dictionary of bounded size. Texts that hold other white space (where a run of
+batches of the library balanced by bytes, and kept in a dictionary of bounded size. Where the tokenizer drops white space, pieces are
+kept without it, and words of ASCII letters go straight to the file's model. Texts that hold other white space (where a run of
 spaces could be split wrongly) are encoded whole, or in long stretches cut only between a non-space and an ASCII space. All this holds for the
 two ways of splitting in `SPLITS`; a tokenizer that splits in any other way gets whole texts.
 """
@@ -16,17 +17,20 @@ import itertools
 import json
 import os
 import re
+import struct
 
 ASCII_SPACE = " \\t\\n\\r\\f\\v"
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 PIECE = re.compile(rf"[{ASCII_SPACE}]*+[^\W_İ]++(?=[.,;:!?])|[{ASCII_SPACE}]*+[^{ASCII_SPACE}]++|[{ASCII_SPACE}]++")
 SAFE_CUT = re.compile(rf"(?<=\S)[{ASCII_SPACE}]")
+#: Punctuation behind a letter or digit; where white space is dropped, a space before it cuts there.
+TRAILING = re.compile(r"[.,;:!?](?<=[^\W_İ].)")
 
 #: The pre-tokenizer patterns (None: that of the byte level) whose tokens end at the cuts of PIECE and SAFE_CUT.
 SPLITS = (None, "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
 
 #: Bytes of text handled at once, bytes of pieces joined for the library, entries of the dictionary, longest piece kept in it.
-BATCH_BYTES, JOINED_BYTES, CACHE_PIECES, CACHE_LENGTH = 1 << 20, 1 << 12, 1_000_000, 32
+BATCH_BYTES, JOINED_BYTES, CACHE_PIECES, CACHE_LENGTH = 1 << 20, 1 << 14, 1_000_000, 32
 
 
 @functools.cache
@@ -94,11 +98,13 @@ class PieceEncoder:
         self.tok, self.lengths, self.known = tokenizer(path), lengths, {}
         # Does the tokenizer drop white space between words? Then words may be joined by a space, else only words that begin with one.
         self.drops_space = not self.tok.encode(" ", add_special_tokens=False).ids
+        # Words of ASCII letters are one token for the model as they stand, but for their case; no other step of the tokenizer touches them.
+        steps = json.loads(self.tok.to_str())
+        self.lowers = '"Lowercase"' in json.dumps(steps["normalizer"])
+        self.by_model = self.drops_space and not any(t["content"].isalpha() for t in steps["added_tokens"])
 
     def value(self, ids):
-        import numpy as np
-
-        return len(ids) if self.lengths else np.asarray(ids, dtype="<u4").tobytes()
+        return len(ids) if self.lengths else struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, pieces: list[str]) -> list:
         """Values of the pieces in order, each encoded by itself."""
@@ -127,26 +133,43 @@ class PieceEncoder:
 
     def fresh(self, pieces: list[str]) -> dict:
         """Values of pieces seen for the first time."""
-        joined = [p for p in pieces if self.stays_apart(p)]
-        found = dict(zip(joined, self.encode_joined(joined), strict=True))
+        found = {}
+        if self.by_model:
+            split = self.tok.model.tokenize
+            found = {p: self.value([t.id for t in split(p.lower() if self.lowers else p)]) for p in pieces if p.isascii() and p.isalpha()}
+        joined = [p for p in pieces if p not in found and self.stays_apart(p)]
+        found.update(zip(joined, self.encode_joined(joined), strict=True))
         rest = [p for p in pieces if p not in found]
         found.update(zip(rest, self.encode(rest), strict=True))
         return found
 
+    def cut(self, text: str) -> list[str]:
+        """The pieces of a text without odd white space."""
+        return TRAILING.sub(r" \g<0>", text).split() if self.drops_space else PIECE.findall(text)
+
     def values(self, texts: list[str]) -> list[list]:
         """Values of the pieces of each stretch of text, in order; what is new in any of them is encoded together."""
         known = self.known
         if len(known) > CACHE_PIECES:
             for p in list(itertools.islice(known, CACHE_PIECES // 2)):
                 del known[p]
-        cut = [None if ODD_SPACE.search(t) else PIECE.findall(t) for t in texts]
-        fresh = self.fresh([p for p in dict.fromkeys(itertools.chain.from_iterable(c for c in cut if c)) if p not in known])
-        short = {p: v for p, v in fresh.items() if len(p) <= CACHE_LENGTH}
-        long = fresh if len(short) < len(fresh) else None
-        known.update(short)
-        if long:
-            return [self.encode([t]) if c is None else [known[p] if p in known else long[p] for p in c] for t, c in zip(texts, cut, strict=True)]
-        return [self.encode([t]) if c is None else list(map(known.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+        out, gaps, fresh = [], [], {}
+        for text in texts:
+            if ODD_SPACE.search(text):
+                out.append(self.encode([text]))
+                continue
+            pieces = self.cut(text)
+            out.append(values := list(map(known.get, pieces)))
+            if None in values:
+                missing = [(at, pieces[at]) for at, value in enumerate(values) if value is None]
+                gaps.append((values, missing))
+                fresh.update(dict.fromkeys(p for _, p in missing))
+        fresh = self.fresh(list(fresh))
+        for values, missing in gaps:
+            for at, p in missing:
+                values[at] = fresh[p]
+        known.update((p, value) for p, value in fresh.items() if len(p) <= CACHE_LENGTH)
+        return out
 
 
 @functools.cache
