@@ -160,3 +160,20 @@ def test_copied_pairs_meet_only_where_they_share_many_rare_words(spark, monkeypa
     monkeypatch.setattr(review_scores, "_meetings", lambda h, t: seen.append(whole(h, t).count()) or whole(h, t))
     got = {r.asin: r.pairs for r in review_scores.copied_pairs(reviews(spark, rows)).collect()}
     assert got == want and seen[0] < 300, "of thousands of pairs"
+
+
+def test_only_sets_of_pairs_that_may_be_near_are_read_again(spark, monkeypatch):
+    rng = random.Random(2)
+    vocab = [f"word{i}" for i in range(300)]
+    texts = [" ".join(rng.sample(vocab, 40)) for _ in range(150)]
+    texts += [" ".join([*t.split()[:-2], "other", "ending"]) for t in texts[:3]]
+    again, whole = [], review_scores._of_classes
+
+    def read(sets, classes):
+        found = whole(sets, classes)
+        again.append((found.count(), classes.count()))
+        return found
+
+    monkeypatch.setattr(review_scores, "_of_classes", read)
+    got = {r.asin: r.pairs for r in review_scores.copied_pairs(reviews(spark, [{"text": t} for t in texts])).collect()}
+    assert got == {"a": 3} and again == [(6, 6)], "of 153 sets"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, half_up, half_up_int, label
 from ..functions.text import long_words, plain_words
-from ..sources.storage import materialize
+from ..sources.storage import discard, materialize
 from .time_buckets import DAY, fullest, span_sums
 
 #: Phrase lists and word lists of the text rules.
@@ -113,7 +113,9 @@ def densest_week(reviews: DataFrame) -> DataFrame:
 
 
 #: Words whose frequency orders a review's words; all others count as rarer. Words of the sets that one part of an item's reviews holds.
-FREQUENT, WORDS_PER_PART = 1 << 18, 1 << 17
+FREQUENT, WORDS_PER_PART = 1 << 18, 1 << 18
+#: Bits of a set's sketch, and of the map of classes whose sets are read again (2^10 maps of 2^15 bits, 4 MB in all).
+SKETCH_BITS, MAP_BITS = 1 << 10, 1 << 25
 
 
 def _heads(sets: DataFrame, threshold: float) -> DataFrame:
@@ -160,44 +162,101 @@ def _meetings(heads: DataFrame, threshold: float) -> DataFrame:
     return met.where(F.col("k") + beyond >= F.ceil(threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6)).select("a", "b")
 
 
+def _sketched(sets: DataFrame) -> DataFrame:
+    """asin, c, review_idx, n, sketch: for each bit of the sketch whether an odd number of the set's words falls on it.
+
+    Each word that only one of two sets holds turns one bit, so at most as many bits differ as words do.
+    """
+    kind, longs = sets.schema["review_idx"].dataType.simpleString(), SKETCH_BITS // 64
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column("words")
+            n, words = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            out = np.zeros(len(n) * longs, dtype=np.uint64)
+            at = np.repeat(np.arange(len(n)) * longs, n) + ((words >> np.uint64(6)) % np.uint64(longs)).astype(np.int64)
+            np.bitwise_xor.at(out, at, np.uint64(1) << (words & np.uint64(63)))
+            sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * longs, pa.int32()), pa.array(out.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("asin", "c", "review_idx")), pa.array(n.astype(np.int32)), sketches], ["asin", "c", "review_idx", "n", "sketch"])
+
+    return sets.select("asin", "c", "review_idx", "words").mapInArrow(run, f"asin string, c long, review_idx {kind}, n int, sketch array<bigint>")
+
+
+def _alike(threshold: float) -> Column:
+    """Whether sets of na and nb words with sketches sa and sb may reach the threshold: never false for two that do."""
+    turned = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return turned <= (1 - threshold) / (1 + threshold) * (F.col("na") + F.col("nb")) + 1e-6
+
+
+def _of_classes(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The sets of the classes, and a few others: by a map of bits, so that the other sets are not shuffled to be dropped."""
+    import numpy as np
+
+    place, each = F.col("c").bitwiseAND(F.lit(MAP_BITS - 1)), 1 << 15
+    maps = classes.groupBy((place / each).cast("int").alias("k")).agg(F.bitmap_construct_agg(place % each).alias("bits")).collect()
+    bits = np.zeros(MAP_BITS // 8, dtype=np.uint8)
+    for k, found in maps:
+        bits[k * each // 8 : (k + 1) * each // 8] = np.frombuffer(bytes(found), dtype=np.uint8)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.column("c").to_numpy(zero_copy_only=False) & (MAP_BITS - 1)
+            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return sets.mapInArrow(run, sets.schema)
+
+
 def copied_pairs(reviews: DataFrame, threshold: float = 0.7, least_tokens: int = 5) -> DataFrame:
     """asin, pairs: reviews of one item whose word sets (three characters or more) have at least this Jaccard similarity.
 
     Reviews with equal word sets are one class and count n(n-1)/2 pairs at once. Classes meet on their rarest words (prefix filtering), not by all
-    pairs of an item; those that share too few of these are not compared. Sets travel once to each part of their item that they have to meet.
+    pairs of an item; those that share too few of these, or whose sketches differ too much, are not compared. Only sets that are still asked for are read
+    again, and travel once to each pair of parts of their item where one of their pairs is counted. Words are 64-bit hashes throughout: two words
+    of one pair would have to fall together to miscount it.
     """
-    said = reviews.where("asin IS NOT NULL").select("asin", "review_idx", F.sort_array(F.array_distinct(long_words(F.col("text")))).alias("w"))
-    sets = materialize(said, "review-words").where(F.size("w") >= least_tokens).withColumn("c", F.xxhash64("asin", "w"))
-    classes = materialize(sets.groupBy("asin", "c").agg(F.min("review_idx").alias("rep"), F.count("*").alias("m"), F.first(F.size("w")).alias("n")), "review-classes")
-    hashed = sets.select("c", F.xxhash64("asin").alias("item"), F.transform("w", lambda x: F.xxhash64(x)).alias("words"))
-    pairs = materialize(_meetings(_heads(hashed, threshold), threshold), "review-meetings")
-    wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
-    members = materialize(classes.join(wanted, F.col("c") == F.col("k")).select("asin", "c", "rep", "m", "n"), "review-members")
-    parts = members.groupBy("asin").agg(F.ceil(F.sum("n") / WORDS_PER_PART).cast("int").alias("parts")).withColumnRenamed("asin", "i")
-    dealt = materialize(members.join(parts, F.col("asin") == F.col("i")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")).drop("i", "n"), "review-parts")
-    a, b = dealt.select("asin", F.col("c").alias("x"), F.col("own").alias("p"), F.col("m").alias("ma")), dealt.select(F.col("asin").alias("i"), F.col("c").alias("y"), F.col("own").alias("q"), F.col("m").alias("mb"))
-    asked = pairs.join(a, F.col("a") == F.col("x")).join(b, F.col("b") == F.col("y")).where(F.col("asin") == F.col("i"))
-    asked = asked.select("asin", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), "a", "b", (F.col("ma") * F.col("mb")).alias("both"))
-    one_each = sets.join(dealt.select(F.col("c").alias("k"), F.col("asin").alias("i"), "rep", "own", "parts"), (F.col("c") == F.col("k")) & (F.col("asin") == F.col("i")) & (F.col("review_idx") == F.col("rep"))).dropDuplicates(["asin", "c"])
-    spread = one_each.select("asin", "c", "w", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    spread = spread.select("asin", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "c", "w")
-
-    def near(sets, asked):
+    said = reviews.where("asin IS NOT NULL").select("asin", "review_idx", F.sort_array(F.array_distinct(F.transform(long_words(F.col("text")), lambda x: F.xxhash64(x)))).alias("words"))
+    words = materialize(said, "review-words", **{"parquet.dictionary.page.size": 8 << 20})
+    hashed = words.where(F.size("words") >= least_tokens).select("asin", "review_idx", F.xxhash64("asin", "words").alias("c"), "words")
+    classes = materialize(_sketched(hashed).groupBy("asin", "c").agg(F.min("review_idx").alias("rep"), F.count("*").alias("m"), F.any_value("n").alias("n"), F.any_value("sketch").alias("s")), "review-classes")
+    pairs = materialize(_meetings(_heads(hashed.select("c", F.xxhash64("asin").alias("item"), "words"), threshold), threshold), "review-meetings")
+    one, other = (classes.select(F.col("asin").alias(f"i{k}"), F.col("c").alias(f"c{k}"), *(F.col(x).alias(f"{x}{k}") for x in ("rep", "m", "n", "s"))) for k in "ab")
+    near = pairs.join(one, F.col("a") == F.col("ca")).join(other, F.col("b") == F.col("cb")).where((F.col("ia") == F.col("ib")) & _alike(threshold))
+    near = materialize(near.select(F.col("ia").alias("asin"), "a", "b", "repa", "repb", "na", "nb", (F.col("ma") * F.col("mb")).alias("both")), "review-near")
+    members = near.select("asin", F.col("a").alias("c"), F.col("na").alias("n")).unionByName(near.select("asin", F.col("b").alias("c"), F.col("nb").alias("n"))).distinct()
+    parts = members.groupBy("asin").agg(F.ceil(F.sum("n") / WORDS_PER_PART).alias("parts")).withColumnRenamed("asin", "i")
+    own = {k: F.pmod(F.xxhash64(k), F.col("parts")).cast("int") for k in ("a", "b")}
+    asked = near.join(parts, F.col("asin") == F.col("i")).withColumns({"low": F.least(*own.values()), "high": F.greatest(*own.values())})
+    asked = materialize(asked.select("asin", "low", "high", "a", "b", "repa", "repb", "both"), "review-asked")
+    keys = ("asin", "low", "high")
+    place = [F.col(k).alias(k) for k in keys]  # columns of their own: the sets meet the pairs again below
+    places = asked.select(*place, F.col("a").alias("k"), F.col("repa").alias("rep")).unionByName(asked.select(*place, F.col("b").alias("k"), F.col("repb").alias("rep"))).distinct()
+    sets = _of_classes(hashed, members).withColumnRenamed("asin", "i")
+    spread = sets.join(places, (F.col("c") == F.col("k")) & (F.col("review_idx") == F.col("rep")) & (F.col("asin") == F.col("i"))).select(*keys, "c", "words")
+
+    def count(sets, asked):
+        import numpy as np
         import pyarrow as pa
 
-        of = {c: set(w) for c, w in zip(sets["c"].to_pylist(), sets["w"].to_pylist(), strict=True)}
+        lists = sets["words"].combine_chunks()
+        ends, words = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist(), lists.flatten().to_numpy(zero_copy_only=False)
+        of = {c: words[start:end] for c, start, end in zip(sets["c"].to_pylist(), [0, *ends], ends, strict=False)}
         found = 0
         for a, b, both in zip(*(asked[k].to_pylist() for k in ("a", "b", "both")), strict=True):
             x, y = of[a], of[b]
-            shared = len(x & y)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
             found += both if shared / (len(x) + len(y) - shared) >= threshold else 0
-        name = (asked if len(asked) else sets)["asin"][:1]
-        return pa.table({"asin": name, "p": pa.array([found], pa.int64())})
+        return pa.table({"asin": asked["asin"][:1], "p": pa.array([found], pa.int64())})
 
-    keys = ("asin", "low", "high")
-    close = spread.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(near, "asin string, p long").where("p > 0")
+    close = spread.groupBy(*keys).cogroup(asked.select(*keys, "a", "b", "both").groupBy(*keys)).applyInArrow(count, "asin string, p long").where("p > 0")
     counts = close.unionByName(classes.where("m > 1").select("asin", (F.col("m") * (F.col("m") - 1) / 2).cast("long").alias("p")))
-    return counts.groupBy("asin").agg(F.sum("p").alias("pairs"))
+    found = materialize(counts.groupBy("asin").agg(F.sum("p").alias("pairs")), "review-pairs")
+    discard(words, classes, pairs, near, asked)
+    return found
 
 
 def _signal(name: str, deduction: Column, confidence: Column | float, most: int) -> Column:

@@ -38,10 +38,10 @@ def clear_scratch(spark: SparkSession) -> None:
     files.delete(where, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors. Options are the writer's."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     written._scratch_path = path
     return written
